@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import mixture, tokens
+from parlance.llm import chat, jaccard, licenses, mixture, quality, secrets, substring, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,40 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.digest(turns.unionByName(extra))
+
+
 def op9_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(tokens.write_token_files(table(spark, sf_dir, "documents"), word_bpe(), end_id=1))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op9_token_frames)}
+def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_layers, op2_source_mixing, op5_jaccard_forest, op6_line_quality, op7_repeated_passages, op8_chat_template, op9_token_frames, op10_license_sentences)}
 ORACLE: dict[str, str] = {}
