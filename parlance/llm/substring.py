@@ -31,18 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
-import zstandard
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import WordHashes, mix, new_folder, parts_of, uri_fs
+from parlance.llm.blocks import Answers, answer, by_bucket, is_in, pack, sent_rows, stored, stretches, unpack
+from parlance.llm.common import WordHashes, mix, new_folder, parts_of
 
 _U = np.uint64
-#: Words that a scan works on at once, and rows of a block.
+#: Words that a scan works on at once.
 CHUNK = 1_000_000
-BLOCK_ROWS = 16_384
 PHRASE = 5
 #: Odd multipliers of the two content hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -128,108 +125,14 @@ class Chunk:
         return self.content.of(a, a + self.window), (second.of(a, a + self.window) >> _U(32)).astype(np.uint32)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as compressed bytes."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
-
-
-def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    each = sum(np.dtype(k).itemsize for k in kinds)
-    n, at, out = len(raw) // each, 0, []
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
-
-
 _ENTRY = ("u8", "u4", "i8", "u8", "u4", "u1")  # both hashes, doc_id, row's own number, start, seen more than once
 _OWNER = ("u8", "u4", "i8", "u8", "u4")
 
 
 def _chunks(batch: pa.RecordBatch, hashes: WordHashes, window: int) -> Iterator[tuple[int, slice, Chunk]]:
-    """(block, rows of the batch, chunk) for stretches of one block with about CHUNK words at most."""
-    blocks = batch.column("block").to_numpy()
-    texts = batch.column("text").cast(pa.binary()).to_pylist()
-    a = 0
-    while a < len(texts):
-        b, n, split = a, 0, []
-        while b < len(texts) and blocks[b] == blocks[a] and (b == a or n < CHUNK):
-            split.append(texts[b].split() if texts[b] else [])
-            n += len(split[-1])
-            b += 1
-        yield int(blocks[a]), slice(a, b), Chunk(split, hashes, window)
-        a = b
-
-
-class _Answers:
-    """What a round has answered for the block at hand, read from its table in the shared folder."""
-
-    def __init__(self, folder: str, kinds: tuple[str, ...]):
-        self.folder, self.kinds, self.block, self.found = folder, kinds, None, None
-
-    def of(self, block: int) -> list[np.ndarray] | None:
-        if block != self.block:
-            from pyarrow import fs as pafs
-
-            fs, top = uri_fs(self.folder)
-            where = f"{top}/block={block}"
-            parts = []
-            if fs.get_file_info(where).type == pafs.FileType.Directory:
-                for f in fs.get_file_info(pafs.FileSelector(where)):
-                    if f.base_name.endswith(".parquet"):
-                        with fs.open_input_file(f.path) as src:
-                            parts += [_unpack(x, *self.kinds) for x in pq.ParquetFile(src).read(columns=["data"])["data"].to_pylist()]
-            self.block, self.found = block, None
-            if parts:
-                cols = [np.concatenate(x) for x in zip(*parts)]
-                order = np.argsort(cols[0], kind="stable")
-                self.found = [x[order] for x in cols]
-        return self.found
-
-
-def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-    return known[at] == x
-
-
-def _by_bucket(names: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places of its names) in rising order of places."""
-    b = ((names >> _U(32)) % _U(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        if cuts[k + 1] > cuts[k]:
-            yield k, order[cuts[k] : cuts[k + 1]]
-
-
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
-
-
-def _sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [(), (), ()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, _SENT.types)], schema=_SENT)
-
-
-def _stored(docs: DataFrame) -> DataFrame:
-    """doc_id and text with the block and row of each document; docs that no file holds are written first."""
-
-    def placed(df: DataFrame) -> DataFrame:
-        row, part = F.col("_metadata.row_index"), F.col("_metadata.file_path")
-        return df.select(
-            F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
-            F.col("doc_id").isNull().alias("no_id"),
-            F.col("text").cast("string").alias("text"),
-            F.xxhash64(part, F.floor(row / BLOCK_ROWS)).alias("block"),
-            row.alias("row"),
-        )
-
-    try:
-        return placed(docs)
-    except AnalysisException:  # no file scan below
-        folder = new_folder(docs.sparkSession, "documents")
-        docs.select("doc_id", "text").write.parquet(folder)
-        return placed(docs.sparkSession.read.parquet(folder))
+    """(block, rows of the batch, chunk) for stretches of one block."""
+    for block, part, split in stretches(batch, CHUNK):
+        yield block, part, Chunk(split, hashes, window)
 
 
 def _own(batch: pa.RecordBatch) -> np.ndarray:
@@ -247,7 +150,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     if window < 18:
         raise ValueError("a window needs 18 words or more")
     spark = docs.sparkSession
-    rows = _stored(docs)
+    rows = stored(docs)
     buckets = 2 * parts_of(spark)
     base = new_folder(spark, "repeats")
 
@@ -257,13 +160,13 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             out = []
             for block, _, chunk in _chunks(batch, hashes, window):
                 names, first, counts = np.unique(chunk.phrases(), return_index=True, return_counts=True)
-                for k, at in _by_bucket(names, buckets):
-                    out.append((k, block, _pack(names[at], (counts[at] > 1).astype("u1"))))
-            yield _sent(out)
+                for k, at in by_bucket(names, buckets):
+                    out.append((k, block, pack(names[at], (counts[at] > 1).astype("u1"))))
+            yield sent_rows(out)
 
     def share_phrases(t: pa.Table) -> pa.Table:
         blocks = t["block"].to_numpy()
-        parts = [_unpack(x, "u8", "u1") for x in t["data"].to_pylist()]
+        parts = [unpack(x, "u8", "u1") for x in t["data"].to_pylist()]
         names = np.concatenate([p[0] for p in parts])
         # A name from one chunk counts once, or twice if the chunk had more of it.
         weight = np.concatenate([p[1] for p in parts]).astype(np.int64) + 1
@@ -272,18 +175,13 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         shared = np.bincount(inverse, weight, len(uniq)) > 1
         keep = shared[inverse]
         names, owner = names[keep], owner[keep]
-        return pa.table({"block": pa.array(bs := np.unique(owner), pa.int64()), "data": pa.array([_pack(np.unique(names[owner == b])) for b in bs], pa.binary())})
-
-    def answer(sent: DataFrame, share, name: str) -> str:
-        found = sent.groupBy("bucket").applyInArrow(share, "block long, data binary")
-        found.repartition(parts_of(spark), "block").write.partitionBy("block").parquet(f"{base}/{name}")
-        return f"{base}/{name}"
+        return pa.table({"block": pa.array(bs := np.unique(owner), pa.int64()), "data": pa.array([pack(np.unique(names[owner == b])) for b in bs], pa.binary())})
 
     kind = "bucket int, block long, data binary"
-    phrases = answer(rows.mapInArrow(name_phrases, kind), share_phrases, "phrases")
+    phrases = answer(rows.mapInArrow(name_phrases, kind), share_phrases, f"{base}/phrases")
 
     def name_windows(batches):
-        hashes, answers = WordHashes(), _Answers(phrases, ("u8",))
+        hashes, answers = WordHashes(), Answers(phrases, ("u8",))
         for batch in batches:
             out = []
             ids, own = batch.column("doc_id").to_numpy(), _own(batch)
@@ -294,7 +192,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 known = answers.of(block)
                 if known is None:
                     continue
-                which = np.flatnonzero(_is_in(chunk.phrases(), known[0]))
+                which = np.flatnonzero(is_in(chunk.phrases(), known[0]))
                 if not len(which):
                     continue
                 h, g = chunk.windows(which)
@@ -310,13 +208,13 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 h, g, doc_id, mine, start = (x[new] for x in (h, g, doc_id, mine, start))
                 back = np.lexsort((start, mine, doc_id))  # in order of place the entries compress better
                 h, g, doc_id, mine, start, more = (x[back] for x in (h, g, doc_id, mine, start, more.astype("u1")))
-                for k, at in _by_bucket(h, buckets):
-                    out.append((k, block, _pack(h[at], g[at], doc_id[at], mine[at], start[at], more[at])))
-            yield _sent(out)
+                for k, at in by_bucket(h, buckets):
+                    out.append((k, block, pack(h[at], g[at], doc_id[at], mine[at], start[at], more[at])))
+            yield sent_rows(out)
 
     def share_windows(t: pa.Table) -> pa.Table:
         blocks = t["block"].to_numpy()
-        parts = [_unpack(x, *_ENTRY) for x in t["data"].to_pylist()]
+        parts = [unpack(x, *_ENTRY) for x in t["data"].to_pylist()]
         block = np.repeat(blocks, [len(p[0]) for p in parts])
         h, g, doc_id, own, start, more = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((start, own, doc_id, g, h))
@@ -331,13 +229,13 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         block = block[need]
         order = np.argsort(block, kind="stable")
         bs, cuts = np.unique(block[order], return_index=True)
-        data = [_pack(*(x[order[a:b]] for x in cols)) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+        data = [pack(*(x[order[a:b]] for x in cols)) for a, b in zip(cuts, [*cuts[1:], len(order)])]
         return pa.table({"block": pa.array(bs, pa.int64()), "data": pa.array(data, pa.binary())})
 
-    windows = answer(rows.mapInArrow(name_windows, kind), share_windows, "windows")
+    windows = answer(rows.mapInArrow(name_windows, kind), share_windows, f"{base}/windows")
 
     def drop(batches):
-        hashes, known_phrases, owners = WordHashes(), _Answers(phrases, ("u8",)), _Answers(windows, _OWNER)
+        hashes, known_phrases, owners = WordHashes(), Answers(phrases, ("u8",)), Answers(windows, _OWNER)
         for batch in batches:
             ids, own = batch.column("doc_id").to_numpy(), _own(batch)
             n_words, n_removed, kept = [], [], []
@@ -345,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 gone = np.zeros(len(chunk.symbols) + 1, np.int64)
                 known, owner = known_phrases.of(block), owners.of(block)
                 if known is not None and owner is not None:
-                    which = np.flatnonzero(_is_in(chunk.phrases(), known[0]))
+                    which = np.flatnonzero(is_in(chunk.phrases(), known[0]))
                     h, g = chunk.windows(which)
                     doc = chunk.doc[which]
                     start = (chunk.starts[which] - chunk.first[doc]).astype(np.uint32)
