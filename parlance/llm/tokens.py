@@ -36,12 +36,13 @@ class Encoder:
     """Ids of a text, equal to `Tokenizer.encode(text, add_special_tokens=False).ids`.
 
     The tokenizer's splitter never joins characters across white space, so a text's ids are those of its words in a
-    row. Words and the splitter's pieces are remembered (both memories are emptied at a bound). Words that the fast
+    row. Words and the splitter's pieces are remembered: words up to a bound at which they are forgotten, pieces in two
+    generations, so that those in use outlive it. Words that the fast
     way does not cover (code points over U+024F, special-token strings, other kinds of tokenizer) go through the
     tokenizer itself.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000, most_pieces: int = 900_000):
+    def __init__(self, path: str, most_words: int = 500_000, most_pieces: int = 650_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,6 +51,7 @@ class Encoder:
         self.full = Tokenizer.from_str(json.dumps(spec))
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.most_words, self.most_pieces = most_words, most_pieces
         self.width = 2 if self.full.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
@@ -66,7 +68,8 @@ class Encoder:
         if len(self.words) + len(new) > self.most_words:
             self.words.clear()
         if len(self.pieces) > self.most_pieces:
-            self.pieces.clear()
+            self.old, self.pieces = self.pieces, {}
+        pieces, old = self.pieces, self.old
         cut_up: list[tuple[bytes, list[str]]] = []
         unknown: dict[str, None] = {}
         for w in new:
@@ -77,15 +80,18 @@ class Encoder:
             ps = self.pattern.findall(s.lower())
             cut_up.append((w, ps))
             for p in ps:
-                if p not in self.pieces:
-                    unknown[p] = None
+                if p not in pieces:
+                    if (known := old.get(p)) is not None:
+                        pieces[p] = known
+                    else:
+                        unknown[p] = None
         todo = list(unknown)
         for a in range(0, len(todo), 4096):
             part = todo[a : a + 4096]
             for p, e in zip(part, self.bare.encode_batch_fast(part, add_special_tokens=False)):
-                self.pieces[p] = np.array(e.ids, self.kind).tobytes()
+                pieces[p] = np.array(e.ids, self.kind).tobytes()
         for w, ps in cut_up:
-            self.words[w] = self.pieces[ps[0]] if len(ps) == 1 else b"".join([self.pieces[p] for p in ps])
+            self.words[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, as packed integers of `width` bytes."""
