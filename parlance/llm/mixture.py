@@ -5,7 +5,8 @@ target T and W words takes each of its documents T/W times on average: the whole
 fraction f by a sample. The sample is drawn by the cube method: all inclusion probabilities of a source start at f and
 walk, three documents at a time, along the null space of the balancing constraints (number of documents and number of
 words), until each is 0 or 1 but for at most two of a block. What is left of the blocks meets in further rounds, and
-the last few documents of a source are landed one by one so that the words taken stay nearest to the target.
+the last few documents of a source are landed one by one so that the words taken stay nearest to the target; single
+documents of that last block are then flipped while this brings the source nearer still.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from parlance.llm.common import WORD, cut, groups
 
 #: Documents that one task walks through together.
-BLOCK = 20_000
+BLOCK = 2_000
 
 
 def n_words(text: Column) -> Column:
@@ -83,27 +84,20 @@ def land(units: list[tuple[float, int]], gap: float) -> list[float]:
     return out
 
 
-def land_giants(units: list[tuple[float, int]], rng: random.Random) -> list[float]:
-    """For units by falling size: rounds the leading ones of which each outweighs a twentieth of all that are smaller,
-    and moves the others' probabilities to make up for it, so that no giant is left over at the end."""
-    p = [x for x, _ in units]
-    rest = sum(s for _, s in units)
-    off, at = (rng.random() - 0.5) * units[0][1] if units else 0.0, 0
-    drift = 0.0
-    while at < len(units):
-        q, size = units[at]
-        if 20 * size <= rest - size or rest == size:
+def settle(units: list[tuple[float, int]], p: list[float]) -> list[float]:
+    """Flips single documents of a landed sample while a flip brings the words taken nearer to their expectation."""
+    p = list(p)
+    off = sum((x - q) * s for (q, s), x in zip(units, p))
+    free = [i for i, (q, s) in enumerate(units) if 0 < q < 1 and s]
+    for _ in range(16):
+        if not free:
+            break
+        move = lambda i: units[i][1] * (1 - 2 * p[i])
+        best = min(free, key=lambda i: (abs(off + move(i)), i))
+        if abs(off + move(best)) >= abs(off):
             break
-        rest -= size
-        if 0 < q < 1:
-            p[at] = float(abs(off + (1 - q) * size) < abs(off - q * size))
-            off += (p[at] - q) * size
-            drift += (p[at] - q) * size
-        at += 1
-    if drift and rest:
-        for i in range(at, len(units)):
-            if 0 < p[i] < 1:
-                p[i] = min(1.0, max(0.0, p[i] - drift / rest))
+        off += move(best)
+        p[best] = 1 - p[best]
     return p
 
 
@@ -114,13 +108,13 @@ def _round(units: DataFrame, turn: int, last: bool, seed: int) -> DataFrame:
         for g in groups(batches, "block_key"):
             rng = random.Random(f"{seed}:{turn}:{g['block_key'].iloc[0]}")
             pairs = list(zip(g["p"].tolist(), g["unit_size"].tolist()))
-            start = land_giants(pairs, rng) if last else [q for q, _ in pairs]
-            p = flight([(q, s) for q, (_, s) in zip(start, pairs)], rng)
+            p = flight(pairs, rng)
             left = [i for i, x in enumerate(p) if 0 < x < 1]
             if last and left:
-                gap = sum((x - q) * s for (q, s), x in zip(pairs, p))  # what giants and rounding have let slip
+                gap = sum((x - q) * s for (q, s), x in zip(pairs, p))  # what rounding has let slip
                 for i, x in zip(left, land([(p[i], pairs[i][1]) for i in left], gap)):
                     p[i] = x
+                p = settle(pairs, p)
             yield g.assign(p=p)
 
     return units.repartition("block_key").sortWithinPartitions("block_key", F.col("unit_size").desc(), "doc_id", "digest").mapInPandas(walk, units.schema)
