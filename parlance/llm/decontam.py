@@ -4,8 +4,9 @@ Texts are compared by their words in lower case, letters and digits only, as mul
 hashes). An item of m shingles is found in a document where a window of m shingles has a weighted Jaccard similarity
 (sum of the lesser weights by sum of the greater ones, weights being counts) of 0.8 or more with it.
 
-1. A window that is similar at all shares a shingle with its item, so windows are laid where a document's shingle meets
-   one of an item's, item-sized and aligned by it. Documents that share none are done after this scan.
+1. A window that is similar shares most shingles with its item. Slid to the right until it starts at a shared one, or
+   ends with the document, it loses none of them; so item-sized windows are laid from each shingle that an item has,
+   and those stay that hold enough shared shingles at all. Documents that share none are done after this scan.
 2. Each window and each item gets a 64-bit SimHash of its weighted shingles. The fingerprint is cut into 8 blocks of 8
    bits; two fingerprints within `RADIUS` = 23 bits agree in some block but for two bits at most, so items are indexed
    under all block values within two bits and each window looks up its own 8: no fingerprint within the radius is
@@ -20,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import cut
+from parlance.llm.common import cut, fresh
 
 SHINGLE = 5
 NUM, DEN = 4, 5
@@ -97,10 +98,13 @@ def _meeting(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs found: doc_id, digest (of the document's text), start (of the window, in words), item_id, similarity."""
     bench = cut(items(benchmark))
-    met = _meeting(docs, bench).select("doc_id", "digest", "shingles", F.explode("hits").alias("at"))
-    offsets = bench.select("m", F.posexplode("item").alias("offset", "h")).distinct()
-    laid = met.withColumn("h", F.col("shingles")[F.col("at")]).join(_small(offsets, MOST_BROADCAST), "h")
-    laid = laid.withColumn("start", F.col("at") - F.col("offset")).where((F.col("start") >= 0) & (F.col("start") + F.col("m") <= F.size("shingles")))
+    met = _meeting(docs, bench).select("doc_id", "digest", "shingles", "hits", F.explode("hits").alias("at"))
+    lengths = bench.select("m", F.explode("item").alias("h")).distinct()
+    laid = met.withColumn("h", F.col("shingles")[F.col("at")]).join(_small(lengths, MOST_BROADCAST), "h").where(F.col("m") <= F.size("shingles"))
+    laid = laid.withColumn("start", F.least(F.col("at"), F.size("shingles") - F.col("m")))
+    # Similar windows share NUM / DEN of the union, which is 2 NUM / (NUM + DEN) of the item, or more.
+    held = F.size(F.filter("hits", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("m"))))
+    laid = laid.where((NUM + DEN) * held >= 2 * NUM * F.col("m"))
     windows = laid.select("doc_id", "digest", "m", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("win")).dropDuplicates(["doc_id", "digest", "m", "start"])
     printed = cut(windows.withColumn("win_fp", simhash(F.col("win"))))
     blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)]))
@@ -143,7 +147,8 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with the columns they had."""
-    found = cut(contaminated(docs, benchmark)).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    keyed = docs.withColumn("_d", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    on = (F.col("_d") == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    i, d, own = fresh(docs, "doc_id", "digest", "own")
+    found = cut(contaminated(docs, benchmark)).select(F.col("doc_id").alias(i), F.col("digest").alias(d))
+    keyed = docs.withColumn(own, F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
+    on = (F.col(own) == F.col(d)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i))
     return keyed.join(_small(found, MOST_BROADCAST), on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

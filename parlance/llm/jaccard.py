@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import WordHashes, components, cut, groups, mix, parts_of, shingles
+from parlance.llm.common import WordHashes, components, cut, fresh, groups, mix, parts_of, shingles
 
 _U = np.uint64
 SHINGLE = 5
@@ -194,14 +194,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     best = dup.groupBy("class_root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("digest"))).alias("best")).where("n > 1")
     marked = dup.join(best, "class_root")
     is_best = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("digest") == F.col("best.digest"))
-    gone = cut(marked.where(~is_best).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct())
-    again = cut(marked.where(is_best).groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")))
-    keyed = docs.withColumn("_d", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    on = (F.col("_d") == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    i, d, own = fresh(docs, "doc_id", "digest", "own")
+    named = (F.col("doc_id").alias(i), F.col("digest").alias(d))
+    gone = cut(marked.where(~is_best).select(*named).distinct())
+    again = cut(marked.where(is_best).groupBy("doc_id", "digest").count().where("count > 1").select(*named))
+    keyed = docs.withColumn(own, F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
+    on = (F.col(own) == F.col(d)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i))
     small = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
     kept = keyed.join(small(gone), on, "left_anti")
     if not again.isEmpty():  # rows repeated as a whole: one of them stays
-        repeated = kept.join(small(again), on, "left_semi").dropDuplicates(["doc_id", "_d"])
+        repeated = kept.join(small(again), on, "left_semi").dropDuplicates(["doc_id", own])
         kept = kept.join(small(again), on, "left_anti").unionByName(repeated)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 

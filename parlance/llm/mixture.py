@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import WORD, cut, groups
+from parlance.llm.common import WORD, cut, fresh, groups
 
 #: Documents that one task walks through together.
 BLOCK = 2_000
@@ -165,10 +165,11 @@ def mix(docs: DataFrame, weights: list[float] | None = None, most: float = 3.0,
 
 def taken_rows(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it, with the columns it had."""
-    m = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("digest").alias("_d"), F.col("size").alias("_z"), F.col("copies").alias("_c"))
-    d = docs.withColumns({"_digest": F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)), "_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))})
-    on = (F.col("_key") == F.coalesce(F.col("_i"), F.lit(-1))) & (F.col("_digest") == F.col("_d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s"))
-    return d.join(m, on).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    i, s, d, c, key, own, n = fresh(docs, "doc_id", "source", "digest", "copies", "key", "own", "n")
+    m = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("digest").alias(d), F.col("copies").alias(c))
+    rows = docs.withColumns({own: F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)), key: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))})
+    on = (F.col(key) == F.coalesce(F.col(i), F.lit(-1))) & (F.col(own) == F.col(d)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col("source").cast("string").eqNullSafe(F.col(s))
+    return rows.join(m, on).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(c)))).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
