@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import chat, decontam, jaccard, licenses, lm, mixture, quality, secrets, substring, tokens
+from parlance.llm import chat, decontam, jaccard, licenses, lm, mixture, oracle, quality, secrets, substring, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,4 +61,4 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_layers, op2_source_mixing, op3_attention_lm, op4_benchmark_simhash, op5_jaccard_forest, op6_line_quality, op7_repeated_passages, op8_chat_template, op9_token_frames, op10_license_sentences)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_benchmark_simhash": oracle.DECONTAMINATION, "op5_jaccard_forest": oracle.NEAR_DUPLICATES, "op7_repeated_passages": oracle.REPEATED_PASSAGES, "op8_chat_template": oracle.CHAT}
