@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from parlance.functions import text
-from parlance.operators import dedup, metadata, profile, sentiment
+from parlance.functions import nlp, text
+from parlance.operators import dedup, eda, metadata, profile, sentiment
 from parlance.plans.queries import AGG, PANEL, R6, SCORED, WIDE, _panel, query, scored_events, table, wide
 from parlance.sources import readers
 from parlance.streaming import ingest
@@ -230,3 +230,31 @@ def stream_daily_windows(spark, sf_dir):
 
 def _is_folder(df) -> bool:
     return not any(f.rstrip("/").endswith("/events.parquet") for f in df.inputFiles())
+
+
+# -- words, JSON, sets ------------------------------------------------------------------------------------------------
+_STOP = ", ".join(f"'{w}'" for w in nlp.STOPWORDS)
+
+
+@query(rf"SELECT doc_id, len(w) AS n_content, md5(array_to_string(w, ' ')) AS content_md5 FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP})) AS w FROM documents)")
+def content_words(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("doc_id", nlp.content_words(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").alias("n_content"), F.md5(F.array_join("w", " ")).alias("content_md5"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, '{\"event_id\":' || event_id || ',\"k\":' || json_extract_string(props, '$.k') || '}' AS packed FROM events")
+def json_round_trip(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", nlp.from_json(F.col("props"), "k int")["k"].alias("k"))
+    return e.withColumn("packed", nlp.to_json(F.struct("event_id", "k")))
+
+
+@query("WITH a AS (SELECT DISTINCT o_orderstatus AS s FROM orders), p AS (SELECT o_custkey, list(DISTINCT o_orderstatus) AS l FROM orders GROUP BY o_custkey) SELECT o_custkey, (SELECT count(*) FROM a WHERE s NOT IN ('F', 'O') AND list_contains(l, s)) = 0 AS only_f_o FROM p")
+def subset_test(spark, sf_dir):
+    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("l"))
+    return g.select("o_custkey", nlp.is_subset(F.col("l"), F.array(F.lit("F"), F.lit("O"))).alias("only_f_o"))
+
+
+@query("SELECT count_if(trim(coalesce(source, '')) = '') AS missing_company, 0::BIGINT AS missing_title, 0::BIGINT AS missing_date, count_if(trim(coalesce(text, '')) = '') AS missing_text FROM documents")
+def eda_missing(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.lit("t").alias("title"), F.lit("2020-01-01").alias("date"), "text")
+    return eda.run_eda(d)["missing"]

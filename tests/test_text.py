@@ -90,3 +90,21 @@ def test_dates(spark):
 @given(st.text(alphabet="ab \n\t<>", max_size=60))
 def test_plain_clean_is_idempotent(t):
     assert plain_clean(plain_clean(t)) == plain_clean(t) or "<" in plain_clean(t)
+
+
+def test_nlp(spark):
+    from parlance.functions import nlp
+
+    assert one(spark, nlp.content_words, "The quick brown foxes, and a dog", None) == [["quick", "brown", "foxes", "dog"], []]
+    assert one(spark, lambda c: nlp.normalised(c, nlp.stem), "They were walking quickly past classes") == ["walk quick past class"]
+    assert one(spark, lambda c: nlp.from_json(c, "a int")["a"], '{"a": 1}', "no", None) == [1, None, None]
+    assert spark.range(1).select(nlp.percent(F.lit(0.1234))).first()[0] == "12.34%"
+
+
+def test_eda_and_checks(spark):
+    from parlance.operators import eda
+
+    d = spark.createDataFrame([("A & B", "t", "2020-01-03", "x y"), ("a and b", "t", "2020-05-03", "x y"), (None, None, None, None)], "company string, title string, date string, text string")
+    out = {k: v.collect() for k, v in eda.run_eda(d).items()}
+    assert out["duplicates"][0].dup_rows == 2 and out["variants"][0].variants == "A & B | a and b" and out["missing"][0].missing_text == 1
+    assert out["coverage"][0].coverage == 1.0 and out["frequency"][0].upper_median == 2
