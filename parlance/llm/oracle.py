@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import chat
+from parlance.llm import chat, quality
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _PLAIN = r"list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
@@ -43,3 +43,19 @@ _escaped = lambda c: f"length({c}) + length({c}) - length(replace({c}, '\\', '')
 CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum({len(chat.TURN + chat.BODY + chat.END)} + {_escaped('role')} + {_escaped('text')})::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
+
+_listed = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+_ends = "right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) IN (" + _listed(quality.ENDS) + ")"
+QUALITY = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+ln AS (SELECT doc_id, i, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+f AS (SELECT *, len(ws) AS n, len(ws) < {quality.SHORT_LINE} AND NOT ({_ends}) AS frag, count(*) OVER (PARTITION BY doc_id) = 1 AS lone FROM ln WHERE len(ws) > 0),
+nb AS (SELECT *, coalesce(lag(frag) OVER o, false) OR coalesce(lead(frag) OVER o, false) AS near FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, n, line, CASE WHEN NOT regexp_matches(line, '[\p{{L}}\p{{N}}]') OR (n >= 3 AND 2 * len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>!?~^=_]{{2,}}'))) >= n) THEN 'p'
+  WHEN NOT lone AND n >= 3 AND 3 * len(list_filter(ws, lambda x: x IN ({_listed(sorted(quality.SEPARATORS))}))) >= n THEN 'n' WHEN NOT lone AND n < {quality.SHORT_LINE} AND lower(trim(line, ' ' || chr(9) || chr(13) || '.:|»›>')) IN ({_listed(sorted(quality.MENU))}) THEN 'n'
+  WHEN NOT lone AND frag AND near THEN 'p' WHEN regexp_matches(line, '\b({'|'.join(quality.PHRASES)})\b', 'i') THEN 'b' END AS rule FROM nb),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(rule) AS n_lines_removed, coalesce(sum(n) FILTER (rule IS NOT NULL), 0)::BIGINT AS n_words_removed, count_if(rule = 'p') AS by_punctuation, count_if(rule = 'n') AS by_navigation, count_if(rule = 'b') AS by_boilerplate FROM r GROUP BY doc_id),
+win AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, w[s:s + 4]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, s + unnest(range(5)) AS p FROM win WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_words_removed, 0) AS n_words_removed, coalesce(by_punctuation, 0) AS by_punctuation, coalesce(by_navigation, 0) AS by_navigation, coalesce(by_boilerplate, 0) AS by_boilerplate FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND n_words_removed <= {quality.MOST_LOST} * n_words AS kept FROM m"""

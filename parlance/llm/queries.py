@@ -61,4 +61,4 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_layers, op2_source_mixing, op3_attention_lm, op4_benchmark_simhash, op5_jaccard_forest, op6_line_quality, op7_repeated_passages, op8_chat_template, op9_token_frames, op10_license_sentences)}
-ORACLE: dict[str, str] = {"op4_benchmark_simhash": oracle.DECONTAMINATION, "op5_jaccard_forest": oracle.NEAR_DUPLICATES, "op7_repeated_passages": oracle.REPEATED_PASSAGES, "op8_chat_template": oracle.CHAT}
+ORACLE: dict[str, str] = {"op4_benchmark_simhash": oracle.DECONTAMINATION, "op5_jaccard_forest": oracle.NEAR_DUPLICATES, "op6_line_quality": oracle.QUALITY, "op7_repeated_passages": oracle.REPEATED_PASSAGES, "op8_chat_template": oracle.CHAT}
