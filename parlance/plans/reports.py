@@ -6,19 +6,21 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from parlance.functions import nlp, text
+from parlance.functions import dates, nlp, text
 from parlance.operators import dedup, eda, metadata, profile, sentiment
 from parlance.plans.queries import AGG, PANEL, R6, SCORED, WIDE, _panel, query, scored_events, table, wide
 from parlance.sources import readers
 from parlance.streaming import ingest
 
-YQ = F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"))
+
+def order_quarter():
+    return dates.year_quarter(F.year("o_orderdate"), F.quarter("o_orderdate"))
 
 
 # -- corpus profile ---------------------------------------------------------------------------------------------------
 @query("SELECT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS year_quarter, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share_pct FROM orders GROUP BY 1")
 def calls_per_quarter(spark, sf_dir):
-    return profile.value_counts(table(spark, sf_dir, "orders").select(YQ.alias("year_quarter")), "year_quarter")
+    return profile.value_counts(table(spark, sf_dir, "orders").select(order_quarter().alias("year_quarter")), "year_quarter")
 
 
 @query("SELECT count(*) AS n, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.10), 6) AS p10, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.75), 6) AS p75, round(quantile_cont(n, 0.90), 6) AS p90, max(n) AS max FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
@@ -40,7 +42,7 @@ def company_quarter_pivot(spark, sf_dir):
 @query("WITH e AS (SELECT DISTINCT o_custkey, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS q FROM orders) SELECT o_custkey, count(*) AS n_periods, round(count(*) / (SELECT count(DISTINCT q) FROM e), 6) AS coverage FROM e GROUP BY o_custkey ORDER BY coverage DESC, o_custkey LIMIT 100")
 def coverage_ratio(spark, sf_dir):
     """The first hundred: the report's own limit."""
-    return profile.coverage(table(spark, sf_dir, "orders").select("o_custkey", YQ.alias("q")), "o_custkey", "q", 100)
+    return profile.coverage(table(spark, sf_dir, "orders").select("o_custkey", order_quarter().alias("q")), "o_custkey", "q", 100)
 
 
 @query("SELECT (n // 100 * 100) || '-' || (n // 100 * 100 + 99) AS bin, count(*) AS n FROM (SELECT len(regexp_extract_all(text, '\\S+')) AS n FROM documents) GROUP BY 1")

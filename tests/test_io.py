@@ -64,3 +64,13 @@ def test_entry_without_the_optional_part(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["source", "lang", "n_sentences", "mean_tokens", "median_tokens", "p95_tokens"]
     assert json.dumps(sorted(e.queries()))
+
+
+def test_import_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=here, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
