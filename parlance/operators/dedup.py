@@ -15,13 +15,20 @@ SIMILAR_TITLE = 0.96
 SIMILAR_LENGTH = 0.01
 
 
-def title_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity."""
+def _ratio(a: str, b: str, least: float) -> float:
+    """Ratcliff-Obershelp similarity; below least, an upper bound of it may stand in its place."""
+    m = SequenceMatcher(None, a, b)
+    bound = m.quick_ratio()  # from letter counts, in time proportional to the lengths
+    return m.ratio() if bound >= least else bound
 
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, s, t).ratio() for s, t in zip(x, y)], dtype="float64")
 
-    return F.pandas_udf(ratio, "double")(a, b)
+def title_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Similarity of titles, exact where it is `least` or more."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_ratio(s, t, least) for s, t in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b)
 
 
 def exact_repeats(df: DataFrame, columns: Sequence[str], order: str, flag: str = "is_duplicate") -> DataFrame:
@@ -78,7 +85,7 @@ def deduplicate(df: DataFrame, order: str = "ord", scope: Sequence[str] = ()) ->
         same &= F.col(c).eqNullSafe(F.col(f"_a_{c}"))
     na, nb = F.length("_ta"), F.length("_title")
     pairs = titles.join(a, same & (F.col("_ta") != F.col("_title")) & (2 * F.least(na, nb) >= SIMILAR_TITLE * (na + nb)))
-    similar = pairs.where(title_ratio(F.col("_title"), F.col("_ta")) >= SIMILAR_TITLE)
+    similar = pairs.where(title_ratio(F.col("_title"), F.col("_ta"), SIMILAR_TITLE) >= SIMILAR_TITLE)
     # The title's own first row counts, too: equal titles have a ratio of 1.
     seen = titles.select(*group, "_title", "_seen").unionByName(similar.select(*group, "_title", F.col("_sa").alias("_seen")))
     names = [*group, "_title"]
