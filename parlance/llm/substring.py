@@ -13,7 +13,8 @@ of its own, the one with the least name among those that start at words 3 to 9,
 
 Three scans over the texts, with two Spark rounds between them that name what is shared:
 
-1. The windows' phrases are counted over the corpus by name; each block of documents gets back the names that occur twice.
+1. The places of the windows' phrases are counted over the corpus by name; each block of documents gets back the names
+   that have two places or more.
 2. Only windows whose phrase is shared can be repeats. Their exact 96-bit content hashes are counted, and each block
    gets back, for each hash that is shared, who has it first.
 3. Each document drops the words that windows with another, earlier owner cover.
@@ -105,8 +106,8 @@ class Chunk:
         self.starts = np.arange(len(self.doc)) + skipped
         self.content = Content(self.symbols, _BASES[0])
 
-    def phrases(self) -> np.ndarray:
-        """The name of each window's own phrase."""
+    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
+        """The name of each window's own phrase, and the names of these phrases, once for each place where one stands."""
         n = len(self.symbols)
         at = borders(self.symbols, self.stop)
         end = np.append(at, n)[np.minimum(np.searchsorted(at, at + PHRASE), len(at))]
@@ -116,7 +117,12 @@ class Chunk:
         acc = names[3 : 3 + n].copy()
         for k in range(1, span):
             np.minimum(acc, names[3 + k : 3 + k + n], out=acc)
-        return acc[self.starts]
+        own = acc[self.starts]
+        chosen = np.zeros(len(names), bool)
+        for k in range(3, 3 + span):
+            at = self.starts + k
+            chosen[at[names[at] == own]] = True
+        return own, names[chosen]
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The content hashes (64 and 32 bits) of the windows with these numbers."""
@@ -159,7 +165,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         for batch in batches:
             out = []
             for block, _, chunk in _chunks(batch, hashes, window):
-                names, first, counts = np.unique(chunk.phrases(), return_index=True, return_counts=True)
+                names, counts = np.unique(chunk.phrases()[1], return_counts=True)
                 for k, at in by_bucket(names, buckets):
                     out.append((k, block, pack(names[at], (counts[at] > 1).astype("u1"))))
             yield sent_rows(out)
@@ -192,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 known = answers.of(block)
                 if known is None:
                     continue
-                which = np.flatnonzero(is_in(chunk.phrases(), known[0]))
+                which = np.flatnonzero(is_in(chunk.phrases()[0], known[0]))
                 if not len(which):
                     continue
                 h, g = chunk.windows(which)
@@ -243,7 +249,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 gone = np.zeros(len(chunk.symbols) + 1, np.int64)
                 known, owner = known_phrases.of(block), owners.of(block)
                 if known is not None and owner is not None:
-                    which = np.flatnonzero(is_in(chunk.phrases(), known[0]))
+                    which = np.flatnonzero(is_in(chunk.phrases()[0], known[0]))
                     h, g = chunk.windows(which)
                     doc = chunk.doc[which]
                     start = (chunk.starts[which] - chunk.first[doc]).astype(np.uint32)
