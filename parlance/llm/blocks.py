@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from parlance.llm.common import new_folder, parts_of, uri_fs
 
 _U = np.uint64
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 8_192
 
 
 def pack(*arrays: np.ndarray) -> bytes:

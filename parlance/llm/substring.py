@@ -40,8 +40,10 @@ from parlance.llm.common import WordHashes, mix, new_folder, parts_of
 
 _U = np.uint64
 #: Words that a scan works on at once.
-CHUNK = 1_000_000
+CHUNK = 300_000
 PHRASE = 5
+#: Word hashes that a scan remembers.
+HASHES = 200_000
 #: Odd multipliers of the two content hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
@@ -52,7 +54,7 @@ def _power(base: int, n: int, inverse: bool) -> np.ndarray:
     key = (base, inverse)
     if key not in _powers or len(_powers[key]) < n:
         b = pow(base, -1, 1 << 64) if inverse else base
-        x = np.full(max(n, CHUNK + 100_000), b, _U)
+        x = np.full(max(n, CHUNK + 50_000), b, _U)
         x[0] = 1
         _powers[key] = np.cumprod(x, dtype=_U)
     return _powers[key][:n]
@@ -161,14 +163,11 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     base = new_folder(spark, "repeats")
 
     def name_phrases(batches):
-        hashes = WordHashes()
+        hashes = WordHashes(HASHES)
         for batch in batches:
-            out = []
             for block, _, chunk in _chunks(batch, hashes, window):
                 names, counts = np.unique(chunk.phrases()[1], return_counts=True)
-                for k, at in by_bucket(names, buckets):
-                    out.append((k, block, pack(names[at], (counts[at] > 1).astype("u1"))))
-            yield sent_rows(out)
+                yield sent_rows([(k, block, pack(names[at], (counts[at] > 1).astype("u1"))) for k, at in by_bucket(names, buckets)])
 
     def share_phrases(t: pa.Table) -> pa.Table:
         blocks = t["block"].to_numpy()
@@ -187,9 +186,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     phrases = answer(rows.mapInArrow(name_phrases, kind), share_phrases, f"{base}/phrases")
 
     def name_windows(batches):
-        hashes, answers = WordHashes(), Answers(phrases, ("u8",))
+        hashes, answers = WordHashes(HASHES), Answers(phrases, ("u8",))
         for batch in batches:
-            out = []
             ids, own = batch.column("doc_id").to_numpy(), _own(batch)
             blocks = batch.column("block").to_numpy()
             if all(answers.of(int(b)) is None for b in np.unique(blocks)):
@@ -214,9 +212,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 h, g, doc_id, mine, start = (x[new] for x in (h, g, doc_id, mine, start))
                 back = np.lexsort((start, mine, doc_id))  # in order of place the entries compress better
                 h, g, doc_id, mine, start, more = (x[back] for x in (h, g, doc_id, mine, start, more.astype("u1")))
-                for k, at in by_bucket(h, buckets):
-                    out.append((k, block, pack(h[at], g[at], doc_id[at], mine[at], start[at], more[at])))
-            yield sent_rows(out)
+                yield sent_rows([(k, block, pack(h[at], g[at], doc_id[at], mine[at], start[at], more[at])) for k, at in by_bucket(h, buckets)])
 
     def share_windows(t: pa.Table) -> pa.Table:
         blocks = t["block"].to_numpy()
@@ -241,7 +237,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     windows = answer(rows.mapInArrow(name_windows, kind), share_windows, f"{base}/windows")
 
     def drop(batches):
-        hashes, known_phrases, owners = WordHashes(), Answers(phrases, ("u8",)), Answers(windows, _OWNER)
+        hashes, known_phrases, owners = WordHashes(HASHES), Answers(phrases, ("u8",)), Answers(windows, _OWNER)
         for batch in batches:
             ids, own = batch.column("doc_id").to_numpy(), _own(batch)
             n_words, n_removed, kept = [], [], []
