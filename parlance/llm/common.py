@@ -51,6 +51,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
+#: Rows of an Arrow batch on its way to Python; the default of 10,000 is 35 MB of text where documents are of usual length.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, which bounds what JVM and Python hold of them at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -63,7 +74,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash; bounded, since it is emptied when it holds `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -145,6 +156,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(roots)
 
 
+def release() -> None:
+    """Gives memory that is free in this Python worker back to the system; workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder that nothing reads any more, wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def uri_fs(uri: str):
     """The file system and path of a URI, for Python workers; a plain path counts as local."""
     from pyarrow import fs
