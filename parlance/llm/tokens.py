@@ -77,7 +77,13 @@ class Encoder:
             if not (s.isascii() or max(s) < "ɐ") or any(t in w for t in self.special):
                 self.words[w] = np.array(self.full.encode(s, add_special_tokens=False).ids, self.kind).tobytes()
                 continue
-            ps = self.pattern.findall(s.lower())
+            low = s.lower()
+            if w.isalpha():  # ASCII letters are one piece, and so is one sign or digit behind them
+                ps = [low]
+            elif w[:-1].isalpha() and 0x20 < w[-1] < 0x7F:
+                ps = [low[:-1], low[-1]]
+            else:
+                ps = self.pattern.findall(low)
             cut_up.append((w, ps))
             for p in ps:
                 if p not in pieces:
@@ -108,25 +114,28 @@ class Encoder:
                 end += 1
             split = [words_of(t) for t in texts[at:end]]
             known = self.words
-            new = {w for ws in split for w in ws if w not in known}
+            new = set().union(*split).difference(known)
             if new:
                 before = len(known)
                 self._learn(sorted(new))
                 if len(known) < before:  # it was emptied
-                    self._learn(sorted({w for ws in split for w in ws if w not in known}))
+                    self._learn(sorted(set().union(*split).difference(known)))
             for ws in split:
                 yield b"".join([known[w] for w in ws])
             at = end
 
 
-_encoders: dict[str, Encoder] = {}
+#: What an encoder remembers: (words, pieces of a generation). About 200 bytes each; SMALL is for workers that other
+#: operators have used before.
+LARGE, SMALL = (500_000, 650_000), (250_000, 300_000)
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: tuple[int, int] = LARGE) -> Encoder:
     """One encoder for each worker process; it outlives the task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, memory) not in _encoders:
+        _encoders[path, memory] = Encoder(path, *memory)
+    return _encoders[path, memory]
 
 
 def _skippable(magic: int, body: bytes) -> bytes:
@@ -230,7 +239,7 @@ class TokenFile:
                 yield None if self.nulls[i] else int(self.doc_ids[i]), a, ids[a - base : b - base]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, memory: tuple[int, int] = LARGE) -> DataFrame:
     """Writes the ids of all documents, in ascending doc_id order (null first), as one file for each range of ids.
 
     Rows of one doc_id are ordered by a hash of their text, so that ties and repeated rows have one order and a doc_id
@@ -243,7 +252,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     folder = folder or new_folder(spark, "tokens")
 
     def write(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memory)
         end = np.array([end_id], enc.kind).tobytes()
         part = TaskContext.get().partitionId()
         fs, top = uri_fs(folder)
