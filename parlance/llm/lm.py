@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import json
 import zlib
 from array import array
 
@@ -36,15 +35,18 @@ from pyspark.sql import functions as F
 
 from parlance.llm.blocks import Answers, answer, by_bucket, pack, stored, stretches, unpack
 from parlance.llm.common import cut, drop_folder, new_folder, parts_of, release
+from parlance.llm.tokens import Encoder
 
 #: Documents with this remainder of crc32(doc_id) are held out.
 FOLDS, HELD_OUT = 7, 2
 #: Model sizes: window, overlap, width, classes, ids with parameters of their own (the most frequent ones).
-WINDOW, OVERLAP, WIDTH, CLASSES, OWN_IDS = 32, 4, 16, 32, 1023
+WINDOW, OVERLAP, WIDTH, CLASSES, OWN_IDS = 32, 4, 16, 64, 2047
 #: One training window in so many; rounds of averaging; windows of a step; step size.
 EVERY, ROUNDS, STEP, RATE = 64, 2, 64, 0.01
 #: Words that the scan works on at once.
 CHUNK = 200_000
+#: Bytes of an Arrow batch: a stored row holds thousands of documents.
+BATCH_BYTES = 8 << 20
 _U = np.uint64
 _FAR = np.float32(-1e9)
 
@@ -221,25 +223,12 @@ def build(unigrams: np.ndarray, own: np.ndarray, bigrams: np.ndarray, seed: int
 class Lexicon(dict):
     """word -> number, with the word's hash and subword ids by number; emptied between chunks at a bound.
 
-    Subwords are the entries of a public vocabulary (byte-level, with word ends), the longest that fits first. A word in
-    lower case is cut by the tokenizer's own pattern before.
+    Subwords are the tokenizer's own: a word's ids are those that it gives the word (in lower case).
     """
 
-    def __init__(self, path: str, most: int = 250_000):
-        import regex
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.vocabulary = spec["model"]["vocab"]
-        suffix = spec["model"]["end_of_word_suffix"] or ""
-        self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
-        self.size = 1 + max(self.vocabulary.values(), default=0)
-        # Entries that end a word, without their mark; and how far entries reach that begin with the same three characters.
-        self.finals = {k.removesuffix(suffix): v for k, v in self.vocabulary.items() if k.endswith(suffix)} if suffix else self.vocabulary
-        self.reach: dict[str, int] = {}
-        for k in self.vocabulary:
-            if not suffix or not k.endswith(suffix):
-                self.reach[k[:3]] = max(self.reach.get(k[:3], 0), len(k))
+    def __init__(self, path: str, most: int = 150_000):
+        self.encoder = Encoder(path, most_words=most, most_pieces=most // 2)
+        self.size = self.encoder.full.get_vocab_size()
         # The printable stand-ins that byte-level vocabularies use: a byte that prints is itself, others follow from 256.
         plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
         odd = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -247,43 +236,27 @@ class Lexicon(dict):
         self.most = most
         self.empty()
 
+    @property
+    def vocabulary(self) -> dict[str, int]:
+        return self.encoder.full.get_vocab()
+
     def empty(self) -> None:
         self.clear()
         self.hashes, self.lengths, self.ids = array("Q"), array("I"), array("I")
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        before = len(self.ids)
-        if word.isalpha():  # letters of ASCII, as most words are
-            self.ids.extend(self.subwords(word.decode()))
-        elif word[:-1].isalpha() and word[-1] < 0x80:
-            self.ids.extend(self.subwords(word[:-1].decode()))
-            self.ids.extend(self.subwords(chr(word[-1])))
-        else:
-            for piece in self.pattern.findall(word.decode("utf-8", "replace").lower()):
-                self.ids.extend(self.subwords(piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])))
-        self.lengths.append(len(self.ids) - before)
-        return k
-
-    def subwords(self, s: str) -> list[int]:
-        out, at, n, known, finals, reach = [], 0, len(s), self.vocabulary, self.finals, self.reach
-        while at < n:
-            if (k := finals.get(s[at:])) is not None:
-                out.append(k)
-                break
-            end = min(n - 1, at + reach.get(s[at : at + 3], 2))
-            while end > at + 1 and s[at:end] not in known:
-                end -= 1
-            end = max(end, at + 1)
-            out.append(known.get(s[at:end], 0))
-            at = end
-        return out
+    def learn(self, words: list[bytes]) -> None:
+        for word, ids in zip(words, self.encoder.encode_words(words)):
+            self[word] = len(self)
+            self.hashes.append(xxhash.xxh3_64_intdigest(word))
+            self.ids.extend(ids)
+            self.lengths.append(len(ids))
 
     def chunk(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hashes of the distinct words, number among them of each word, ids in a row, ids of each document)."""
         if len(self) > self.most:
             self.empty()
+        if new := set().union(*split).difference(self):
+            self.learn(sorted(new))
         sizes = [len(x) for x in split]
         numbers = np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, x) for x in split), np.int64, sum(sizes))
         hashes, lengths, ids = (np.array(x) for x in (self.hashes, self.lengths, self.ids))
@@ -359,6 +332,7 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     nothing but the number of ids. Only doc_id and text are read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     rows = stored(docs, held_out=fold == HELD_OUT)
     buckets, base = 2 * parts_of(spark), new_folder(spark, "lm")
@@ -501,15 +475,15 @@ def fit(scanned: DataFrame, tokenizer: str, base: str) -> str:
     width = len(own) + 2
 
     def pairs(batches):
-        total = np.zeros(width * width, np.int64)
+        total = np.zeros(width * width, np.uint32)  # of one task
         for batch in batches:
             for _, kept in _stored_rows(batch):
                 row = [y for t, h in zip(kept.texts(), kept.held) if not h for y in ([n_ids], t, [n_ids - 1])]
                 if row:
                     s = np.append(slot, width - 1)[np.concatenate(row)]
-                    total += np.bincount(s[:-1] * width + s[1:], minlength=len(total))
+                    np.add.at(total, s[:-1] * width + s[1:], np.uint32(1))
         known = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(known), pa.array(total[known])], names=["pair", "n"])
+        yield pa.record_batch([pa.array(known), pa.array(total[known].astype(np.int64))], names=["pair", "n"])
 
     bigrams = np.zeros(width * width, np.int64)
     for r in ids.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():  # bounded by OWN_IDS squared

@@ -99,6 +99,17 @@ class Encoder:
         for w, ps in cut_up:
             self.words[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
 
+    def encode_words(self, words: list[bytes]) -> Iterator[list[int]]:
+        """The ids of each word; nothing but pieces is remembered."""
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            if self.by_word:
+                self._learn(part)
+                yield from [np.frombuffer(self.words[w], self.kind).tolist() for w in part]
+                self.words.clear()
+            else:
+                yield from [self.full.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in part]
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, as packed integers of `width` bytes."""
         if not self.by_word:

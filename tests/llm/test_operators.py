@@ -235,6 +235,17 @@ def test_subwords_spell_the_text():
     assert [len(a) for a in lex.chunk([[], []])] == [0, 0, 0, 2]
 
 
+def test_subwords_are_the_tokenizers_own():
+    assert lm.OWN_IDS >= 2047 and lm.CLASSES >= 64
+    lex, enc = lm.Lexicon(word_bpe(), most=500), tokens.Encoder(word_bpe())
+    said = "unbelievably misunderstandings transcripts reallocation whatsoever na\u00efve! don't 12ab34 overlapping photosynthesize \u65e5\u672c\u8a9e <|endoftext|>"
+    rng = random.Random(5)
+    said = said.split() + ["".join(rng.choice("aeiorstnlch") for _ in range(rng.randrange(3, 14))) for _ in range(300)]
+    _, _, ids, n = lex.chunk([[w.encode()] for w in said])
+    for w, t in zip(said, np.split(ids, np.cumsum(n)[:-1])):
+        assert t.tolist() == enc.full.encode(w, add_special_tokens=False).ids, w
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(3)
     seq = np.tile([1, 2, 3, 4, 1, 3, 2, 4], 40)
