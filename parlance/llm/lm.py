@@ -10,9 +10,9 @@ given its class and the id before:
     p(id | before) = softmax(T[previous id] + U (x + attention(x)))[class] * p(id | class, previous id)
 
 Classes group ids that follow the same ids (k-means on left-neighbour distributions). T and the last factor are smoothed
-bigram counts (Witten-Bell); the embeddings x, one causal self-attention layer and U are trained by Adam on one window
-in `EVERY` of each training document, so what is learnt from grows with the corpus. Tasks train on their own windows from common parameters
-and the parameters are averaged, `ROUNDS` times over. Probabilities sum to 1 over all ids and the end.
+bigram counts (Witten-Bell); the embeddings x, one causal self-attention layer and U are trained by Adam on every window
+of the training documents, once. The windows are dealt to `ROUNDS` rounds; in each, tasks train on their own windows from
+common parameters and the parameters are averaged. Probabilities sum to 1 over all ids and the end.
 
 Scoring. Windows of `WINDOW` ids overlap by `OVERLAP`; the first scores all its ids, later ones those behind the
 overlap, so each id and the end are scored once, in batches with a causal mask.
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import zlib
 from array import array
 
 import numpy as np
@@ -41,12 +40,14 @@ from parlance.llm.tokens import Encoder
 FOLDS, HELD_OUT = 7, 2
 #: Model sizes: window, overlap, width, classes, ids with parameters of their own (the most frequent ones).
 WINDOW, OVERLAP, WIDTH, CLASSES, OWN_IDS = 32, 4, 16, 64, 2047
-#: One training window in so many; rounds of averaging; windows of a step; step size.
-EVERY, ROUNDS, STEP, RATE = 64, 2, 64, 0.01
+#: Rounds of averaging; windows of a step; step size.
+ROUNDS, STEP, RATE = 2, 64, 0.01
+#: Training windows that are laid out at once.
+TRAINED = 128 * STEP
 #: Words that the scan works on at once.
 CHUNK = 200_000
-#: Bytes of an Arrow batch: a stored row holds thousands of documents.
-BATCH_BYTES = 8 << 20
+#: Bytes of an Arrow batch: a stored row holds hundreds of documents.
+BATCH_BYTES = str(8 << 20)
 _U = np.uint64
 _FAR = np.float32(-1e9)
 
@@ -332,7 +333,7 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     nothing but the number of ids. Only doc_id and text are read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     rows = stored(docs, held_out=fold == HELD_OUT)
     buckets, base = 2 * parts_of(spark), new_folder(spark, "lm")
@@ -361,7 +362,7 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         known = np.flatnonzero(unigrams)
         yield row_of("unigrams", 0, 0, pack(known.astype("u4"), unigrams[known].astype("u8")))
 
-    rows.mapInArrow(scan, "kind string, bucket int, block long, data binary").write.partitionBy("kind").parquet(f"{base}/scan")
+    rows.mapInArrow(scan, "kind string, bucket int, block long, data binary").write.option("parquet.block.size", 16 << 20).partitionBy("kind").parquet(f"{base}/scan")
     scanned = spark.read.schema("bucket int, block long, data binary, kind string").parquet(f"{base}/scan")
 
     # Counts of words, answered by block, with each bucket's share of N and V.
@@ -424,22 +425,25 @@ _loaded: dict[str, Model] = {}
 
 
 def save(model: Model, uri: str) -> str:
-    """Stores a model (some hundred kB, whatever the corpus) in the shared folder."""
+    """Stores a model (some MB, whatever the corpus) in the shared folder; its largest table, which only scoring reads, in
+    a file of its own."""
     import io
 
     from parlance.llm.common import uri_fs
 
     buffer = io.BytesIO()
-    np.savez(buffer, **model.dump())
+    np.savez(buffer, **{k: v for k, v in model.dump().items() if k != "within"})
     fs, path = uri_fs(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(path) as f:
         f.write(buffer.getvalue())
+    with fs.open_output_stream(f"{path}.within") as f:
+        f.write(np.ascontiguousarray(model.within, "<f4").data)
     return uri
 
 
-def load(uri: str) -> Model:
-    if uri not in _loaded:
+def load(uri: str, scoring: bool = True) -> Model:
+    if uri not in _loaded or scoring and _loaded[uri].within is None:
         import io
 
         from parlance.llm.common import uri_fs
@@ -447,8 +451,12 @@ def load(uri: str) -> Model:
         fs, path = uri_fs(uri)
         with fs.open_input_file(path) as f:
             x = dict(np.load(io.BytesIO(f.read())))
+        within = None
+        if scoring:
+            with fs.open_input_file(f"{path}.within") as f:
+                within = np.frombuffer(f.read_buffer(), "<f4").reshape(len(x["bigram"]), -1)
         _loaded.clear()
-        _loaded[uri] = Model(x["slot"], x["klass"], x["inside"], x["within"], x["bigram"], {k[2:]: v for k, v in x.items() if k.startswith("p_")})
+        _loaded[uri] = Model(x["slot"], x["klass"], x["inside"], within, x["bigram"], {k[2:]: v for k, v in x.items() if k.startswith("p_")})
     m = _loaded[uri]
     return Model(m.slot, m.klass, m.inside, m.within, m.bigram, {k: v.copy() for k, v in m.params.items()})
 
@@ -493,40 +501,33 @@ def fit(scanned: DataFrame, tokenizer: str, base: str) -> str:
     where = save(model, f"{base}/model-0.npz")
     names = sorted(model.params)
 
-    def learn(batches):
-        m = load(where)
-        got: list[tuple] = []
-        beginning, steps = len(m.bigram) - 1, 0
+    def learn(batches, where: str, turn: int):
+        m = load(where, scoring=False)
+        n = 0
         for batch in batches:
-            for block, kept in _stored_rows(batch):
-                for number, h, t in zip(kept.row.tolist(), kept.held, kept.texts()):
-                    if h:
-                        continue
-                    full = np.append(t, m.end)
-                    for a in range(0, len(full), WINDOW):
-                        if zlib.crc32(b"%d %d %d" % (block, number, a)) % EVERY == 0:
-                            got.append((m.slot[full[a - 1 : a + WINDOW - 1]] if a else np.append(beginning, m.slot[full[: WINDOW - 1]])[: min(WINDOW, len(full))], m.klass[full[a : a + WINDOW]]))
-                if len(got) >= 4 * STEP:
-                    _learn_from(m, got)
-                    steps, got = steps + 1, []
-        if got:
-            _learn_from(m, got)
-            steps += 1
-        if steps:
+            for _, kept in _stored_rows(batch):
+                trains = ~kept.held.astype(bool)
+                texts = [t for t, x in zip(kept.texts(), trains) if x]
+                for slots, wanted, weight in training_windows(m, texts, kept.row[trains], turn):
+                    m.train(slots, wanted, weight)
+                    n += len(slots)
+        if n:
             flat = np.concatenate([m.params[k].reshape(-1) for k in names])
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([steps], pa.int64()), pa.array([flat.astype("f8").tobytes()], pa.binary())], names=["part", "n", "data"])
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([flat.astype("f8").tobytes()], pa.binary())], names=["part", "n", "data"])
 
     def average(t: pa.Table) -> pa.Table:
         n = t["n"].to_numpy()
         x = sum(np.frombuffer(d, "f8") * w for d, w in zip(t["data"].to_pylist(), n))
         return pa.table({"part": pa.array([0], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "data": pa.array([(x / n.sum()).tobytes()], pa.binary())})
 
+    trained = False
     for turn in range(1, ROUNDS + 1):
-        grown = cut(ids.mapInArrow(learn, "part long, n long, data binary"))
+        grown = cut(ids.mapInArrow(functools.partial(learn, where=where, turn=turn - 1), "part long, n long, data binary"))
         many = max(1, int(grown.count() ** 0.5))
         rows = grown.groupBy(F.pmod("part", F.lit(many)).alias("g")).applyInArrow(average, "part long, n long, data binary").collect()  # root of the tasks' number
-        if not rows:
-            break
+        if not rows:  # no window was dealt to this round
+            continue
+        trained = True
         flat = sum(np.frombuffer(r.data, "f8") * r.n for r in rows) / sum(r.n for r in rows)
         at = 0
         for k in names:
@@ -534,15 +535,32 @@ def fit(scanned: DataFrame, tokenizer: str, base: str) -> str:
             model.params[k] = flat[at : at + size].reshape(model.params[k].shape).astype(np.float32)
             at += size
         where = save(model, f"{base}/model-{turn}.npz")
+    if not trained:  # no training document: the counts alone, no random weights
+        model.params["U"][:] = 0
+        where = save(model, f"{base}/model-{ROUNDS + 1}.npz")
     return where
 
 
-def _learn_from(model: Model, got: list[tuple]) -> None:
-    w = max(len(k) for _, k in got)
-    slots, wanted, weight = (np.zeros((len(got), w), kind) for kind in (np.int64, np.int64, np.float32))
-    for i, (s, k) in enumerate(got):
-        slots[i, : len(s)], wanted[i, : len(k)], weight[i, : len(k)] = s, k, 1
-    model.train(slots, wanted, weight)
+def training_windows(model: Model, texts: list[np.ndarray], rows: np.ndarray, turn: int):
+    """(slots, wanted, weight) of the windows that are dealt to a round; over all rounds each window comes once."""
+    if not texts:
+        return
+    lengths = np.array([len(t) + 1 for t in texts])
+    flat = np.concatenate([np.append(t, model.end) for t in texts])
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    before = np.empty(len(flat), np.int64)
+    before[1:] = model.slot[flat[:-1]]
+    before[first[:-1]] = len(model.bigram) - 1  # the beginning
+    count = -(-lengths // WINDOW)
+    doc = np.repeat(np.arange(len(texts)), count)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    mine = np.flatnonzero((rows.astype(np.int64)[doc] + nth) % ROUNDS == turn)
+    start = first[doc[mine]] + nth[mine] * WINDOW
+    size = np.minimum(WINDOW, first[doc[mine] + 1] - start)
+    at = np.arange(WINDOW)
+    for a in range(0, len(mine), TRAINED):
+        places = np.minimum(start[a : a + TRAINED, None] + at, len(flat) - 1)
+        yield before[places], model.klass[flat[places]], (at < size[a : a + TRAINED, None]).astype(np.float32)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -260,6 +260,31 @@ def test_training_lowers_the_loss():
     assert last < 0.7 * first and rng is not None
 
 
+def test_every_window_is_trained_on_once():
+    rng = np.random.default_rng(6)
+    m = lm.build(rng.integers(1, 50, 40), np.arange(25), rng.integers(0, 9, (27, 26)).astype(float))
+    texts = [rng.integers(0, 39, n) for n in (0, 1, 31, 32, 33, 200, 0, 95)]
+    got, want = Counter(), Counter()
+    for turn in range(lm.ROUNDS):
+        for slots, wanted, weight in lm.training_windows(m, texts, np.arange(3, 11).astype("u8"), turn):
+            got.update((tuple(s[w > 0]), tuple(k[w > 0])) for s, k, w in zip(slots, wanted, weight))
+    for t in texts:
+        ids, before = np.append(t, m.end), np.append(len(m.bigram) - 1, m.slot[t])
+        want.update((tuple(before[a : a + lm.WINDOW]), tuple(m.klass[ids[a : a + lm.WINDOW]])) for a in range(0, len(ids), lm.WINDOW))
+    assert got == want
+
+
+def test_a_small_table_is_trained_on(spark, monkeypatch):
+    seen, save = [], lm.save
+    held, trains = ([i for i in range(99) if (zlib.crc32(str(i).encode()) % lm.FOLDS == lm.HELD_OUT) == h] for h in (True, False))
+    monkeypatch.setattr(lm, "save", lambda model, uri: seen.append({k: v.copy() for k, v in model.params.items()}) or save(model, uri))
+    lm.score_documents(spark.createDataFrame([(trains[0], "one short text")], "doc_id long, text string"), word_bpe()).collect()
+    assert not np.array_equal(seen[0]["U"], seen[-1]["U"]) and seen[-1]["U"].any()
+    seen.clear()
+    assert lm.score_documents(spark.createDataFrame([(held[0], "held out")], "doc_id long, text string"), word_bpe()).first().score < 0
+    assert not seen[-1]["U"].any()
+
+
 def test_lm_base_scores(docs, nothing, rows):
     got = {r.doc_id: r for r in lm.score_documents(docs, word_bpe()).collect()}
     toks = {i: [w.lower() for w in tokens_of(t)] + ["\n"] for i, t, *_ in rows}
