@@ -2,7 +2,7 @@
 
 Texts are compared by their words in lower case, letters and digits only, as multisets of five-word shingles (64-bit
 hashes). An item of m shingles is found in a document where a window of m shingles has a weighted Jaccard similarity
-(sum of the lesser weights by sum of the greater ones, weights being counts) of 0.8 or more with it.
+(sum of the lesser weights by sum of the greater ones, weights being counts) of 0.8 or more with it. A document of fewer shingles is one window.
 
 1. A window that is similar shares most shingles with its item. Slid to the right until it starts at a shared one, or
    ends with the document, it loses none of them; so item-sized windows are laid from each shingle that an item has,
@@ -100,11 +100,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bench = cut(items(benchmark))
     met = _meeting(docs, bench).select("doc_id", "digest", "shingles", "hits", F.explode("hits").alias("at"))
     lengths = bench.select("m", F.explode("item").alias("h")).distinct()
-    laid = met.withColumn("h", F.col("shingles")[F.col("at")]).join(_small(lengths, MOST_BROADCAST), "h").where(F.col("m") <= F.size("shingles"))
-    laid = laid.withColumn("start", F.least(F.col("at"), F.size("shingles") - F.col("m")))
-    # Similar windows share NUM / DEN of the union, which is 2 NUM / (NUM + DEN) of the item, or more.
+    laid = met.withColumn("h", F.col("shingles")[F.col("at")]).join(_small(lengths, MOST_BROADCAST), "h")
+    laid = laid.withColumn("start", F.greatest(F.lit(0), F.least(F.col("at"), F.size("shingles") - F.col("m"))))
+    # Similar windows share NUM / DEN of the union, which is NUM / (NUM + DEN) of both sizes together, or more.
     held = F.size(F.filter("hits", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("m"))))
-    laid = laid.where((NUM + DEN) * held >= 2 * NUM * F.col("m"))
+    laid = laid.where((NUM + DEN) * held >= NUM * (F.least("m", F.size("shingles")) + F.col("m")))
     windows = laid.select("doc_id", "digest", "m", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("win")).dropDuplicates(["doc_id", "digest", "m", "start"])
     printed = cut(windows.withColumn("win_fp", simhash(F.col("win"))))
     blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)]))
@@ -116,8 +116,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     first = F.coalesce(*[F.when(close(b), F.lit(b)) for b in range(BLOCKS)])
     near = asked.join(_small(index, MOST_BROADCAST), ["m", "b", "v"]).where((F.bit_count(F.col("fp").bitwiseXOR(F.col("win_fp"))) <= RADIUS) & (F.col("b") == first))
     shared = F.size(F.array_intersect(weighted(F.col("win")), weighted(F.col("item"))))
-    scored = near.select("doc_id", "digest", "start", "item_id", "m", shared.alias("shared"))
-    return scored.where(DEN * F.col("shared") >= NUM * (2 * F.col("m") - F.col("shared"))).select("doc_id", "digest", "start", "item_id", (F.col("shared") / (2 * F.col("m") - F.col("shared"))).alias("similarity"))
+    scored = near.select("doc_id", "digest", "start", "item_id", (F.size("win") + F.col("m")).alias("both"), shared.alias("shared"))
+    union = F.col("both") - F.col("shared")
+    return scored.where(DEN * F.col("shared") >= NUM * union).select("doc_id", "digest", "start", "item_id", (F.col("shared") / union).alias("similarity"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -346,6 +346,18 @@ def test_decontamination(spark, benchmark, literals, monkeypatch):
     assert decontam.judge(df, b.limit(0)).where("contaminated").count() == 0 and decontam.judge(df.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("literals", [decontam.MOST_LITERALS, 0])
+def test_documents_shorter_than_an_item(spark, literals, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_LITERALS", literals)
+    item = words(random.Random(3), 45, 9999)
+    ws = item.split()
+    data = [(1, " ".join(ws[:43])), (2, " ".join(ws[1:44])), (3, " ".join(ws[:30])), (4, item), (5, " ".join(ws[:5])), (6, None), (7, "")]
+    df, b = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(8, item)], "item_id long, text string")
+    got = {r.doc_id: r.similarity for r in decontam.judge(df, b).collect()}
+    assert got == {1: round(39 / 41, 6), 2: round(39 / 41, 6), 3: 0, 4: 1, 5: 0, 6: 0, 7: 0}
+    assert sorted(r.doc_id for r in decontam.clean_rows(df, b).collect()) == [3, 5, 6, 7]
+
+
 # -- 5 ----------------------------------------------------------------------------------------------------------------
 def near(rows):
     """(class, links) of each row id by brute force."""
