@@ -112,7 +112,7 @@ def _plain(text: str, lines: list[str]) -> bool:
         return False
     for line in lines:
         x = line.rstrip(BLANKS)
-        if x and (not x.endswith(ENDS) or not (x[0].isalnum() or any(c.isalnum() for c in x)) or len(x) < 24 and x.strip(BLANKS + ".:|»›>").lower() in MENU):
+        if x and (not x.endswith(ENDS) or not (x[0].isalnum() or any(c.isalnum() for c in x)) or x.strip(BLANKS + ".:|»›>").lower() in MENU):
             return False
     return True
 

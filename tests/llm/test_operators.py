@@ -419,6 +419,13 @@ def test_quality_measures(docs, nothing, rows):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+@pytest.mark.parametrize("line", [" " * 24 + "Home.", "\t" * 30 + "Read more:", "Home" + "." * 30])
+def test_padded_menu_lines_are_navigation(line):
+    text = f"This is a sentence of some words that ends well.\n{line}\nAnd here is another one that ends as well."
+    cleaned, lost, gone, why = quality.clean_lines(text)
+    assert line not in cleaned and gone == 1 and lost == len(line.split()) and why["navigation"] == 1
+
+
 def test_line_rules():
     clean = "This is a sentence of more than ten words in all, as it seems.\nAnd here is one more of them, which is long enough too."
     assert quality.verdict(clean)["kept"] and quality.verdict(clean)["clean_text"] == clean
