@@ -95,22 +95,28 @@ def _bytes_layer(raw: bytes, spans: list[tuple[int, int]]) -> Layer | None:
     return Layer(text, starts, ends)
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """What a compressed stream holds; None where it is none, is damaged or unpacks to more than MOST_UNPACKED."""
+def _member(raw: bytes, most: int) -> tuple[bytes, bytes] | None:
+    """(what the first stream holds, what follows it); None where it is none, is damaged or unpacks to more than `most`."""
     if not raw.startswith(_MAGIC):
         return None
     try:
-        if raw.startswith(b"BZh"):
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(raw, MOST_UNPACKED)
-            return out if d.eof else None
-        d = zlib.decompressobj(wbits=47)  # zlib or gzip by its head
-        out = d.decompress(raw, MOST_UNPACKED)
-        return out if d.eof else None
+        d = bz2.BZ2Decompressor() if raw.startswith(b"BZh") else zlib.decompressobj(wbits=47)  # zlib or gzip by its head
+        out = d.decompress(raw, most)
+        return (out, d.unused_data) if d.eof else None
     except (OSError, zlib.error, ValueError):
         return None
 
 
+def _unpacked(raw: bytes) -> bytes | None:
+    """What a compressed stream and the members behind it hold, up to the first that is damaged or goes beyond
+    MOST_UNPACKED in all; None where the first is none or does."""
+    out, room = None, MOST_UNPACKED
+    while room > 0 and (got := _member(raw, room)) is not None:
+        out, raw = (out or b"") + got[0], got[1]
+        room = MOST_UNPACKED - len(out)
+    return out
+
+
 def _opened(raw: bytes, spans: list[tuple[int, int]]) -> list[Layer]:
     """The layers that decoded bytes give: as text, or unpacked from any nesting of streams."""
     seen: set[bytes] = set()
