@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,117 +36,113 @@ CHECKSUM_FLAG = 0x80
 class Encoder:
     """Ids of a text, equal to `Tokenizer.encode(text, add_special_tokens=False).ids`.
 
-    The tokenizer's splitter never joins characters across white space, so a text's ids are those of its words in a
-    row. Words and the splitter's pieces are remembered: words up to a bound at which they are forgotten, pieces in two
-    generations, so that those in use outlive it. Words that the fast
-    way does not cover (code points over U+024F, special-token strings, other kinds of tokenizer) go through the
-    tokenizer itself.
+    For tokenizers that lower-case a text and cut it by a pattern, a text whose code points lie below U+0250 is cut by
+    the same pattern in one call, and the ids of each piece, which the tokenizer itself has given once, are looked up.
+    Pieces are remembered in two generations, so that those in use outlive a full memory. In other texts each word goes
+    that way on its own if it can, since the pattern never joins characters across white space; words that can't, texts
+    with the strings of special tokens and other kinds of tokenizers go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000, most_pieces: int = 650_000):
+    def __init__(self, path: str, most_pieces: int = 650_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.full = Tokenizer.from_str(json.dumps(spec))
-        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.most_words, self.most_pieces = most_words, most_pieces
+        self.most_pieces = most_pieces
         self.width = 2 if self.full.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.pattern = self.bare = None
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", ())]
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", ())
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
-        if self.by_word:
-            self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
-            self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        if self.by_piece:
+            pattern = splits[0]["pattern"]["Regex"]
+            for kind in (r"\p{L}", r"\p{N}", r"\s"):
+                pattern = pattern.replace(kind, _below(kind))
+            self.cut = re.compile(pattern).findall
+            self.special = [t["content"] for t in spec["added_tokens"]]
             self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": splits[1], "added_tokens": []}))
 
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) + len(new) > self.most_words:
-            self.words.clear()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _found(self, text: str) -> list[str] | None:
+        """The pieces of a text, or None where the pattern's short form does not hold."""
+        low = text.lower()
+        if not low.isascii() and _FAR.search(low) or any(t in text for t in self.special):
+            return None
+        return self.cut(low)
+
+    def _learn(self, found: Iterator[list[str]]) -> None:
+        """Has the ids of all these pieces in `pieces`."""
         if len(self.pieces) > self.most_pieces:
             self.old, self.pieces = self.pieces, {}
-        pieces, old = self.pieces, self.old
-        cut_up: list[tuple[bytes, list[str]]] = []
-        unknown: dict[str, None] = {}
-        for w in new:
-            s = w.decode("utf-8", "replace")
-            if not (s.isascii() or max(s) < "ɐ") or any(t in w for t in self.special):
-                self.words[w] = np.array(self.full.encode(s, add_special_tokens=False).ids, self.kind).tobytes()
-                continue
-            low = s.lower()
-            if w.isalpha():  # ASCII letters are one piece, and so is one sign or digit behind them
-                ps = [low]
-            elif w[:-1].isalpha() and 0x20 < w[-1] < 0x7F:
-                ps = [low[:-1], low[-1]]
+        pieces, old, todo = self.pieces, self.old, []
+        for p in set().union(*found).difference(pieces):
+            if (known := old.get(p)) is None:
+                todo.append(p)
             else:
-                ps = self.pattern.findall(low)
-            cut_up.append((w, ps))
-            for p in ps:
-                if p not in pieces:
-                    if (known := old.get(p)) is not None:
-                        pieces[p] = known
-                    else:
-                        unknown[p] = None
-        todo = list(unknown)
+                pieces[p] = known
         for a in range(0, len(todo), 4096):
             part = todo[a : a + 4096]
             for p, e in zip(part, self.bare.encode_batch_fast(part, add_special_tokens=False)):
                 pieces[p] = np.array(e.ids, self.kind).tobytes()
-        for w, ps in cut_up:
-            self.words[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-
-    def encode_words(self, words: list[bytes]) -> Iterator[list[int]]:
-        """The ids of each word; nothing but pieces is remembered."""
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
-            if self.by_word:
-                self._learn(part)
-                yield from [np.frombuffer(self.words[w], self.kind).tolist() for w in part]
-                self.words.clear()
-            else:
-                yield from [self.full.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in part]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, as packed integers of `width` bytes."""
-        if not self.by_word:
+        if not self.by_piece:
             for t in texts:
-                yield np.array(self.full.encode(t or "", add_special_tokens=False).ids, self.kind).tobytes()
+                yield self._whole(t or "")
             return
-        # Some hundred thousand characters at a time, so that a text's new words are learnt together.
+        # Some million characters at a time, so that their new pieces are learnt together.
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size < 400_000):
+            while end < len(texts) and (end == at or size < 1_000_000):
                 size += len(texts[end] or "")
                 end += 1
-            split = [words_of(t) for t in texts[at:end]]
-            known = self.words
-            new = set().union(*split).difference(known)
-            if new:
-                before = len(known)
-                self._learn(sorted(new))
-                if len(known) < before:  # it was emptied
-                    self._learn(sorted(set().union(*split).difference(known)))
-            for ws in split:
-                yield b"".join([known[w] for w in ws])
+            # Of each text the parts that are cut into pieces (one as a rule); a part that can't be is a str.
+            cuts: list[list[list[str] | str]] = []
+            for t in texts[at:end]:
+                if not t:
+                    cuts.append([])
+                elif (found := self._found(t)) is not None:
+                    cuts.append([found])
+                elif any(x in t for x in self.special):
+                    cuts.append([t])
+                else:
+                    words = [w.decode("utf-8", "replace") for w in words_of(t)]
+                    cuts.append([w if (ps := self._found(w)) is None else ps for w in words])
+            self._learn(x for parts in cuts for x in parts if not isinstance(x, str))
+            known = self.pieces.__getitem__
+            for parts in cuts:
+                yield b"".join([self._whole(x) if isinstance(x, str) else b"".join(map(known, x)) for x in parts])
             at = end
 
 
-#: What an encoder remembers: (words, pieces of a generation). About 200 bytes each; SMALL is for workers that other
-#: operators have used before.
-LARGE, SMALL = (500_000, 650_000), (250_000, 300_000)
+#: No text with such a character is cut by the short form of a tokenizer's pattern.
+_FAR = re.compile(r"[^\x00-\u024f]")
+
+
+def _below(kind: str) -> str:
+    """The characters of a class of a tokenizer's pattern below U+0250, as the inside of brackets."""
+    is_of = regex.compile(kind).fullmatch
+    return "".join(re.escape(c) for c in map(chr, range(0x250)) if is_of(c) and not (kind == r"\s" and 0x1C <= ord(c) < 0x20))
+
+
+#: Pieces of a generation that an encoder remembers, about 150 bytes each; SMALL is for workers that other operators have
+#: used before.
+LARGE, SMALL = 500_000, 250_000
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, memory: tuple[int, int] = LARGE) -> Encoder:
+def encoder(path: str, memory: int = LARGE) -> Encoder:
     """One encoder for each worker process; it outlives the task."""
     if (path, memory) not in _encoders:
-        _encoders[path, memory] = Encoder(path, *memory)
+        _encoders[path, memory] = Encoder(path, memory)
     return _encoders[path, memory]
 
 
@@ -250,7 +247,7 @@ class TokenFile:
                 yield None if self.nulls[i] else int(self.doc_ids[i]), a, ids[a - base : b - base]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, memory: tuple[int, int] = LARGE) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, memory: int = LARGE) -> DataFrame:
     """Writes the ids of all documents, in ascending doc_id order (null first), as one file for each range of ids.
 
     Rows of one doc_id are ordered by a hash of their text, so that ties and repeated rows have one order and a doc_id
