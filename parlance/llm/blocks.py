@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import new_folder, parts_of, uri_fs
+from parlance.llm.common import Words, new_folder, parts_of, uri_fs
 
 _U = np.uint64
 BLOCK_ROWS = 8_192
@@ -38,40 +39,41 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def stretches(batch: pa.RecordBatch, most: int, lower: bool = False) -> Iterator[tuple[int, slice, list[list[bytes]]]]:
-    """(block, rows of the batch, their words) for stretches of one block with about `most` words at most."""
+def stretches(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, slice, Words]]:
+    """(block, rows of the batch, their words) for stretches of one block with about `most` bytes of text at most."""
     blocks = batch.column("block").to_numpy()
-    texts = batch.column("text").cast(pa.binary()).to_pylist()
+    texts = batch.column("text")
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.append(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, len(blocks)) if len(blocks) else []
     a = 0
-    while a < len(texts):
-        b, n, split = a, 0, []
-        while b < len(texts) and blocks[b] == blocks[a] and (b == a or n < most):
-            t = texts[b] or b""
-            split.append((t.lower() if lower else t).split())
-            n += len(split[-1])
-            b += 1
-        yield int(blocks[a]), slice(a, b), split
-        a = b
+    for end in ends:
+        while a < end:
+            b = max(a + 1, min(int(end), int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right"))))
+            yield int(blocks[a]), slice(a, b), Words(texts.slice(a, b - a))
+            a = b
 
 
 class Answers:
     """What a round has answered for the block at hand, read from its table in the shared folder."""
 
     def __init__(self, folder: str, kinds: tuple[str, ...]):
-        self.folder, self.kinds, self.block, self.found = folder, kinds, None, None
+        self.folder, self.kinds, self.block, self.found, self.homes = folder, kinds, None, None, None
 
     def of(self, block: int) -> list[np.ndarray] | None:
         if block != self.block:
             from pyarrow import fs as pafs
 
             fs, top = uri_fs(self.folder)
-            where = f"{top}/block={block}"
+            where = f"{top}/home={home(block, self._homes(fs, top))}"
             parts = []
             if fs.get_file_info(where).type == pafs.FileType.Directory:
                 for f in fs.get_file_info(pafs.FileSelector(where)):
                     if f.base_name.endswith(".parquet"):
                         with fs.open_input_file(f.path) as src:
-                            parts += [unpack(x, *self.kinds) for x in pq.ParquetFile(src).read(columns=["data"])["data"].to_pylist()]
+                            file = pq.ParquetFile(src)
+                            for k in self._groups(file, block):
+                                t = file.read_row_group(k, columns=["block", "data"])
+                                parts += [unpack(x.as_py(), *self.kinds) for b, x in zip(t["block"].to_pylist(), t["data"]) if b == block]
             self.block, self.found = block, None
             if parts:
                 cols = [np.concatenate(x) for x in zip(*parts)]
@@ -80,6 +82,25 @@ class Answers:
         return self.found
 
 
+    def _homes(self, fs, top: str) -> int:
+        if self.homes is None:
+            with fs.open_input_file(f"{top}/_homes") as f:
+                self.homes = int(f.read())
+        return self.homes
+
+    @staticmethod
+    def _groups(file: pq.ParquetFile, block: int) -> list[int]:
+        """The row groups whose blocks span this one; the rows of a file are sorted by block."""
+        at = file.schema_arrow.names.index("block")
+        meta = [file.metadata.row_group(k).column(at).statistics for k in range(file.num_row_groups)]
+        return [k for k, m in enumerate(meta) if m is None or not m.has_min_max or m.min <= block <= m.max]
+
+
+def home(block: int, homes: int) -> int:
+    """The folder among so many that holds a block's answers."""
+    return (block & 0x7FFFFFFFFFFFFFFF) % homes
+
+
 def is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
     return known[at] == x
@@ -126,7 +147,13 @@ def stored(docs: DataFrame, **extra: Column) -> DataFrame:
 
 
 def answer(sent: DataFrame, share: Callable[[pa.Table], pa.Table], folder: str, more: str = "") -> str:
-    """Lets each bucket answer (rows block, data and what `more` adds) and writes the answers by block."""
+    """Lets each bucket answer (rows block, data and what `more` adds) and writes the answers, sorted by block, in as many
+    folders as there are shuffle partitions: few files, however many blocks, each read in ranges."""
+    homes = parts_of(sent.sparkSession)
     found = sent.groupBy("bucket").applyInArrow(share, "block long, data binary" + more)
-    found.repartition(parts_of(sent.sparkSession), "block").write.partitionBy("block").parquet(folder)
+    at = F.pmod(F.col("block").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)), F.lit(homes)).alias("home")
+    found.select("*", at).repartition(homes, "home").sortWithinPartitions("home", "block").write.option("parquet.block.size", 4 << 20).partitionBy("home").parquet(folder)
+    fs, top = uri_fs(folder)
+    with fs.open_output_stream(f"{top}/_homes") as f:
+        f.write(str(homes).encode())
     return folder

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,22 +71,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; bounded, since it is emptied when it holds `most` words."""
-
-    def __init__(self, most: int = 200_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), _U, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each bit of the result depends on all bits of x."""
     x = x ^ (x >> _U(32))
@@ -96,6 +80,100 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[ord(c) for c in BLANKS]] = True
+#: Odd bases of the word hashes, one for each set of hashes.
+_WORD_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Bytes that are hashed at once.
+_PIECE = 1 << 20
+_tables: dict[tuple, np.ndarray] = {}
+
+
+def _byte_values(which: int, lower: bool) -> np.ndarray:
+    """A random 64-bit value for each byte; with lower, A-Z count as a-z."""
+    if ("values", which, lower) not in _tables:
+        of = np.arange(256)
+        if lower:
+            of[65:91] += 32
+        _tables["values", which, lower] = mix(np.arange(1, 257, dtype=_U) * _U(_WORD_BASES[which]))[of]
+    return _tables["values", which, lower]
+
+
+def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
+    """base**i, or its inverse modulo 2**64, for i below n."""
+    have = _tables.get(("powers", base, inverse))
+    if have is None or len(have) < n:
+        x = np.full(max(n, _PIECE + 4096), pow(base, -1, 1 << 64) if inverse else base, _U)
+        x[0] = 1
+        have = np.cumprod(x, dtype=_U)
+        if len(have) > 4 * _PIECE:  # for one very long word: not kept
+            return have
+        _tables["powers", base, inverse] = have
+    return have[:n]
+
+
+class Words:
+    """The words of a row of texts: `first` (where each text's words begin among all), and where each word stands.
+
+    Nothing is done for each word in Python: words are runs of other bytes than blanks, which numpy finds in the bytes
+    of an Arrow column, and hashes come from prefix sums over these bytes, so memory does not grow with the vocabulary.
+    """
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_binary())
+        n = len(texts)
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+        if texts.null_count:  # what lies behind a null counts for nothing
+            texts = texts.fill_null(b"")
+            _, offsets, data = texts.buffers()
+            at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1]
+        self.data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+        at = at - at[0]
+        word = ~_BLANK[self.data]
+        edge = word.copy()
+        edge[1:] &= ~word[:-1]
+        full = at[:-1][at[1:] > at[:-1]]  # texts that are not empty
+        edge[full] = word[full]
+        self.begin = np.flatnonzero(edge)
+        edge = word.copy()
+        edge[:-1] &= ~word[1:]
+        last = at[1:][at[1:] > at[:-1]] - 1
+        edge[last] = ~_BLANK[self.data[last]]
+        self.end = np.flatnonzero(edge) + 1
+        self.first = np.searchsorted(self.begin, at)
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def hashes(self, which: int = 0, lower: bool = False) -> np.ndarray:
+        """64-bit hashes of the words; `which` chooses one of two independent sets."""
+        values, base = _byte_values(which, lower), _WORD_BASES[1 - which]
+        out = np.empty(len(self), _U)
+        a = 0
+        while a < len(self):
+            b = max(a + 1, int(np.searchsorted(self.end, self.begin[a] + _PIECE, "right")))
+            low, high = int(self.begin[a]), int(self.end[b - 1])
+            sums = np.zeros(high - low + 1, _U)
+            np.cumsum(values[self.data[low:high]] * powers(base, high - low), dtype=_U, out=sums[1:])
+            x, y = self.begin[a:b] - low, self.end[a:b] - low
+            out[a:b] = mix((sums[y] - sums[x]) * powers(base, high - low, True)[x] + (y - x).astype(_U))
+            a = b
+        return out
+
+
+def all_shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
+    """The shingles of each text, from the hashes of all texts' words in a row."""
+    rolled = np.zeros(max(0, len(hashes) - k + 1), _U)
+    for i in range(k):
+        rolled = mix(rolled * _U(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - k + 1 + i]) if len(rolled) else rolled
+    return [rolled[a : b - k + 1] if b - a >= k else shingles(hashes[a:b], k) for a, b in zip(first[:-1], first[1:])]
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words; the whole text is the one run where it has 1 to k-1 words."""
     n = len(hashes)
@@ -161,8 +239,6 @@ def release() -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it

@@ -3,9 +3,9 @@
 Base. Tokens are the words in lower case (A-Z only) and one end for each document. Counts over all training documents
 are summed by word hash (64 bits) in buckets; each block of documents gets back the counts of its own words.
 
-Model. One scan cuts every document into subwords and keeps its ids in the shared folder; unigram and bigram counts of ids cover
-all training documents. An id is predicted in two steps, its class given all that precedes it in the window, and the id
-given its class and the id before:
+Model. A second scan gives each document its base score and cuts it into the tokenizer's subwords, whose ids are kept in
+the shared folder; unigram and bigram counts of ids cover all training documents. An id is predicted in two steps, its
+class given all that precedes it in the window, and the id given its class and the id before:
 
     p(id | before) = softmax(T[previous id] + U (x + attention(x)))[class] * p(id | class, previous id)
 
@@ -21,19 +21,16 @@ overlap, so each id and the end are scored once, in batches with a causal mask.
 from __future__ import annotations
 
 import functools
-import itertools
-from array import array
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.blocks import Answers, answer, by_bucket, pack, stored, stretches, unpack
-from parlance.llm.common import cut, drop_folder, new_folder, parts_of, release
+from parlance.llm.blocks import Answers, answer, by_bucket, pack, sent_rows, stored, stretches, unpack
+from parlance.llm.common import cut, new_folder, parts_of, release
 from parlance.llm.tokens import Encoder
 
 #: Documents with this remainder of crc32(doc_id) are held out.
@@ -41,11 +38,13 @@ FOLDS, HELD_OUT = 7, 2
 #: Model sizes: window, overlap, width, classes, ids with parameters of their own (the most frequent ones).
 WINDOW, OVERLAP, WIDTH, CLASSES, OWN_IDS = 32, 4, 16, 64, 2047
 #: Rounds of averaging; windows of a step; step size.
-ROUNDS, STEP, RATE = 2, 64, 0.01
-#: Training windows that are laid out at once.
-TRAINED = 128 * STEP
-#: Words that the scan works on at once.
-CHUNK = 200_000
+ROUNDS, STEP, RATE = 2, 128, 0.01
+#: Windows that are scored at once, and training windows that are laid out at once.
+SCORED, TRAINED = 128, 64 * STEP
+#: Bytes of text that a scan works on at once.
+CHUNK = 2_000_000
+#: Pieces of words that the scan's encoder remembers.
+PIECES = 250_000
 #: Bytes of an Arrow batch: a stored row holds hundreds of documents.
 BATCH_BYTES = str(8 << 20)
 _U = np.uint64
@@ -64,110 +63,146 @@ class Model:
 
     def __init__(self, slot, klass, inside, within, bigram, params):
         self.slot, self.klass, self.inside, self.within, self.bigram, self.params = slot, klass, inside, within, bigram, params
-
-    def forward(self, slots: np.ndarray, keep: bool = False):
-        """(windows, places, classes): of the class that follows each place's id, the log probability if keep is set
-        (with what the gradients need), else the same up to a constant of each place."""
-        p = self.params
+        self._ready = None
+
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """For scoring, products of parameters: queries, keys and values of slots and of places, what slots, places and
+        values add to the classes."""
+        if self._ready is None:
+            p = self.params
+            d = p["E"].shape[1]
+            scale = np.ones(3 * d, np.float32)
+            scale[:d] = d**-0.5
+            self._ready = (p["E"] @ p["A"] * scale, p["P"] @ p["A"] * scale, p["E"] @ p["U"] + self.bigram, p["P"] @ p["U"], p["O"] @ p["U"])
+        return self._ready
+
+    def logits(self, slots: np.ndarray) -> np.ndarray:
+        """(windows, places, classes): of the class that follows each place's id, the log probability up to a constant."""
+        of_slot, of_place, by_slot, by_place, by_value = self.tables()
         b, w = slots.shape
-        d = p["E"].shape[1]
-        x = p["E"][slots] + p["P"][:w]
-        qkv = (x.reshape(-1, d) @ p["A"]).reshape(b, w, 3, d)
-        q, k, v = qkv[:, :, 0], qkv[:, :, 1], qkv[:, :, 2]
-        s = np.matmul(q * np.float32(d**-0.5), k.transpose(0, 2, 1))
+        flat = slots.reshape(-1)
+        qkv = of_slot[flat].reshape(b, w, -1)
+        qkv += of_place[:w]
+        d = qkv.shape[2] // 3
+        s = np.matmul(qkv[:, :, :d], qkv[:, :, d : 2 * d].transpose(0, 2, 1))
         s += _mask(w)
         np.minimum(s, 60, out=s)  # keeps exp finite without a pass for the greatest
         np.exp(s, out=s)
-        s *= 1 / (s @ np.ones((w, 1), s.dtype))
-        o = np.matmul(s, v)
-        h = x + (o.reshape(-1, d) @ p["O"]).reshape(b, w, d)
-        z = (h.reshape(-1, d) @ p["U"]).reshape(b, w, -1)
-        z += self.bigram[slots]
-        np.minimum(z, 60, out=z)
-        if not keep:
-            return z
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return z, (x, q, k, v, s, o, h)
+        o = np.matmul(s, qkv[:, :, 2 * d :])
+        o /= s @ np.ones((w, 1), s.dtype)
+        z = o.reshape(-1, d) @ by_value
+        z += by_slot[flat]
+        z = z.reshape(b, w, -1)
+        z += by_place[:w]
+        return np.minimum(z, 60, out=z)
 
     def gradients(self, slots: np.ndarray, wanted: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients; wanted: the class that follows each place, weight: 0 where nothing follows."""
         p = self.params
-        z, (x, q, k, v, s, o, h) = self.forward(slots, keep=True)
         b, w = slots.shape
-        d = x.shape[2]
+        n, d = b * w, p["E"].shape[1]
+        flat = slots.reshape(-1)
+        x = p["E"][flat].reshape(b, w, d)
+        x += p["P"][:w]
+        x = x.reshape(n, d)
+        qkv = (x @ p["A"]).reshape(b, w, 3, d)
+        q, k, v = qkv[:, :, 0] * np.float32(d**-0.5), qkv[:, :, 1], qkv[:, :, 2]
+        s = np.matmul(q, k.transpose(0, 2, 1))
+        s += _mask(w)
+        np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        s *= 1 / (s @ np.ones((w, 1), s.dtype))
+        o = np.matmul(s, v).reshape(n, d)
+        h = x + o @ p["O"]
+        z = h @ p["U"]
+        z += self.bigram[flat]
+        np.minimum(z, 60, out=z)
+        at, want, weight = np.arange(n), wanted.reshape(-1), weight.reshape(-1).astype(z.dtype)
+        got = z[at, want]
+        np.exp(z, out=z)
+        sums = z @ np.ones(z.shape[1], z.dtype)
         total = max(1.0, float(weight.sum()))
-        i, j = np.indices((b, w))
-        loss = -float((z[i, j, wanted] * weight).sum()) / total
-        dz = np.exp(z)
-        dz[i, j, wanted] -= 1
-        dz *= (weight / np.float32(total))[:, :, None]
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"U": flat(h).T @ flat(dz)}
-        dh = (flat(dz) @ p["U"].T).reshape(b, w, d)
-        g["O"] = flat(o).T @ flat(dh)
-        do = (flat(dh) @ p["O"].T).reshape(b, w, d)
+        loss = -float(((got - np.log(sums)) * weight).sum()) / total
+        weight /= z.dtype.type(total)
+        z *= (weight / sums)[:, None]
+        z[at, want] -= weight
+        g = {"U": h.T @ z}
+        dh = z @ p["U"].T
+        g["O"] = o.T @ dh
+        do = dh @ p["O"].T
+        rest = (do * o).sum(axis=1).reshape(b, w, 1)  # what softmax's gradient takes off each row
+        do = do.reshape(b, w, d)
+        dqkv = np.empty((b, w, 3, d), z.dtype)
+        dqkv[:, :, 2] = np.matmul(s.transpose(0, 2, 1), do)
         ds = np.matmul(do, v.transpose(0, 2, 1))
-        dv = np.matmul(s.transpose(0, 2, 1), do)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        dqkv = np.concatenate([dq, dk, dv], axis=2)
-        g["A"] = flat(x).T @ flat(dqkv)
-        dx = dh + (flat(dqkv) @ p["A"].T).reshape(b, w, d)
+        ds -= rest
+        ds *= s
+        dqkv[:, :, 0] = np.matmul(ds, k) * np.float32(d**-0.5)
+        dqkv[:, :, 1] = np.matmul(ds.transpose(0, 2, 1), q)
+        dqkv = dqkv.reshape(n, 3 * d)
+        g["A"] = x.T @ dqkv
+        dx = dh + dqkv @ p["A"].T
         g["P"] = np.zeros_like(p["P"])
-        g["P"][:w] = dx.sum(axis=0)
+        g["P"][:w] = dx.reshape(b, w, d).sum(axis=0)
         g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], slots.reshape(-1), flat(dx))
+        np.add.at(g["E"].reshape(-1), (flat[:, None] * d + np.arange(d)).reshape(-1), dx.reshape(-1))
         return loss, g
 
-    def train(self, slots: np.ndarray, wanted: np.ndarray, weight: np.ndarray) -> float:
-        """One pass of Adam over windows; returns the mean loss."""
-        m = {k: np.zeros_like(v) for k, v in self.params.items()}
-        u = {k: np.zeros_like(v) for k, v in self.params.items()}
-        losses, t = [], 0
+    def train(self, slots: np.ndarray, wanted: np.ndarray, weight: np.ndarray, state: dict | None = None) -> float:
+        """One pass of Adam over windows; returns the mean loss. state: Adam's moments, which later calls go on with."""
+        state = {} if state is None else state
+        m, u = (state.setdefault(x, {k: np.zeros_like(v) for k, v in self.params.items()}) for x in ("m", "u"))
+        losses = []
         for a in range(0, len(slots), STEP):
-            t += 1
+            t = state["t"] = state.get("t", 0) + 1
             loss, g = self.gradients(slots[a : a + STEP], wanted[a : a + STEP], weight[a : a + STEP])
             losses.append(loss)
+            rate, often = np.float32(RATE / (1 - 0.9**t)), np.float32(1 / (1 - 0.99**t))
             for k, x in g.items():
-                m[k] = 0.9 * m[k] + 0.1 * x
-                u[k] = 0.99 * u[k] + 0.01 * x * x
-                self.params[k] -= np.float32(RATE) * (m[k] / (1 - 0.9**t)) / (np.sqrt(u[k] / (1 - 0.99**t)) + np.float32(1e-6))
+                m[k] += np.float32(0.1) * (x - m[k])
+                u[k] += np.float32(0.01) * (x * x - u[k])
+                self.params[k] -= rate * m[k] / (np.sqrt(u[k] * often) + np.float32(1e-6))
+        self._ready = None
         return float(np.mean(losses)) if losses else 0.0
 
-    def score(self, texts: list[np.ndarray]) -> list[float]:
-        """log10 probability of each row of ids, the end included."""
-        if not texts:
-            return []
-        lengths = np.array([len(t) + 1 for t in texts])
-        flat = np.concatenate([np.append(t.astype(np.int64), self.end) for t in texts])
-        first = np.concatenate([[0], np.cumsum(lengths)])
+    def before(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The slot of the id before each place of rows of ids that begin at `first`."""
+        out = np.empty(len(flat), np.int64)
+        out[1:] = self.slot[flat[:-1]]
+        out[first] = len(self.bigram) - 1  # the beginning
+        return out
+
+    def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, the end included; ids holds those of all texts in a row."""
+        if not len(sizes):
+            return np.zeros(0)
+        flat, first = with_ends(ids, sizes, self.end)
+        lengths = sizes + 1
         wanted = self.klass[flat]
-        before = np.empty(len(flat), np.int64)  # the slot of the id before each place
-        before[1:] = self.slot[flat[:-1]]
-        before[first[:-1]] = len(self.bigram) - 1  # the beginning
+        before = self.before(flat, first[:-1])
         step = WINDOW - OVERLAP
-        out = self.inside[flat].astype(np.float64) + self.within[before, self.slot[flat]]
+        out = self.inside[flat] + self.within[before, self.slot[flat]]
         # Windows of full length, then those that the document's end cuts short.
         count = np.maximum(0, -(-(lengths - WINDOW) // step)) + 1
-        doc = np.repeat(np.arange(len(texts)), count)
-        nth = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        doc = np.repeat(np.arange(len(sizes)), count)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         start = first[doc] + nth * step
         size = np.minimum(WINDOW, first[doc + 1] - start)
         order = np.argsort(-size, kind="stable")
         skip = np.where(nth > 0, OVERLAP, 0)
         at = np.arange(WINDOW)
-        for a in range(0, len(order), 256):
-            pick = order[a : a + 256]
+        for a in range(0, len(order), SCORED):
+            pick = order[a : a + SCORED]
             w = int(size[pick[0]])
             places = start[pick, None] + at[:w]
             real = (at[:w] < size[pick, None]) & (at[:w] >= skip[pick, None])
             places = np.minimum(places, len(flat) - 1)
-            z = self.forward(before[places])
-            got = np.take_along_axis(z, wanted[places][:, :, None], axis=2)[:, :, 0]
+            z = self.logits(before[places]).reshape(places.size, -1)
+            got = z[np.arange(len(z)), wanted[places].reshape(-1)]
             np.exp(z, out=z)
-            got -= np.log(z @ np.ones(z.shape[2], z.dtype))
-            out[places[real]] += got[real]
-        return (np.add.reduceat(out, first[:-1]) / np.log(10)).tolist()
+            got -= np.log(z @ np.ones(z.shape[1], z.dtype))
+            out[places[real]] += got.reshape(places.shape)[real]
+        return np.add.reduceat(out.astype(np.float64), first[:-1]) / np.log(10)
 
     @property
     def end(self) -> int:
@@ -177,6 +212,16 @@ class Model:
         return {"slot": self.slot, "klass": self.klass, "inside": self.inside, "within": self.within, "bigram": self.bigram, **{f"p_{k}": v for k, v in self.params.items()}}
 
 
+def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' ids in a row with an end behind each text, and where the texts begin."""
+    first = np.concatenate([[0], np.cumsum(sizes + 1)])
+    flat = np.full(int(first[-1]), end, np.int64)
+    inside = np.ones(len(flat), bool)
+    inside[first[1:] - 1] = False
+    flat[inside] = ids
+    return flat, first
+
+
 def classes(bigrams: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Groups the ids (columns) by what precedes them (rows): k-means on square roots of the distributions."""
     seen = bigrams.sum(axis=0)
@@ -220,109 +265,51 @@ def build(unigrams: np.ndarray, own: np.ndarray, bigrams: np.ndarray, seed: int
     return Model(slot, klass, inside, within, bigram, params)
 
 
-# -- words and subwords -----------------------------------------------------------------------------------------------
-class Lexicon(dict):
-    """word -> number, with the word's hash and subword ids by number; emptied between chunks at a bound.
-
-    Subwords are the tokenizer's own: a word's ids are those that it gives the word (in lower case).
-    """
+# -- rounds over the corpus -------------------------------------------------------------------------------------------
+_encoders: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 150_000):
-        self.encoder = Encoder(path, most_words=most, most_pieces=most // 2)
-        self.size = self.encoder.full.get_vocab_size()
-        # The printable stand-ins that byte-level vocabularies use: a byte that prints is itself, others follow from 256.
-        plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
-        odd = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.shown = {b: odd.get(b, chr(b)) for b in range(256)}
-        self.most = most
-        self.empty()
 
-    @property
-    def vocabulary(self) -> dict[str, int]:
-        return self.encoder.full.get_vocab()
-
-    def empty(self) -> None:
-        self.clear()
-        self.hashes, self.lengths, self.ids = array("Q"), array("I"), array("I")
-
-    def learn(self, words: list[bytes]) -> None:
-        for word, ids in zip(words, self.encoder.encode_words(words)):
-            self[word] = len(self)
-            self.hashes.append(xxhash.xxh3_64_intdigest(word))
-            self.ids.extend(ids)
-            self.lengths.append(len(ids))
-
-    def chunk(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of the distinct words, number among them of each word, ids in a row, ids of each document)."""
-        if len(self) > self.most:
-            self.empty()
-        if new := set().union(*split).difference(self):
-            self.learn(sorted(new))
-        sizes = [len(x) for x in split]
-        numbers = np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, x) for x in split), np.int64, sum(sizes))
-        hashes, lengths, ids = (np.array(x) for x in (self.hashes, self.lengths, self.ids))
-        used = np.flatnonzero(np.bincount(numbers, minlength=1)) if len(numbers) else numbers
-        place = np.zeros(len(lengths) + 1, np.int64)
-        place[used] = np.arange(len(used))
-        each = lengths[numbers].astype(np.int64) if len(numbers) else numbers
-        first = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        # Each word's ids, one after the other.
-        total = int(each.sum())
-        shift = np.repeat(first[numbers] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) if total else np.zeros(0, np.int64)
-        row = ids[np.arange(total) + shift] if total else np.zeros(0, np.uint32)
-        by_word = np.concatenate([[0], np.cumsum(each)])
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        return hashes[used] if len(used) else np.zeros(0, _U), place[numbers], row, np.diff(by_word[ends])
-
-
-_lexicons: dict[str, Lexicon] = {}
-
-
-def lexicon(path: str) -> Lexicon:
-    """One lexicon for each worker process."""
-    if path not in _lexicons:
-        _lexicons[path] = Lexicon(path)
-    return _lexicons[path]
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path, PIECES)
+    return _encoders[path]
 
 
 def forget() -> None:
-    """A worker that has scanned keeps no words for the rounds after."""
-    if _lexicons:
-        _lexicons.clear()
+    """A worker that has scanned keeps no pieces for the rounds after."""
+    if _encoders:
+        _encoders.clear()
         release()
 
 
-# -- rounds over the corpus -------------------------------------------------------------------------------------------
-_HEAD = ("u8", "i8", "u1", "u1", "u4", "u4")  # row, doc_id, no id, held out, words, ids
+_HEAD = ("i8", "u1", "u1", "u4", "u4", "f8", "u4", "u8")  # doc_id, no id, held out, tokens, known ones, base, ids, row
 
 
-def _store(head: tuple, hashes: np.ndarray, numbers: np.ndarray, ids: np.ndarray) -> bytes:
-    parts = [pack(*(np.asarray(x, k) for x, k in zip(head, _HEAD))), pack(hashes), pack(numbers.astype("u4")), pack(ids.astype("u4" if len(ids) and ids.max() > 65535 else "u2"))]
-    kind = 4 if len(ids) and ids.max() > 65535 else 2
-    return b"".join([kind.to_bytes(8, "little"), *(len(x).to_bytes(8, "little") for x in parts), *parts])
+def _kept(head: tuple, ids: np.ndarray) -> bytes:
+    parts = [pack(*(np.asarray(x, k) for x, k in zip(head, _HEAD))), pack(ids)]
+    return b"".join([ids.dtype.itemsize.to_bytes(8, "little"), len(parts[0]).to_bytes(8, "little"), *parts])
 
 
-class Stored:
+class Kept:
     """Some documents of one block as the scan has kept them."""
 
     def __init__(self, data: bytes):
-        sizes = [int.from_bytes(data[8 * i : 8 * i + 8], "little") for i in range(5)]
-        at = np.cumsum([40, *sizes[1:]])
-        self.parts = [data[a:b] for a, b in zip(at, at[1:])]
-        self.kind = f"u{sizes[0]}"
-        self.row, self.doc_id, self.no_id, self.held, self.n_words, self.n_ids = unpack(self.parts[0], *_HEAD)
-
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        return unpack(self.parts[1], "u8")[0], unpack(self.parts[2], "u4")[0]
+        wide, size = (int.from_bytes(data[a : a + 8], "little") for a in (0, 8))
+        self.doc_id, self.no_id, self.held, self.n_tokens, self.n_known, self.base, sizes, self.row = unpack(data[16 : 16 + size], *_HEAD)
+        self.ids, self.sizes = unpack(data[16 + size :], f"<u{wide}")[0], sizes.astype(np.int64)
 
-    def texts(self) -> list[np.ndarray]:
-        return np.split(unpack(self.parts[3], self.kind)[0].astype(np.int64), np.cumsum(self.n_ids.astype(np.int64))[:-1])
+    def training(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes, rows) of the training documents."""
+        trains = self.held == 0
+        return self.ids[np.repeat(trains, self.sizes)], self.sizes[trains], self.row[trains]
 
 
-def _stored_rows(batch: pa.RecordBatch):
+def _kept_rows(batches):
     forget()
-    for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-        yield block, Stored(data)
+    for batch in batches:
+        for data in batch.column("data"):
+            yield Kept(data.as_py())
 
 
 def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -339,86 +326,80 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     buckets, base = 2 * parts_of(spark), new_folder(spark, "lm")
     end_hash = _U(xxhash.xxh3_64_intdigest(b""))
 
-    def scan(batches):
-        lex = lexicon(tokenizer)
-        unigrams = np.zeros(lex.size + 1, np.int64)
-        schema = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
-        row_of = lambda *xs: pa.record_batch([pa.array([x], t) for x, t in zip(xs, schema.types)], schema=schema)
+    def count(batches):
         for batch in batches:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "doc_id", "no_id")]
-            for block, part, split in stretches(batch, CHUNK, lower=True):
+            for block, part, words in stretches(batch, CHUNK):
                 trains = ~held[part]
-                hashes, numbers, ids, n_ids = lex.chunk(split)
-                sizes = [len(x) for x in split]
-                counts = np.bincount(numbers, np.repeat(trains, sizes), len(hashes)).astype("u4")
-                names = np.append(hashes, end_hash)
-                counts = np.append(counts, np.uint32(trains.sum()))
-                for k, at in by_bucket(names, buckets):
-                    yield row_of("words", k, block, pack(names[at], counts[at]))
-                yield row_of("ids", 0, block, _store((*(x[part] for x in own), held[part], sizes, n_ids), hashes, numbers, ids))
-                unigrams += np.bincount(ids[np.repeat(trains, n_ids)], minlength=len(unigrams))
-                unigrams[-1] += int(trains.sum())
-        known = np.flatnonzero(unigrams)
-        yield row_of("unigrams", 0, 0, pack(known.astype("u4"), unigrams[known].astype("u8")))
-
-    rows.mapInArrow(scan, "kind string, bucket int, block long, data binary").write.option("parquet.block.size", 16 << 20).partitionBy("kind").parquet(f"{base}/scan")
-    scanned = spark.read.schema("bucket int, block long, data binary, kind string").parquet(f"{base}/scan")
+                names, at = np.unique(words.hashes(lower=True), return_inverse=True)
+                n = np.bincount(at[np.repeat(trains, words.sizes)], minlength=len(names)).astype("u4")
+                names, n = np.append(names, end_hash), np.append(n, np.uint32(trains.sum()))
+                yield sent_rows([(k, block, pack(names[at], n[at])) for k, at in by_bucket(names, buckets)])
 
     # Counts of words, answered by block, with each bucket's share of N and V.
     def share(t: pa.Table) -> pa.Table:
-        forget()
-        parts = [unpack(x, "u8", "u4") for x in t["data"].to_pylist()]
+        parts = [unpack(x.as_py(), "u8", "u4") for x in t["data"]]
         names, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        owner = np.repeat(t["block"].to_numpy(), [len(p[0]) for p in parts])
+        ends = np.cumsum([len(p[0]) for p in parts])
         uniq, inverse = np.unique(names, return_inverse=True)
         total = np.bincount(inverse, counts.astype(np.float64), len(uniq)).astype("u8")
-        order = np.argsort(owner, kind="stable")
-        bs, cuts = np.unique(owner[order], return_index=True)
+        blocks = t["block"].to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        bs, cuts = np.unique(blocks[order], return_index=True)
         data = []
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            at = np.unique(inverse[order[a:b]])
+            at = np.unique(np.concatenate([inverse[ends[i] - len(parts[i][0]) : ends[i]] for i in order[a:b]]))
             data.append(pack(uniq[at], total[at]))
         rest = [0] * (len(bs) - 1)
         return pa.table({"block": pa.array(bs, pa.int64()), "data": pa.array(data, pa.binary()), "n": pa.array([int(total.sum()), *rest], pa.int64()), "v": pa.array([int((total > 0).sum()), *rest], pa.int64())})
 
-    folder = answer(scanned.where("kind = 'words'").select("bucket", "block", "data"), share, f"{base}/words", ", n long, v long")
-    try:
-        n_train, n_distinct = spark.read.parquet(folder).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    except AnalysisException:  # no document at all, so no table
-        if not rows.isEmpty():
-            raise
-        n_train = n_distinct = 0
-    drop_folder(spark, f"{base}/scan/kind=words")  # what the blocks need of it is in their answers
+    folder = answer(rows.mapInArrow(count, "bucket int, block long, data binary"), share, f"{base}/words", ", n long, v long")
+    n_train, n_distinct = spark.read.schema("n long, v long").parquet(folder).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     low = np.log10(1.0 / (n_train + n_distinct + 1))
 
+    def scan(batches):
+        enc, answers = encoder(tokenizer), Answers(folder, ("u8", "u8"))
+        unigrams = np.zeros(enc.full.get_vocab_size() + 1, np.int64)
+        row_of = lambda block, data, counts: pa.record_batch([pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([counts], pa.binary())], names=["block", "data", "counts"])
+        for batch in batches:
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            ids, null, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "no_id", "row"))
+            for block, part, words in stretches(batch, CHUNK):
+                names, counts = answers.of(block)
+                h, at = np.unique(words.hashes(lower=True), return_inverse=True)
+                c = counts[np.searchsorted(names, h)][at]
+                of_end = counts[np.searchsorted(names, end_hash)]
+                logs = np.append(0, np.cumsum(np.log10(c + 1.0) + low))
+                known = np.append(0, np.cumsum(c > 0))
+                sums = [np.diff(x[words.first]) for x in (logs, known)]
+                packed = list(enc.encode(batch.column("text").slice(part.start, part.stop - part.start).to_pylist()))
+                sizes = np.array([len(x) // enc.width for x in packed])
+                flat = np.frombuffer(b"".join(packed), enc.kind)
+                head = (ids[part], null[part], held[part], words.sizes + 1, sums[1] + int(of_end > 0), sums[0] + np.log10(of_end + 1.0) + low, sizes, row[part])
+                yield row_of(block, _kept(head, flat), None)
+                trains = ~held[part]
+                unigrams += np.bincount(flat[np.repeat(trains, sizes)], minlength=len(unigrams))
+                unigrams[-1] += int(trains.sum())
+        seen = np.flatnonzero(unigrams)
+        yield row_of(None, None, pack(seen.astype("u4"), unigrams[seen].astype("u8")))
+
+    kind = "block long, data binary, counts binary"
+    rows.mapInArrow(scan, kind).write.option("parquet.block.size", 16 << 20).parquet(f"{base}/scan")
+    scanned = spark.read.schema(kind).parquet(f"{base}/scan")
     model = fit(scanned, tokenizer, base)
 
     def scores(batches):
-        scorer, answers = load(model), Answers(folder, ("u8", "u8"))
-        for batch in batches:
-            for block, kept in _stored_rows(batch):
-                names, counts = answers.of(block)
-                hashes, numbers = kept.words()
-                # Each document's words and its end, in one row of places.
-                at = np.searchsorted(names, np.append(hashes, end_hash))
-                c = counts[at]
-                logs = np.log10(c + 1.0) + low
-                n = kept.n_words.astype(np.int64)
-                cuts = np.concatenate([[0], np.cumsum(n + 1)[:-1]])
-                flat = np.full(int((n + 1).sum()), len(hashes))
-                inside = np.ones(len(flat), bool)
-                inside[cuts + n] = False
-                flat[inside] = numbers
-                yield pa.record_batch(
-                    [
-                        pa.array(kept.doc_id, mask=kept.no_id.astype(bool)), pa.array(kept.held.astype(bool)), pa.array(n + 1), pa.array(np.add.reduceat((c > 0).astype(np.int64)[flat], cuts)),
-                        pa.array(np.full(len(n), n_train, np.int64)), pa.array(np.add.reduceat(logs[flat], cuts)), pa.array(scorer.score(kept.texts()), pa.float64()),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return scanned.where("kind = 'ids'").select("block", "data").mapInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        scorer = load(model)
+        for kept in _kept_rows(batches):
+            yield pa.record_batch(
+                [
+                    pa.array(kept.doc_id, mask=kept.no_id.astype(bool)), pa.array(kept.held.astype(bool)), pa.array(kept.n_tokens.astype(np.int64)), pa.array(kept.n_known.astype(np.int64)),
+                    pa.array(np.full(len(kept.sizes), n_train, np.int64)), pa.array(kept.base), pa.array(scorer.score(kept.ids, kept.sizes), pa.float64()),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return scanned.where("data is not null").select("data").mapInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 _loaded: dict[str, Model] = {}
@@ -463,17 +444,19 @@ def load(uri: str, scoring: bool = True) -> Model:
 
 def fit(scanned: DataFrame, tokenizer: str, base: str) -> str:
     """Counts ids, sets the model up and trains it; returns where it is stored."""
-    ids = scanned.where("kind = 'ids'").select("block", "data")
+    ids = scanned.where("data is not null").select("data")
 
     def spread(batches):
         for batch in batches:
-            for data in batch.column("data").to_pylist():
-                k, n = unpack(data, "u4", "u8")
+            for data in batch.column("counts"):
+                k, n = unpack(data.as_py(), "u4", "u8")
                 yield pa.record_batch([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], names=["id", "n"])
 
-    n_ids = lexicon(tokenizer).size + 1
+    from tokenizers import Tokenizer
+
+    n_ids = Tokenizer.from_file(tokenizer).get_vocab_size() + 1
     unigrams = np.zeros(n_ids, np.int64)
-    counted = scanned.where("kind = 'unigrams'").select("data").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = scanned.where("counts is not null").select("counts").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     for r in counted.collect():  # one row for each id of the tokenizer at most
         unigrams[r.id] = r.n
     order = np.argsort(-unigrams, kind="stable")[:OWN_IDS]
@@ -484,18 +467,20 @@ def fit(scanned: DataFrame, tokenizer: str, base: str) -> str:
 
     def pairs(batches):
         total = np.zeros(width * width, np.uint32)  # of one task
-        for batch in batches:
-            for _, kept in _stored_rows(batch):
-                row = [y for t, h in zip(kept.texts(), kept.held) if not h for y in ([n_ids], t, [n_ids - 1])]
-                if row:
-                    s = np.append(slot, width - 1)[np.concatenate(row)]
-                    np.add.at(total, s[:-1] * width + s[1:], np.uint32(1))
+        for kept in _kept_rows(batches):
+            texts, sizes, _ = kept.training()
+            if len(sizes):
+                flat, first = with_ends(texts, sizes, n_ids - 1)
+                s = slot[flat]
+                last = np.append(width - 1, s[:-1])
+                last[first[:-1]] = width - 1  # the beginning
+                np.add.at(total, last * width + s, np.uint32(1))
         known = np.flatnonzero(total)
         yield pa.record_batch([pa.array(known), pa.array(total[known].astype(np.int64))], names=["pair", "n"])
 
     bigrams = np.zeros(width * width, np.int64)
-    for r in ids.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():  # bounded by OWN_IDS squared
-        bigrams[r.pair] = r.n
+    got = ids.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # bounded by OWN_IDS squared
+    bigrams[got["pair"].to_numpy()] = got["n"].to_numpy()
     bigrams = bigrams.reshape(width, width)[:, : width - 1]
     model = build(unigrams, own, bigrams)
     where = save(model, f"{base}/model-0.npz")
@@ -503,14 +488,11 @@ def fit(scanned: DataFrame, tokenizer: str, base: str) -> str:
 
     def learn(batches, where: str, turn: int):
         m = load(where, scoring=False)
-        n = 0
-        for batch in batches:
-            for _, kept in _stored_rows(batch):
-                trains = ~kept.held.astype(bool)
-                texts = [t for t, x in zip(kept.texts(), trains) if x]
-                for slots, wanted, weight in training_windows(m, texts, kept.row[trains], turn):
-                    m.train(slots, wanted, weight)
-                    n += len(slots)
+        n, state = 0, {}
+        for kept in _kept_rows(batches):
+            for slots, wanted, weight in training_windows(m, *kept.training(), turn):
+                m.train(slots, wanted, weight, state)
+                n += len(slots)
         if n:
             flat = np.concatenate([m.params[k].reshape(-1) for k in names])
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([flat.astype("f8").tobytes()], pa.binary())], names=["part", "n", "data"])
@@ -541,18 +523,15 @@ def fit(scanned: DataFrame, tokenizer: str, base: str) -> str:
     return where
 
 
-def training_windows(model: Model, texts: list[np.ndarray], rows: np.ndarray, turn: int):
+def training_windows(model: Model, ids: np.ndarray, sizes: np.ndarray, rows: np.ndarray, turn: int):
     """(slots, wanted, weight) of the windows that are dealt to a round; over all rounds each window comes once."""
-    if not texts:
+    if not len(sizes):
         return
-    lengths = np.array([len(t) + 1 for t in texts])
-    flat = np.concatenate([np.append(t, model.end) for t in texts])
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    before = np.empty(len(flat), np.int64)
-    before[1:] = model.slot[flat[:-1]]
-    before[first[:-1]] = len(model.bigram) - 1  # the beginning
-    count = -(-lengths // WINDOW)
-    doc = np.repeat(np.arange(len(texts)), count)
+    flat, first = with_ends(ids, sizes, model.end)
+    before = model.before(flat, first[:-1])
+    wanted = model.klass[flat]
+    count = -(-(sizes + 1) // WINDOW)
+    doc = np.repeat(np.arange(len(sizes)), count)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     mine = np.flatnonzero((rows.astype(np.int64)[doc] + nth) % ROUNDS == turn)
     start = first[doc[mine]] + nth[mine] * WINDOW
@@ -560,7 +539,7 @@ def training_windows(model: Model, texts: list[np.ndarray], rows: np.ndarray, tu
     at = np.arange(WINDOW)
     for a in range(0, len(mine), TRAINED):
         places = np.minimum(start[a : a + TRAINED, None] + at, len(flat) - 1)
-        yield before[places], model.klass[flat[places]], (at < size[a : a + TRAINED, None]).astype(np.float32)
+        yield before[places], wanted[places], (at < size[a : a + TRAINED, None]).astype(np.float32)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

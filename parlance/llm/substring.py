@@ -27,6 +27,7 @@ of phrase starts; below 18 words no phrase is certain, which is refused.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,28 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.blocks import Answers, answer, by_bucket, is_in, pack, sent_rows, stored, stretches, unpack
-from parlance.llm.common import WordHashes, mix, new_folder, parts_of
+from parlance.llm.common import Words, mix, new_folder, parts_of, powers
 
 _U = np.uint64
-#: Words that a scan works on at once.
-CHUNK = 300_000
+#: Bytes of text that a scan works on at once.
+CHUNK = 2_000_000
 PHRASE = 5
-#: Word hashes that a scan remembers.
-HASHES = 200_000
 #: Odd multipliers of the two content hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def _power(base: int, n: int, inverse: bool) -> np.ndarray:
-    """base**i, or its inverse modulo 2**64, for i below n."""
-    key = (base, inverse)
-    if key not in _powers or len(_powers[key]) < n:
-        b = pow(base, -1, 1 << 64) if inverse else base
-        x = np.full(max(n, CHUNK + 50_000), b, _U)
-        x[0] = 1
-        _powers[key] = np.cumprod(x, dtype=_U)
-    return _powers[key][:n]
 
 
 class Content:
@@ -66,10 +53,10 @@ class Content:
     def __init__(self, symbols: np.ndarray, base: int):
         n = len(symbols) + 1
         self.base, self.sums = base, np.zeros(n, _U)
-        np.cumsum(symbols * _power(base, n, False)[:-1], dtype=_U, out=self.sums[1:])
+        np.cumsum(symbols * powers(base, n)[:-1], dtype=_U, out=self.sums[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * _power(self.base, len(self.sums), True)[a] + (b - a).astype(_U))
+        return mix((self.sums[b] - self.sums[a]) * powers(self.base, len(self.sums), True)[a] + (b - a).astype(_U))
 
 
 def borders(symbols: np.ndarray, stop: np.ndarray, rounds: int = 2) -> np.ndarray:
@@ -90,24 +77,26 @@ def borders(symbols: np.ndarray, stop: np.ndarray, rounds: int = 2) -> np.ndarra
 class Chunk:
     """Some documents' words in a row, with a separator behind each document."""
 
-    def __init__(self, split: list[list[bytes]], hashes: WordHashes, window: int):
-        self.split, self.window = split, window
-        self.sizes = np.array([len(x) for x in split], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.sizes + 1)])
-        total = int(self.first[-1])
-        self.symbols = np.zeros(total, _U)
-        for x, a in zip(split, self.first):
-            if x:
-                self.symbols[a : a + len(x)] = hashes.array(x)
-        self.stop = np.zeros(total, bool)
+    def __init__(self, words: Words, window: int):
+        self.words, self.window = words, window
+        self.sizes = words.sizes
+        self.first = words.first + np.arange(len(words.first))
+        self.place = np.arange(len(words)) + np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.symbols = self._laid(0)
+        self.stop = np.zeros(len(self.symbols), bool)
         self.stop[self.first[1:] - 1] = True
         # Where windows start, and the document of each.
         counts = np.maximum(0, self.sizes - window + 1)
-        self.doc = np.repeat(np.arange(len(split)), counts)
+        self.doc = np.repeat(np.arange(len(self.sizes)), counts)
         skipped = np.repeat(self.first[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
         self.starts = np.arange(len(self.doc)) + skipped
         self.content = Content(self.symbols, _BASES[0])
 
+    def _laid(self, which: int) -> np.ndarray:
+        out = np.zeros(int(self.first[-1]), _U)
+        out[self.place] = self.words.hashes(which)
+        return out
+
     def phrases(self) -> tuple[np.ndarray, np.ndarray]:
         """The name of each window's own phrase, and the names of these phrases, once for each place where one stands."""
         n = len(self.symbols)
@@ -127,9 +116,9 @@ class Chunk:
         return own, names[chosen]
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The content hashes (64 and 32 bits) of the windows with these numbers."""
+        """The content hashes (64 and 32 bits) of the windows with these numbers, from independent hashes of the words."""
         a = self.starts[which]
-        second = Content(self.symbols, _BASES[1])
+        second = Content(self._laid(1), _BASES[1])
         return self.content.of(a, a + self.window), (second.of(a, a + self.window) >> _U(32)).astype(np.uint32)
 
 
@@ -137,10 +126,10 @@ _ENTRY = ("u8", "u4", "i8", "u8", "u4", "u1")  # both hashes, doc_id, row's own
 _OWNER = ("u8", "u4", "i8", "u8", "u4")
 
 
-def _chunks(batch: pa.RecordBatch, hashes: WordHashes, window: int) -> Iterator[tuple[int, slice, Chunk]]:
+def _chunks(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, slice, Chunk]]:
     """(block, rows of the batch, chunk) for stretches of one block."""
-    for block, part, split in stretches(batch, CHUNK):
-        yield block, part, Chunk(split, hashes, window)
+    for block, part, words in stretches(batch, CHUNK):
+        yield block, part, Chunk(words, window)
 
 
 def _own(batch: pa.RecordBatch) -> np.ndarray:
@@ -163,9 +152,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     base = new_folder(spark, "repeats")
 
     def name_phrases(batches):
-        hashes = WordHashes(HASHES)
         for batch in batches:
-            for block, _, chunk in _chunks(batch, hashes, window):
+            for block, _, chunk in _chunks(batch, window):
                 names, counts = np.unique(chunk.phrases()[1], return_counts=True)
                 yield sent_rows([(k, block, pack(names[at], (counts[at] > 1).astype("u1"))) for k, at in by_bucket(names, buckets)])
 
@@ -186,13 +174,13 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     phrases = answer(rows.mapInArrow(name_phrases, kind), share_phrases, f"{base}/phrases")
 
     def name_windows(batches):
-        hashes, answers = WordHashes(HASHES), Answers(phrases, ("u8",))
+        answers = Answers(phrases, ("u8",))
         for batch in batches:
             ids, own = batch.column("doc_id").to_numpy(), _own(batch)
             blocks = batch.column("block").to_numpy()
             if all(answers.of(int(b)) is None for b in np.unique(blocks)):
                 continue
-            for block, part, chunk in _chunks(batch, hashes, window):
+            for block, part, chunk in _chunks(batch, window):
                 known = answers.of(block)
                 if known is None:
                     continue
@@ -237,11 +225,11 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     windows = answer(rows.mapInArrow(name_windows, kind), share_windows, f"{base}/windows")
 
     def drop(batches):
-        hashes, known_phrases, owners = WordHashes(HASHES), Answers(phrases, ("u8",)), Answers(windows, _OWNER)
+        known_phrases, owners = Answers(phrases, ("u8",)), Answers(windows, _OWNER)
         for batch in batches:
             ids, own = batch.column("doc_id").to_numpy(), _own(batch)
             n_words, n_removed, kept = [], [], []
-            for block, part, chunk in _chunks(batch, hashes, window):
+            for block, part, chunk in _chunks(batch, window):
                 gone = np.zeros(len(chunk.symbols) + 1, np.int64)
                 known, owner = known_phrases.of(block), owners.of(block)
                 if known is not None and owner is not None:
@@ -256,13 +244,16 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                     gone[a] += 1
                     np.subtract.at(gone, a + window, 1)
                 covered = np.cumsum(gone)[:-1] > 0
-                lost = np.add.reduceat(covered.astype(np.int64), chunk.first[:-1]) if len(chunk.split) else []
-                for words, a, n in zip(chunk.split, chunk.first, lost):
-                    n_words.append(len(words))
-                    n_removed.append(int(n))
-                    kept.append(b" ".join(words if not n else [w for w, c in zip(words, covered[a : a + len(words)].tolist()) if not c]))
+                lost = np.diff(np.append(0, np.cumsum(covered))[chunk.first])
+                n_words.append(chunk.sizes)
+                n_removed.append(lost)
+                for text, a, n, some in zip(batch.column("text").slice(part.start, part.stop - part.start).cast(pa.binary()).to_pylist(), chunk.first, chunk.sizes, lost):
+                    ws = (text or b"").split()
+                    kept.append(b" ".join(ws if not some else itertools.compress(ws, (~covered[a : a + n]).tolist())))
+            if not kept:
+                continue
             yield pa.record_batch(
-                [pc.if_else(batch.column("no_id"), pa.scalar(None, pa.int64()), batch.column("doc_id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                [pc.if_else(batch.column("no_id"), pa.scalar(None, pa.int64()), batch.column("doc_id")), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_removed)), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_words", "n_removed", "text"],
             )
 

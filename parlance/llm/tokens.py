@@ -63,6 +63,9 @@ class Encoder:
             for kind in (r"\p{L}", r"\p{N}", r"\s"):
                 pattern = pattern.replace(kind, _below(kind))
             self.cut = re.compile(pattern).findall
+            mark = spec["model"].get("end_of_word_suffix") or "\0"
+            self.ends = np.zeros(self.full.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.full.get_vocab().items() if t.endswith(mark)]] = True
             self.special = [t["content"] for t in spec["added_tokens"]]
             self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": splits[1], "added_tokens": []}))
 
@@ -88,8 +91,17 @@ class Encoder:
                 pieces[p] = known
         for a in range(0, len(todo), 4096):
             part = todo[a : a + 4096]
-            for p, e in zip(part, self.bare.encode_batch_fast(part, add_special_tokens=False)):
-                pieces[p] = np.array(e.ids, self.kind).tobytes()
+            # As one text that is cut already; a piece ends with the id of a token that ends a word.
+            (e,) = self.bare.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, self.kind)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(ends) != len(part):
+                pieces.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, self.bare.encode_batch_fast(part, add_special_tokens=False)))
+                continue
+            raw, start = ids.tobytes(), 0
+            for p, end in zip(part, ends):
+                pieces[p] = raw[start:end]
+                start = end
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, as packed integers of `width` bytes."""

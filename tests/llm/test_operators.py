@@ -11,10 +11,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from parlance.llm import chat, decontam, jaccard, licenses, lm, mixture, quality, secrets, substring, tokens
+from parlance.llm.common import Words
 from parlance.llm.queries import word_bpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -197,19 +199,28 @@ def test_gradients_equal_differences():
         assert math.isclose((up - down) / (2 * e), g[k][at], rel_tol=2e-2, abs_tol=1e-6)
 
 
+def log_classes(m, slots):
+    z = m.logits(slots).astype(float)
+    return z - np.log(np.exp(z).sum(axis=2, keepdims=True))
+
+
 def test_model_is_a_distribution_and_causal():
     rng = np.random.default_rng(1)
     n = 40
     m = lm.build(rng.integers(0, 50, n), np.arange(25), rng.integers(0, 9, (27, 26)).astype(float))
+    for k in m.params:
+        m.params[k] += rng.standard_normal(m.params[k].shape).astype(np.float32) * np.float32(0.2)
     text = rng.integers(0, n - 1, 75)
-    total = sum(10 ** (m.score([np.append(text[:5], x)])[0]) for x in range(n - 1)) + 10 ** m.score([text[:5]])[0] * 0
-    # One more id, then the end: sums over the id of p(id) p(end | id) stay below p of the five ids.
-    assert 0 < total < 10 ** m.score([text[:5]])[0] / 10 ** 0 * 1e6
-    z, _ = m.forward(m.slot[text][None, :32], keep=True)
+    slots = m.slot[text][None, :32]
+    z = log_classes(m, slots)
     assert np.allclose(np.exp(z).sum(axis=2), 1, atol=1e-4)
-    changed = m.slot[text][None, :32].copy()
+    changed = slots.copy()
     changed[0, 20:] = 0
-    assert np.allclose(m.forward(changed, keep=True)[0][0, :20], z[0, :20], atol=1e-5)
+    assert np.allclose(log_classes(m, changed)[0, :20], z[0, :20], atol=1e-5)
+    wanted, weight = m.klass[text[1:33]][None], np.ones((1, 32), np.float32)
+    weight[0, 30:] = 0
+    loss, _ = m.gradients(slots, wanted, weight)  # training and scoring compute the same model
+    assert math.isclose(loss, -(np.take_along_axis(z, wanted[:, :, None], 2)[0, :30, 0]).mean(), rel_tol=1e-4)
     p = np.exp(m.inside) * np.exp(m.within[3])[m.slot]
     assert np.allclose(np.bincount(m.klass, p, z.shape[2]), 1, atol=1e-3)
 
@@ -224,35 +235,39 @@ def test_each_id_is_scored_once():
         want, step = 0.0, lm.WINDOW - lm.OVERLAP
         for i, x in enumerate(ids):
             k = 0 if i < lm.WINDOW else (i - lm.OVERLAP) // step
-            z = m.forward(before[None, k * step : i + 1], keep=True)[0][0, -1]
+            z = log_classes(m, before[None, k * step : i + 1])[0, -1]
             want += z[m.klass[x]] + m.inside[x] + m.within[before[i], m.slot[x]]
-        assert math.isclose(m.score([t])[0], want / math.log(10), rel_tol=1e-4)
-    assert m.score([]) == []
-
-
-def test_subwords_spell_the_text():
-    lex = lm.Lexicon(word_bpe(), most=30)
-    rng = random.Random(4)
-    back = {v: k for k, v in lex.vocabulary.items()}
-    for _ in range(5):
-        split = [[w.encode() for w in words(rng, rng.randrange(0, 9), 50).split()] + [b"na\xc3\xafve!", b"it's"] * (k % 2) for k in range(6)]
-        hashes, numbers, ids, n = lex.chunk(split)
-        assert len(numbers) == sum(map(len, split)) and len(hashes) == len({w for x in split for w in x})
-        for x, t in zip(split, np.split(ids, np.cumsum(n)[:-1])):
-            spelt = "".join(back[int(i)].replace("</w>", "") for i in t)
-            assert spelt == "".join("".join(lex.shown[b] for b in w.lower()) for w in x)
-    assert [len(a) for a in lex.chunk([[], []])] == [0, 0, 0, 2]
+        assert math.isclose(m.score(t, np.array([len(t)]))[0], want / math.log(10), rel_tol=1e-4)
+    texts = [rng.integers(0, 39, n) for n in (5, 0, 200, 0, 33)]
+    alone = [m.score(t, np.array([len(t)]))[0] for t in texts]
+    assert np.allclose(m.score(np.concatenate(texts), np.array([len(t) for t in texts])), alone, rtol=1e-5)
+    assert len(m.score(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
 
 
-def test_subwords_are_the_tokenizers_own():
+def test_pieces_are_the_tokenizers_own():
     assert lm.OWN_IDS >= 2047 and lm.CLASSES >= 64
-    lex, enc = lm.Lexicon(word_bpe(), most=500), tokens.Encoder(word_bpe())
-    said = "unbelievably misunderstandings transcripts reallocation whatsoever na\u00efve! don't 12ab34 overlapping photosynthesize \u65e5\u672c\u8a9e <|endoftext|>"
+    enc = tokens.Encoder(word_bpe(), 500)
     rng = random.Random(5)
-    said = said.split() + ["".join(rng.choice("aeiorstnlch") for _ in range(rng.randrange(3, 14))) for _ in range(300)]
-    _, _, ids, n = lex.chunk([[w.encode()] for w in said])
-    for w, t in zip(said, np.split(ids, np.cumsum(n)[:-1])):
-        assert t.tolist() == enc.full.encode(w, add_special_tokens=False).ids, w
+    marks = [chr(i) for i in range(0x250)] + ["'s", "'re", "\u2019", "\u65e5\u672c", "\u00df", "\u0130", "\u023a", "<|endoftext|>", "<|end"]
+    texts = ["".join(rng.choice(marks) if rng.random() < 0.5 else rng.choice("abc sT'1 ") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += [c + "a" + c + c + "1 " + c for c in map(chr, range(0x250))] + ["", "unbelievably misunderstandings na\u00efve! don't 12ab34"]
+    for t, packed in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(packed, enc.kind).tolist() == enc.full.encode(t, add_special_tokens=False).ids, t
+
+
+def test_words_in_numpy_are_those_of_split():
+    rng = random.Random(12)
+    for lower in (False, True):
+        texts = [None, "", " ", "\u3000x"] + ["".join(rng.choice("aAbB\u00e9 \t\n\x1c\x0b\x0c\r") for _ in range(rng.randrange(40))) for _ in range(300)] + ["a" * 3_000_000 + " b A", " c"]
+        arr = pa.array(["pad"] + texts, pa.string()).slice(1)
+        got, names = Words(arr), {}
+        split = [[w for w in (t or "").encode().split()] for t in texts]
+        assert got.sizes.tolist() == [len(x) for x in split]
+        for which in (0, 1):
+            for w, h in zip([(x.lower() if lower else x) for ws in split for x in ws], got.hashes(which, lower).tolist()):
+                assert names.setdefault((which, w), h) == h
+        assert len(set(names.values())) == len(names)
+    assert len(Words(pa.array([], pa.string()))) == 0
 
 
 def test_training_lowers_the_loss():
@@ -275,7 +290,7 @@ def test_every_window_is_trained_on_once():
     texts = [rng.integers(0, 39, n) for n in (0, 1, 31, 32, 33, 200, 0, 95)]
     got, want = Counter(), Counter()
     for turn in range(lm.ROUNDS):
-        for slots, wanted, weight in lm.training_windows(m, texts, np.arange(3, 11).astype("u8"), turn):
+        for slots, wanted, weight in lm.training_windows(m, np.concatenate(texts), np.array([len(t) for t in texts]), np.arange(3, 11).astype("u8"), turn):
             got.update((tuple(s[w > 0]), tuple(k[w > 0])) for s, k, w in zip(slots, wanted, weight))
     for t in texts:
         ids, before = np.append(t, m.end), np.append(len(m.bigram) - 1, m.slot[t])
@@ -406,9 +421,64 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or -1) for r in jaccard.one_of_each(df).collect()) == [-1, 1, 2]
 
 
-def test_depth_reaches_the_recall():
-    k = jaccard.depth_for(0.8)
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL and k == 4
+def test_shallowest_depth_reaches_the_recall():
+    assert jaccard.chance(0.8, jaccard.SHALLOW) >= 0.9999 > jaccard.chance(0.8, jaccard.DEPTH)
+    bins = np.zeros(jaccard.BINS)
+    assert jaccard.recall_at(bins, jaccard.DEPTH) == 0
+    bins[0] = 5
+    assert math.isclose(jaccard.recall_at(bins, 6), jaccard.chance(0.8, 6))
+
+
+def test_forest_recall_on_planted_pairs(spark):
+    """Pairs at several similarities around the threshold, all of which brute force finds."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(240):
+        base = [f"w{rng.randrange(50_000)}" for _ in range(120)]
+        other = list(base)
+        for _ in range(k % 4 + 1):  # each replaced word takes up to five shingles with it: 0.92, 0.85, 0.77, 0.71
+            other[rng.randrange(len(base))] = f"x{rng.randrange(50_000)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    want = near(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i, (_, n) in want.items() if n]
+    assert 200 < len(linked) < 480 and sum(got[i] == want[i] for i in linked) >= 0.999 * len(linked)
+    assert all(got[i] == want[i] for i in want if i not in linked)
+
+
+@pytest.mark.parametrize("shares", [1, 3, 16])
+def test_sorted_tries_by_any_ranges(spark, shares, monkeypatch):
+    """Depths and ties do not depend on where the sorted rows are cut."""
+    monkeypatch.setattr(jaccard, "parts_of", lambda _: shares)
+    rng = random.Random(22)
+    wide, n = jaccard.DEPTH * jaccard._WIDE, 60
+    labels = {u: b"".join(b"\0" + bytes([rng.choice((1, 1, 1, 2))]) for _ in range(jaccard.TREES * jaccard.DEPTH)) for u in range(n)}
+    met, ties = jaccard.forest(spark.createDataFrame([(u, bytearray(x)) for u, x in labels.items()], "uid long, labels binary"))
+    want = {}
+    for t in range(jaccard.TREES):
+        own = {u: x[t * wide : (t + 1) * wide] for u, x in labels.items()}
+        for u, x in own.items():
+            best = max(next((k for k in range(jaccard.DEPTH) if x[2 * k : 2 * k + 2] != y[2 * k : 2 * k + 2]), jaccard.DEPTH) for v, y in own.items() if v != u)
+            if best >= jaccard.SHALLOW:
+                want[t, u] = best
+    assert {(r.trie, r.uid): r.depth for r in met.collect()} == want
+    group = {u: u for u in range(n)}
+
+    def root(u):
+        while group[u] != u:
+            u = group[u]
+        return u
+
+    for r in ties.collect():
+        group[root(r.a)] = root(r.b)
+    plain = {u: u for u in range(n)}
+    for t in range(jaccard.TREES):
+        for u in range(n):
+            for v in range(u):
+                if labels[u][t * wide : (t + 1) * wide] == labels[v][t * wide : (t + 1) * wide]:
+                    a, b = plain[u], plain[v]
+                    plain = {k: (b if x == a else x) for k, x in plain.items()}
+    assert {frozenset(u for u in range(n) if root(u) == r) for r in map(root, range(n))} == {frozenset(u for u in range(n) if plain[u] == r) for r in plain.values()}
 
 
 # -- 6 ----------------------------------------------------------------------------------------------------------------
@@ -468,13 +538,11 @@ def test_repeated_passages(docs, nothing, rows, window):
 
 def test_every_equal_window_shares_its_phrase():
     rng = random.Random(6)
-    from parlance.llm.common import WordHashes
-
     core = [b"c%d" % rng.randrange(4) for _ in range(20)]
-    h, names = WordHashes(), set()
+    names = set()
     for _ in range(200):
         pre, post = ([b"c%d" % rng.randrange(4) for _ in range(rng.randrange(12))] for _ in range(2))
-        c = substring.Chunk([[b"x"], pre + core + post], h, 20)
+        c = substring.Chunk(Words(pa.array(["x", b" ".join(pre + core + post).decode()])), 20)
         at = np.flatnonzero((c.starts == c.first[1] + len(pre)))[0]
         names.add(int(c.phrases()[0][at]))
     assert len(names) == 1
