@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.blocks import Answers, answer, by_bucket, pack, sent_rows, stored, stretches, unpack
-from parlance.llm.common import cut, new_folder, parts_of, release
+from parlance.llm.blocks import Answers, answer, by_bucket, is_in, pack, sent_rows, stored, stretches, unpack
+from parlance.llm.common import Words, cut, new_folder, parts_of, release
 from parlance.llm.tokens import Encoder
 
 #: Documents with this remainder of crc32(doc_id) are held out.
@@ -43,8 +43,8 @@ ROUNDS, STEP, RATE = 2, 128, 0.01
 SCORED, TRAINED = 128, 64 * STEP
 #: Bytes of text that a scan works on at once.
 CHUNK = 2_000_000
-#: Pieces of words that the scan's encoder remembers.
-PIECES = 250_000
+#: Words that the scan's lexicon holds (about 50 bytes each), and pieces of words that its encoder remembers.
+LEXICON, PIECES = 1_500_000, 200_000
 #: Bytes of an Arrow batch: a stored row holds hundreds of documents.
 BATCH_BYTES = str(8 << 20)
 _U = np.uint64
@@ -57,6 +57,10 @@ def _mask(w: int) -> np.ndarray:
     return np.triu(np.full((w, w), _FAR, np.float32), 1)
 
 
+def _in_range(sums: np.ndarray) -> bool:
+    return bool(np.isfinite(sums).all() and (sums > 1e-30).all())
+
+
 # -- the model --------------------------------------------------------------------------------------------------------
 class Model:
     """Tables (slot and class of each id, log p(id | slot), log p(slot | class, slot before), T) and trained parameters."""
@@ -76,8 +80,9 @@ class Model:
             self._ready = (p["E"] @ p["A"] * scale, p["P"] @ p["A"] * scale, p["E"] @ p["U"] + self.bigram, p["P"] @ p["U"], p["O"] @ p["U"])
         return self._ready
 
-    def logits(self, slots: np.ndarray) -> np.ndarray:
-        """(windows, places, classes): of the class that follows each place's id, the log probability up to a constant."""
+    def logits(self, slots: np.ndarray, clip: bool = False) -> np.ndarray:
+        """(windows, places, classes): of the class that follows each place's id, the log probability up to a constant.
+        clip: takes off the greatest first; callers ask for it where sums of exp leave the range of single precision."""
         of_slot, of_place, by_slot, by_place, by_value = self.tables()
         b, w = slots.shape
         flat = slots.reshape(-1)
@@ -86,7 +91,8 @@ class Model:
         d = qkv.shape[2] // 3
         s = np.matmul(qkv[:, :, :d], qkv[:, :, d : 2 * d].transpose(0, 2, 1))
         s += _mask(w)
-        np.minimum(s, 60, out=s)  # keeps exp finite without a pass for the greatest
+        if clip:
+            s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
         o = np.matmul(s, qkv[:, :, 2 * d :])
         o /= s @ np.ones((w, 1), s.dtype)
@@ -94,9 +100,9 @@ class Model:
         z += by_slot[flat]
         z = z.reshape(b, w, -1)
         z += by_place[:w]
-        return np.minimum(z, 60, out=z)
+        return z - z.max(axis=2, keepdims=True) if clip else z
 
-    def gradients(self, slots: np.ndarray, wanted: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    def gradients(self, slots: np.ndarray, wanted: np.ndarray, weight: np.ndarray, clip: bool = False) -> tuple[float, dict]:
         """Loss and gradients; wanted: the class that follows each place, weight: 0 where nothing follows."""
         p = self.params
         b, w = slots.shape
@@ -109,18 +115,22 @@ class Model:
         q, k, v = qkv[:, :, 0] * np.float32(d**-0.5), qkv[:, :, 1], qkv[:, :, 2]
         s = np.matmul(q, k.transpose(0, 2, 1))
         s += _mask(w)
-        np.minimum(s, 60, out=s)
+        if clip:
+            s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
         s *= 1 / (s @ np.ones((w, 1), s.dtype))
         o = np.matmul(s, v).reshape(n, d)
         h = x + o @ p["O"]
         z = h @ p["U"]
         z += self.bigram[flat]
-        np.minimum(z, 60, out=z)
+        if clip:
+            z -= z.max(axis=1, keepdims=True)
         at, want, weight = np.arange(n), wanted.reshape(-1), weight.reshape(-1).astype(z.dtype)
         got = z[at, want]
         np.exp(z, out=z)
         sums = z @ np.ones(z.shape[1], z.dtype)
+        if not clip and not _in_range(sums):
+            return self.gradients(slots, wanted, weight.reshape(b, w), clip=True)
         total = max(1.0, float(weight.sum()))
         loss = -float(((got - np.log(sums)) * weight).sum()) / total
         weight /= z.dtype.type(total)
@@ -197,10 +207,14 @@ class Model:
             places = start[pick, None] + at[:w]
             real = (at[:w] < size[pick, None]) & (at[:w] >= skip[pick, None])
             places = np.minimum(places, len(flat) - 1)
-            z = self.logits(before[places]).reshape(places.size, -1)
-            got = z[np.arange(len(z)), wanted[places].reshape(-1)]
-            np.exp(z, out=z)
-            got -= np.log(z @ np.ones(z.shape[1], z.dtype))
+            for clip in (False, True):
+                z = self.logits(before[places], clip).reshape(places.size, -1)
+                got = z[np.arange(len(z)), wanted[places].reshape(-1)]
+                np.exp(z, out=z)
+                sums = z @ np.ones(z.shape[1], z.dtype)
+                if _in_range(sums):
+                    break
+            got -= np.log(sums)
             out[places[real]] += got.reshape(places.shape)[real]
         return np.add.reduceat(out.astype(np.float64), first[:-1]) / np.log(10)
 
@@ -266,20 +280,56 @@ def build(unigrams: np.ndarray, own: np.ndarray, bigrams: np.ndarray, seed: int
 
 
 # -- rounds over the corpus -------------------------------------------------------------------------------------------
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path, PIECES)
-    return _encoders[path]
+class Lexicon:
+    """The ids of words by word hash (64 bits), in sorted arrays; emptied when it holds `most` words."""
+
+    def __init__(self, path: str, most: int = LEXICON):
+        self.encoder, self.most = Encoder(path, PIECES), most
+        self.empty()
+
+    def empty(self) -> None:
+        self.names, self.sizes, self.at = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.encoder.kind)
+
+    def encode(self, texts: pa.Array, words: Words, names: np.ndarray, first: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, how many each has). names: the sorted distinct hashes of the words in lower case,
+        first: a word with each, of_word: each word's place among them."""
+        if not self.encoder.by_piece:  # white space counts
+            packed = list(self.encoder.encode(texts.to_pylist()))
+            return np.frombuffer(b"".join(packed), self.encoder.kind), np.array([len(x) // self.encoder.width for x in packed], np.int64)
+        if len(self.names) > self.most:
+            self.empty()
+        known = is_in(names, self.names) if len(self.names) else np.zeros(len(names), bool)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            data = words.data.tobytes()
+            ids, sizes = self.encoder.encode_words([data[a:b] for a, b in zip(words.begin[first[new]].tolist(), words.end[first[new]].tolist())])
+            at = len(self.ids) + np.cumsum(sizes) - sizes
+            self.ids = np.append(self.ids, ids)
+            joined = np.concatenate([self.names, names[new]])
+            order = np.argsort(joined, kind="stable")
+            self.names, self.sizes, self.at = joined[order], np.concatenate([self.sizes, sizes])[order], np.concatenate([self.at, at])[order]
+        place = np.searchsorted(self.names, names)
+        sizes = self.sizes[place][of_word]
+        ends = np.append(0, np.cumsum(sizes))
+        flat = self.ids[np.repeat(self.at[place][of_word] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return flat, np.diff(ends[words.first])
+
+
+_lexicons: dict[str, Lexicon] = {}
+
+
+def lexicon(path: str) -> Lexicon:
+    """One lexicon for each worker process."""
+    if path not in _lexicons:
+        _lexicons[path] = Lexicon(path)
+    return _lexicons[path]
 
 
 def forget() -> None:
-    """A worker that has scanned keeps no pieces for the rounds after."""
-    if _encoders:
-        _encoders.clear()
+    """A worker that has scanned keeps no words for the rounds after."""
+    if _lexicons:
+        _lexicons.clear()
         release()
 
 
@@ -358,23 +408,21 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     low = np.log10(1.0 / (n_train + n_distinct + 1))
 
     def scan(batches):
-        enc, answers = encoder(tokenizer), Answers(folder, ("u8", "u8"))
-        unigrams = np.zeros(enc.full.get_vocab_size() + 1, np.int64)
+        lex, answers = lexicon(tokenizer), Answers(folder, ("u8", "u8"))
+        unigrams = np.zeros(lex.encoder.full.get_vocab_size() + 1, np.int64)
         row_of = lambda block, data, counts: pa.record_batch([pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([counts], pa.binary())], names=["block", "data", "counts"])
         for batch in batches:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             ids, null, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "no_id", "row"))
             for block, part, words in stretches(batch, CHUNK):
                 names, counts = answers.of(block)
-                h, at = np.unique(words.hashes(lower=True), return_inverse=True)
+                h, some, at = np.unique(words.hashes(lower=True), return_index=True, return_inverse=True)
                 c = counts[np.searchsorted(names, h)][at]
                 of_end = counts[np.searchsorted(names, end_hash)]
                 logs = np.append(0, np.cumsum(np.log10(c + 1.0) + low))
                 known = np.append(0, np.cumsum(c > 0))
                 sums = [np.diff(x[words.first]) for x in (logs, known)]
-                packed = list(enc.encode(batch.column("text").slice(part.start, part.stop - part.start).to_pylist()))
-                sizes = np.array([len(x) // enc.width for x in packed])
-                flat = np.frombuffer(b"".join(packed), enc.kind)
+                flat, sizes = lex.encode(batch.column("text").slice(part.start, part.stop - part.start), words, h, some, at)
                 head = (ids[part], null[part], held[part], words.sizes + 1, sums[1] + int(of_end > 0), sums[0] + np.log10(of_end + 1.0) + low, sizes, row[part])
                 yield row_of(block, _kept(head, flat), None)
                 trains = ~held[part]

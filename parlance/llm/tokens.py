@@ -62,12 +62,15 @@ class Encoder:
             pattern = splits[0]["pattern"]["Regex"]
             for kind in (r"\p{L}", r"\p{N}", r"\s"):
                 pattern = pattern.replace(kind, _below(kind))
-            self.cut = re.compile(pattern).findall
+            self.cut, self.cut_lines = re.compile(pattern).findall, re.compile(f"{pattern}|\n").findall
             mark = spec["model"].get("end_of_word_suffix") or "\0"
             self.ends = np.zeros(self.full.get_vocab_size(), bool)
             self.ends[[i for t, i in self.full.get_vocab().items() if t.endswith(mark)]] = True
             self.special = [t["content"] for t in spec["added_tokens"]]
-            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": splits[1], "added_tokens": []}))
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+            # The printable stand-ins of byte-level vocabularies: a byte that prints is itself, others follow from 256.
+            plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+            self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -92,17 +95,32 @@ class Encoder:
         for a in range(0, len(todo), 4096):
             part = todo[a : a + 4096]
             # As one text that is cut already; a piece ends with the id of a token that ends a word.
-            (e,) = self.bare.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)
+            shown = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.shown) for p in part]
+            (e,) = self.bare.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, self.kind)
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
             if len(ends) != len(part):
-                pieces.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, self.bare.encode_batch_fast(part, add_special_tokens=False)))
+                pieces.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, self.bare.encode_batch_fast(shown, add_special_tokens=False)))
                 continue
             raw, start = ids.tobytes(), 0
             for p, end in zip(part, ends):
                 pieces[p] = raw[start:end]
                 start = end
 
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, how many each has), for words without white space; all are cut in one call."""
+        low = b"\n".join(words).decode("utf-8", "replace").lower()
+        if not self.by_piece or not low.isascii() and _FAR.search(low) or any(t in low for t in self.special):
+            packed = list(self.encode([w.decode("utf-8", "replace") for w in words]))
+            return np.frombuffer(b"".join(packed), self.kind), np.array([len(x) // self.width for x in packed], np.int64)
+        found = self.cut_lines(low)
+        self._learn([found])
+        mark = b"\xff" * self.width  # no id
+        self.pieces["\n"] = mark
+        flat = np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), self.kind)
+        at = np.flatnonzero(flat == np.frombuffer(mark, self.kind)[0])
+        return np.delete(flat, at), np.diff(np.concatenate([[-1], at, [len(flat)]])) - 1
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, as packed integers of `width` bytes."""
         if not self.by_piece:
