@@ -257,23 +257,29 @@ def _verify(batches, depth: int):
         yield pd.DataFrame({"uid": uid, "links": links, "root": uid[roots], "bins": [bins.tolist(), *[None] * (len(uid) - 1)]})
 
 
+def _hinted(df: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def _compared(members: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
     """Verifies the members (node, trie, uid, comp) of nodes against each other, in pairs of blocks."""
     spark = members.sparkSession
     sizes = members.join(sets.select("uid", "n"), "uid").groupBy("node").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "node").withColumn("blk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Nodes of several blocks are few; the others need no look-up, and no node's members are brought together for one.
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = members.join(_hinted(cut(sizes.where("blocks > 1"))), "node", "left").withColumn("blocks", blocks).withColumn("blk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")}).withColumn("pair", F.concat_ws("/", "node", "lo", "hi"))
     dealt = cut(dealt.select("pair", "lo", "hi", "blk", "uid", "comp", "trie"))
-    have = sets.join(F.broadcast(dealt) if dealt.count() <= MOST_BROADCAST else dealt, "uid")
+    have = sets.join(_hinted(dealt), "uid")
     have = have.select("pair", "lo", "hi", "blk", "uid", "same", "comp", "trie", *(["labels"] if depth < DEPTH else []), "shingles")
     return cut(have.repartition(parts_of(spark), "pair").sortWithinPartitions("pair").mapInPandas(lambda batches: _verify(batches, depth), "uid long, links long, root long, bins array<long>"))
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """uid, same, n, labels and shingles of the representatives wanted, from their texts."""
-    hinted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
-    texts = _slim(docs).join(hinted, (F.col("digest") == F.col("at_digest")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("uid", "same", "labels", "text")
+    texts = _slim(docs).join(_hinted(wanted), (F.col("digest") == F.col("at_digest")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("uid", "same", "labels", "text")
 
     def sets(batches):
         for batch in batches:
@@ -313,7 +319,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             grouped = cut(met.join(tied.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid")))
         below = grouped.where(F.col("depth") >= depth).select("trie", "uid", "comp", F.xxhash64("trie", F.expr(f"substring(label, 1, {depth * _WIDE})")).alias("node"))
         mixed = below.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
-        found.append(_compared(below.join(mixed, "node"), sets, depth))
+        found.append(_compared(below.join(_hinted(cut(mixed)), "node", "left_semi"), sets, depth))
         bins = bins + _bins(found[-1])
     verified = found[0]
     for more in found[1:]:
@@ -351,11 +357,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     again = cut(marked.where(is_best).groupBy("doc_id", "digest").count().where("count > 1").select(*named))
     keyed = docs.withColumn(own, F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
     on = (F.col(own) == F.col(d)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i))
-    small = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-    kept = keyed.join(small(gone), on, "left_anti")
+    kept = keyed.join(_hinted(gone), on, "left_anti")
     if not again.isEmpty():  # rows repeated as a whole: one of them stays
-        repeated = kept.join(small(again), on, "left_semi").dropDuplicates(["doc_id", own])
-        kept = kept.join(small(again), on, "left_anti").unionByName(repeated)
+        repeated = kept.join(_hinted(again), on, "left_semi").dropDuplicates(["doc_id", own])
+        kept = kept.join(_hinted(again), on, "left_anti").unionByName(repeated)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import cut, new_folder, parts_of, uri_fs, words_of
+from parlance.llm.common import cut, new_folder, parts_of, release, uri_fs, words_of
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -327,6 +327,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """Reads token files back: doc_id, start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit integers) for each document."""
 
     def read(batches):
+        if _encoders:  # a worker that has written keeps no pieces
+            _encoders.clear()
+            release()
         for pdf in batches:
             for path, start in zip(pdf["path"], pdf["start"]):
                 fs, p = uri_fs(path)
