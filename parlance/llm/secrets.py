@@ -4,8 +4,13 @@ The whole text is scanned first. Then every layer is searched for encodings, eac
 
 * URL escapes (%41), all of a layer at once,
 * Unicode and hex escapes (\\u0041, \\x41, \\u{41}, &#65;, &#x41;), all of a layer at once,
-* base64 runs of 16 or more characters, plain or URL-safe, that decode to readable text or to a compressed stream,
-* gzip, zlib and bzip2 streams found by their first bytes.
+* base64 runs of 16 or more characters, plain or URL-safe, also wrapped over lines, decoded from each of the four places
+  in step with them (text that is glued to a run shifts it), of which whole texts and stretches of readable characters
+  (one or two bytes each) count,
+* gzip, zlib, bzip2 and xz streams, with all their members, among decoded bytes or written in URL or \\x escapes.
+
+A stream is unpacked piece by piece, whatever it unpacks to, and each piece is a layer that overlaps the one before, so
+memory is bounded and nothing is left packed; a stream inside a stream is unpacked on the way.
 
 Each layer keeps, for each of its characters, the part of the original text that it came from, so a secret found at any
 depth is reported as a span of the original. A layer that was seen before (same characters from the same place) is not
@@ -17,13 +22,15 @@ not read.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
+import itertools
+import lzma
 import re
 import zlib
 from array import array
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,10 +48,23 @@ _URL = re.compile(r"%[0-9A-Fa-f]{2}")
 _URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh")
-
-#: Bytes that one compressed stream may unpack to; a longer one is a decompression bomb, which is left packed.
-MOST_UNPACKED = 64 << 20
+_BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]*={0,2}")
+# The first bytes of streams: those that count where bytes begin, and those that are long enough to count anywhere.
+_MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00")
+_SURE = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+# The same in escapes; a stream has bytes that do not print, so escapes follow soon.
+_URL_MAGIC = re.compile(r"%1[fF]%8[bB]|(?:x|%78)(?:%01|%5[eE]|%9[cC]|%[dD][aA]|\^(?=.{0,3}%))|BZh[1-9]1AY|%[fF][dD]7zXZ")
+_X_MAGIC = re.compile(r"\\x1[fF]\\x8[bB]|(?:x|\\x78)(?:\\x01|\\x5[eE]|\\x9[cC]|\\x[dD][aA]|\^(?=.{0,3}\\x))|BZh[1-9]1AY|\\x[fF][dD]7zXZ")
+_URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|[^\s\"'<>]")
+_X_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\([abfnrtv0\\'\"])|.", re.DOTALL)
+_CONTROL = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\""))
+#: Stretches of readable bytes of at least this length count where not all of them are text.
+LEAST_READABLE = 12
+_READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{%d,}" % LEAST_READABLE)
+_READABLE_16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){%d,}|(?:\x00[\t\n\r\x20-\x7e]){%d,}" % (LEAST_READABLE, LEAST_READABLE))
+
+#: Bytes of a piece of an unpacked stream, and those that it shares with the piece before.
+PIECE, OVERLAP = 4 << 20, 1 << 16
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -58,93 +78,215 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 
 class Layer:
-    """Decoded characters and, for each, where it starts and ends in the original text (None: the layer is the original)."""
+    """Decoded characters and where each starts and ends in the original text: two arrays, or one span for all of them
+    (a piece of a stream), or None (the layer is the original)."""
 
-    __slots__ = ("text", "starts", "ends")
+    __slots__ = ("text", "starts", "ends", "whole")
 
-    def __init__(self, text: str, starts: array | None = None, ends: array | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts: array | None = None, ends: array | None = None, whole: tuple[int, int] | None = None):
+        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         """The original's part that characters a to b came from."""
+        if self.whole:
+            return self.whole
         if self.starts is None:
             return a, b
         return min(self.starts[a:b]), max(self.ends[a:b])
 
     def key(self) -> bytes:
         h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
-        if self.starts is not None and len(self.text):
+        if self.whole:
+            h.update(b"%d %d" % self.whole)
+        elif self.starts is not None and len(self.text):
             h.update(b"%d %d" % (min(self.starts), max(self.ends)))
         return h.digest()
 
 
-def _bytes_layer(raw: bytes, spans: list[tuple[int, int]]) -> Layer | None:
-    """The layer of decoded bytes, each with its span; None where they are not readable text."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if sum(c.isprintable() or c in "\t\n\r" for c in text) < 0.9 * len(text):
-        return None
-    starts, ends, at = array("q"), array("q"), 0
-    for c in text:
-        n = 1 if c < "\x80" else len(c.encode("utf-8"))
-        starts.append(spans[at][0])
-        ends.append(spans[at + n - 1][1])
-        at += n
-    return Layer(text, starts, ends)
-
-
-def _member(raw: bytes, most: int) -> tuple[bytes, bytes] | None:
-    """(what the first stream holds, what follows it); None where it is none, is damaged or unpacks to more than `most`."""
-    if not raw.startswith(_MAGIC):
-        return None
-    try:
-        d = bz2.BZ2Decompressor() if raw.startswith(b"BZh") else zlib.decompressobj(wbits=47)  # zlib or gzip by its head
-        out = d.decompress(raw, most)
-        return (out, d.unused_data) if d.eof else None
-    except (OSError, zlib.error, ValueError):
-        return None
-
-
-def _unpacked(raw: bytes) -> bytes | None:
-    """What a compressed stream and the members behind it hold, up to the first that is damaged or goes beyond
-    MOST_UNPACKED in all; None where the first is none or does."""
-    out, room = None, MOST_UNPACKED
-    while room > 0 and (got := _member(raw, room)) is not None:
-        out, raw = (out or b"") + got[0], got[1]
-        room = MOST_UNPACKED - len(out)
-    return out
+class _Derived:
+    """A layer in the making: parts of another one and characters that stand for parts of it."""
 
+    def __init__(self, of: Layer):
+        self.of, self.out, self.starts, self.ends = of, [], array("q"), array("q")
 
-def _opened(raw: bytes, spans: list[tuple[int, int]]) -> list[Layer]:
-    """The layers that decoded bytes give: as text, or unpacked from any nesting of streams."""
-    seen: set[bytes] = set()
-    while (inner := _unpacked(raw)) is not None:
-        mark = hashlib.blake2b(inner, digest_size=16).digest()
-        if mark in seen:
-            return []
-        seen.add(mark)
-        whole = (spans[0][0], spans[-1][1]) if spans else (0, 0)
-        raw, spans = inner, [whole] * len(inner)
-    layer = _bytes_layer(raw, spans) if raw else None
-    return [layer] if layer else []
+    def plain(self, a: int, b: int) -> None:
+        self.out.append(self.of.text[a:b])
+        if not self.of.whole:
+            for i in range(a, b):
+                s, e = self.of.span(i, i + 1)
+                self.starts.append(s)
+                self.ends.append(e)
 
+    def add(self, c: str, a: int, b: int) -> None:
+        self.out.append(c)
+        if not self.of.whole:
+            s, e = self.of.span(a, b)
+            self.starts.append(s)
+            self.ends.append(e)
+
+    def layer(self) -> Layer:
+        return Layer("".join(self.out), whole=self.of.whole) if self.of.whole else Layer("".join(self.out), self.starts, self.ends)
 
-def _url(layer: Layer) -> list[Layer]:
-    if "%" not in layer.text or not _URL.search(layer.text):
-        return []
-    out, starts, ends, at = [], array("q"), array("q"), 0
 
-    def plain(a: int, b: int) -> None:
-        out.append(layer.text[a:b])
-        for i in range(a, b):
-            s, e = layer.span(i, i + 1)
-            starts.append(s)
-            ends.append(e)
+class Bytes:
+    """Decoded bytes; `at(i)` says where the i-th came from."""
 
+    def __init__(self, raw: bytes, at: Callable[[int], tuple[int, int]]):
+        self.raw, self.at = raw, at
+
+    def layer(self, a: int, b: int, wide: int, text: str) -> Layer:
+        """Bytes a to b as characters of so many bytes each (0: as in UTF-8)."""
+        starts, ends, i = array("q"), array("q"), a
+        for c in text:
+            n = wide or len(c.encode("utf-8", "surrogatepass"))
+            starts.append(self.at(i)[0])
+            ends.append(self.at(i + n - 1)[1])
+            i += n
+        return Layer(text, starts, ends)
+
+
+def _packer(raw: bytes):
+    return bz2.BZ2Decompressor() if raw.startswith(b"BZh") else lzma.LZMADecompressor() if raw.startswith(b"\xfd7z") else zlib.decompressobj(wbits=47)
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What a stream and the members behind it hold, in pieces, up to the first that is damaged."""
+    d, data = None, b""
+    for chunk in chunks:
+        data += chunk
+        while data or d is not None:
+            if d is None:
+                if not data.startswith(_MAGIC):
+                    if len(data) < 6:
+                        break  # more of it may be to come
+                    return
+                d = _packer(data)
+            try:
+                out = d.decompress(data, PIECE)
+            except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+                return
+            data = getattr(d, "unconsumed_tail", b"")
+            if out:
+                yield out
+            if d.eof:
+                d, data = None, d.unused_data
+            elif not out or not data and getattr(d, "needs_input", True):
+                break
+
+
+def _used(raw: bytes) -> int:
+    """How many of the bytes the first stream and the members behind it take up; all where one is damaged."""
+    data = raw
+    while data.startswith(_MAGIC):
+        d, more = _packer(data), data
+        try:
+            while not d.eof:
+                out = d.decompress(more, PIECE)
+                more = getattr(d, "unconsumed_tail", b"")
+                if not d.eof and not out and not more and getattr(d, "needs_input", True):
+                    return len(raw)
+        except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+            return len(raw)
+        data = d.unused_data
+    return len(raw) - len(data)
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """The pieces of a stream, unpacked from any nesting of streams; each begins with the end of the one before."""
+    chunks, seen = iter([raw]), set()
+    while True:
+        first = next(chunks, b"")
+        mark = hashlib.blake2b(first, digest_size=16).digest()
+        if not first or mark in seen:  # nothing, or a stream that unpacks to itself
+            return
+        seen.add(mark)
+        chunks = itertools.chain([first], chunks)
+        if not first.startswith(_MAGIC):
+            break
+        inner = _inflated(chunks)
+        head = next(inner, None)
+        if head is None:  # it only looked like a stream
+            if len(seen) == 1:
+                return
+            chunks = iter([first])
+            break
+        chunks = itertools.chain([head], inner)
+    if len(seen) == 1:
+        return
+    held = b""
+    for chunk in chunks:
+        held += chunk
+        if len(held) >= PIECE:
+            yield held
+            held = held[-OVERLAP:]
+    if held:
+        yield held
+
+
+def _unpacked(raw: bytes, whole: tuple[int, int]) -> Iterator[Layer]:
+    """The layers of a stream's pieces."""
+    for piece in _pieces(raw):
+        zeros = piece.count(0)
+        kind = "utf-8" if 10 * zeros < 3 * len(piece) else "utf-16-le" if piece[1::2].count(0) * 2 >= zeros else "utf-16-be"
+        yield Layer(piece.decode(kind, "replace"), whole=whole)
+        for m in _SURE.finditer(piece):
+            if m.start():  # a stream among other bytes, as in an archive
+                yield from _unpacked(piece[m.start() :], whole)
+
+
+def _opened(b: Bytes, text: bool = True) -> Iterator[Layer]:
+    """The layers that decoded bytes give: what streams hold, the whole as text or its readable stretches."""
+    raw = b.raw
+    if raw.startswith(_MAGIC):
+        found = False
+        for layer in _unpacked(raw, (b.at(0)[0], b.at(len(raw) - 1)[1])):
+            found = True
+            yield layer
+        if found:
+            return
+    for m in _SURE.finditer(raw):
+        if m.start():
+            yield from _unpacked(raw[m.start() :], (b.at(m.start())[0], b.at(len(raw) - 1)[1]))
+    if not text:
+        return
+    try:
+        whole = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        whole = ""
+    if whole and 10 * sum(c.isprintable() or c in "\t\n\r" for c in whole) >= 9 * len(whole):
+        yield b.layer(0, len(raw), 0, whole)
+        return
+    for m in _READABLE.finditer(raw):
+        yield b.layer(m.start(), m.end(), 1, m[0].decode("ascii"))
+    for m in _READABLE_16.finditer(raw):
+        yield b.layer(m.start(), m.end(), 2, m[0].replace(b"\0", b"").decode("ascii"))
+
+
+def _escaped_streams(layer: Layer, magic: re.Pattern, byte: re.Pattern) -> Iterator[Layer]:
+    """Streams whose bytes are written in escapes, from each place that looks like the start of one."""
+    upto = 0
+    for m in magic.finditer(layer.text):
+        if m.start() < upto:  # within the one before
+            continue
+        raw, places, i = bytearray(), [], m.start()
+        while (x := byte.match(layer.text, i)) is not None:
+            code = [int(x[1], 16)] if x[1] else [_CONTROL[x[2]]] if x.re is _X_BYTE and x[2] else x[0].encode("utf-8", "surrogatepass")
+            raw += bytes(code)
+            places += [i] * len(code)
+            i = x.end()
+        places.append(i)
+        used = _used(bytes(raw))
+        for got in _opened(Bytes(bytes(raw[:used]), lambda k, p=places: layer.span(p[k], max(p[k] + 1, p[k + 1]))), text=False):
+            upto = places[used]
+            yield got
+
+
+def _url(layer: Layer) -> Iterator[Layer]:
+    if "%" not in layer.text or not _URL.search(layer.text):
+        return
+    new, at = _Derived(layer), 0
     for m in _URL_RUN.finditer(layer.text):
-        plain(at, m.start())
+        new.plain(at, m.start())
         raw = bytes.fromhex(m[0].replace("%", ""))
         at, i = m.end(), 0
         while i < len(raw):
@@ -157,62 +299,66 @@ def _url(layer: Layer) -> list[Layer]:
                     c, n = chr(raw[i]), 1 if n == 4 else n
             if len(c) != 1:
                 c, n = chr(raw[i]), 1
-            s, e = layer.span(m.start() + 3 * i, m.start() + 3 * (i + n))
-            out.append(c)
-            starts.append(s)
-            ends.append(e)
+            new.add(c, m.start() + 3 * i, m.start() + 3 * (i + n))
             i += n
-    plain(at, len(layer.text))
-    return [Layer("".join(out), starts, ends)]
+    new.plain(at, len(layer.text))
+    yield new.layer()
+    yield from _escaped_streams(layer, _URL_MAGIC, _URL_BYTE)
 
 
-def _unicode(layer: Layer) -> list[Layer]:
+def _unicode(layer: Layer) -> Iterator[Layer]:
     if "\\" not in layer.text and "&#" not in layer.text:
-        return []
-    out, starts, ends, at = [], array("q"), array("q"), 0
+        return
+    new, at = _Derived(layer), 0
     for m in _UNICODE.finditer(layer.text):
         code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3] or m[5], 16)
         if code > 0x10FFFF or 0xD800 <= code < 0xE000:
             continue
-        for i in range(at, m.start()):
-            s, e = layer.span(i, i + 1)
-            out.append(layer.text[i])
-            starts.append(s)
-            ends.append(e)
-        s, e = layer.span(m.start(), m.end())
-        out.append(chr(code))
-        starts.append(s)
-        ends.append(e)
+        new.plain(at, m.start())
+        new.add(chr(code), m.start(), m.end())
         at = m.end()
-    if not at:
-        return []
-    for i in range(at, len(layer.text)):
-        s, e = layer.span(i, i + 1)
-        out.append(layer.text[i])
-        starts.append(s)
-        ends.append(e)
-    return [Layer("".join(out), starts, ends)]
-
-
-def _base64(layer: Layer) -> list[Layer]:
-    out = []
+    if at:
+        new.plain(at, len(layer.text))
+        yield new.layer()
+        yield from _escaped_streams(layer, _X_MAGIC, _X_BYTE)
+
+
+def _decoded(layer: Layer, run: str, places: Sequence[int]) -> Iterator[Layer]:
+    """The layers of a base64 run whose characters stand at these places of a layer."""
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    for step in range(min(4, len(run) - 1)):
+        part = run[step:]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+
+        def at(i: int, step: int = step) -> tuple[int, int]:
+            return layer.span(places[step + 8 * i // 6], places[step + (8 * i + 7) // 6] + 1)
+
+        if step == 0:
+            clean = raw.isascii() or not raw.startswith(_MAGIC) and _is_utf8(raw)
+            yield from _opened(Bytes(raw, at))
+            if clean:
+                return  # it is in step
+        elif _READABLE.search(raw) or _SURE.search(raw) or b"\0" in raw and _READABLE_16.search(raw):
+            yield from _opened(Bytes(raw, at))
+
+
+def _is_utf8(raw: bytes) -> bool:
+    try:
+        raw.decode("utf-8")
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def _base64(layer: Layer) -> Iterator[Layer]:
     for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1 or run.isalpha() and run.islower():
-            continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        # Most runs are words or digests, which decode to bytes that are no text: find that out before mapping spans.
-        if not raw.startswith(_MAGIC):
-            try:
-                raw.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-        spans = [layer.span(m.start() + 8 * i // 6, m.start() + (8 * i + 7) // 6 + 1) for i in range(len(raw))]
-        out += _opened(raw, spans)
-    return out
+        yield from _decoded(layer, m[0], range(m.start(), m.end()))
+    if "\n" in layer.text:
+        for m in _BASE64_LINES.finditer(layer.text):
+            places = [i for i in range(m.start(), m.end()) if layer.text[i] not in " \t\r\n"]
+            yield from _decoded(layer, "".join(layer.text[i] for i in places), places)
 
 
 def spans_of(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -222,15 +368,19 @@ def spans_of(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[i
         return [], []
     base = scan(text)
     found = set(base)
-    work, seen = [Layer(text)], set()
+    # A stack of layers still to come: each is made when its turn comes, and dropped when those within it are done.
+    work, seen = [iter([Layer(text)])], set()
     while work:
-        layer = work.pop()
-        if layer.starts is not None:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if (k := layer.key()) in seen:
+            continue
+        seen.add(k)
+        if layer.starts is not None or layer.whole:
             found.update((*layer.span(a, b), kind) for a, b, kind in scan(layer.text))
-        for new in (*_url(layer), *_unicode(layer), *_base64(layer)):
-            if (k := new.key()) not in seen:
-                seen.add(k)
-                work.append(new)
+        work.append(itertools.chain(_url(layer), _unicode(layer), _base64(layer)))
     return sorted(base, key=order), sorted(found, key=order)
 
 
