@@ -4,13 +4,14 @@ Each source gets a share of the words of all rows by its weight, at most `most`
 target T and W words takes each of its documents T/W times on average: the whole part of that ratio for sure, and the
 fraction f by a sample. The sample is drawn by the cube method: all inclusion probabilities of a source start at f and
 walk, three documents at a time, along the null space of the balancing constraints (number of documents and number of
-words), until each is 0 or 1 but for at most two of a block. What is left of the blocks meets in further rounds, and
-the last few documents of a source are landed one by one so that the words taken stay nearest to the target; single
-documents of that last block are then flipped while this brings the source nearer still.
+words), until each is 0 or 1 but for at most two of a block, which are among its smallest, since units fly by size. What
+is left of the blocks meets in further rounds, and the last two documents of a source at most are landed together: the
+number of documents moves by less than one, and among those outcomes the words taken stay nearest to the target.
 """
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pandas as pd
@@ -74,31 +75,11 @@ def flight(units: list[tuple[float, int]], rng: random.Random) -> list[float]:
 
 
 def land(units: list[tuple[float, int]], gap: float) -> list[float]:
-    """Rounds the few units left, largest first, each the way that leaves the sum of sizes nearer to the balance."""
-    out = [0.0] * len(units)
-    off = gap  # what is taken beyond the expected size so far
-    for i in sorted(range(len(units)), key=lambda i: (-units[i][1], i)):
-        p, size = units[i]
-        out[i] = float(abs(off + (1 - p) * size) < abs(off - p * size)) if size else float(p >= 0.5)
-        off += (out[i] - p) * size
-    return out
-
-
-def settle(units: list[tuple[float, int]], p: list[float]) -> list[float]:
-    """Flips single documents of a landed sample while a flip brings the words taken nearer to their expectation."""
-    p = list(p)
-    off = sum((x - q) * s for (q, s), x in zip(units, p))
-    free = [i for i, (q, s) in enumerate(units) if 0 < q < 1 and s]
-    for _ in range(16):
-        if not free:
-            break
-        move = lambda i: units[i][1] * (1 - 2 * p[i])
-        best = min(free, key=lambda i: (abs(off + move(i)), i))
-        if abs(off + move(best)) >= abs(off):
-            break
-        off += move(best)
-        p[best] = 1 - p[best]
-    return p
+    """Rounds the few units that a flight leaves (two at most): of the outcomes that move the number of documents by less
+    than one, the one that leaves the sum of sizes nearest to the balance; gap is what is taken beyond it so far."""
+    expected = sum(p for p, _ in units)
+    outcomes = [x for x in itertools.product((0.0, 1.0), repeat=len(units)) if abs(sum(x) - expected) < 1]
+    return list(min(outcomes, key=lambda x: (abs(gap + sum((t - p) * s for t, (p, s) in zip(x, units))), x)))
 
 
 def _round(units: DataFrame, turn: int, last: bool, seed: int) -> DataFrame:
@@ -114,7 +95,6 @@ def _round(units: DataFrame, turn: int, last: bool, seed: int) -> DataFrame:
                 gap = sum((x - q) * s for (q, s), x in zip(pairs, p))  # what rounding has let slip
                 for i, x in zip(left, land([(p[i], pairs[i][1]) for i in left], gap)):
                     p[i] = x
-                p = settle(pairs, p)
             yield g.assign(p=p)
 
     return units.repartition("block_key").sortWithinPartitions("block_key", F.col("unit_size").desc(), "doc_id", "digest").mapInPandas(walk, units.schema)
