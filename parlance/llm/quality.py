@@ -40,8 +40,8 @@ SHORT_LINE = 10
 SYMBOLS = "#*$%&|<>"
 ENDS = (".", "!", "?", ":", ";", ",", "…", '"', "'", "”", "’", "»", ")", "]", "。", "！", "？")
 SEPARATORS = frozenset("|»›>·•/")
-MENU = frozenset(("home", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back", "menu", "search", "skip to content", "read more", "share", "top", "contact", "contact us", "about us", "site map", "sitemap"))
-PHRASES = ("accept cookies", "accept all cookies", "we use cookies", "uses cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "subscribe to our newsletter", "sign up for our", "click here", "lorem ipsum", "page not found", "add to cart", "powered by")
+MENU = frozenset(("home", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back", "menu", "search", "skip to content", "read more", "share", "top", "contact", "contact us", "about us", "site map", "sitemap", "startseite", "anmelden", "kontakt", "impressum", "suche", "accueil", "connexion", "rechercher", "inicio", "contacto", "buscar"))
+PHRASES = ("accept cookies", "accept all cookies", "we use cookies", "uses cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "subscribe to our newsletter", "sign up for our", "click here", "lorem ipsum", "page not found", "add to cart", "powered by", "alle rechte vorbehalten", "cookies akzeptieren", "tous droits réservés", "accepter les cookies", "todos los derechos reservados", "aceptar cookies", "política de privacidad")
 BOILERPLATE = re.compile(r"\b(?:" + "|".join(PHRASES) + r")\b", re.IGNORECASE)
 _RUN = re.compile(r"[#*$%&|<>!?~^=_]{2,}")
 
@@ -100,7 +100,8 @@ def line_fails(line: str, n: int, lone: bool, beside_fragment: bool) -> str | No
     return None
 
 
-_MARKS = re.compile(r"[#*$%&|<>~^=_»›·•/]|[!?]{2}")
+# Signs of a rule's symbols, and the four letters that count as k, s or i where case does not.
+_MARKS = re.compile(r"[#*$%&|<>~^=_»›·•/\u017f\u0130\u0131\u212a]|[!?]{2}")
 
 
 def _plain(text: str, lines: list[str]) -> bool:
