@@ -38,21 +38,31 @@ SENTENCES: dict[str, str] = {
     "apache-copy": "You may obtain a copy of the License at",
     "apache-unless": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
     "apache-see": "See the License for the specific language governing permissions and limitations under the License",
-    "gpl-short": "This work is licensed under the GNU General Public License, version {}",
-    "gpl-short-2": "Licensed under the GNU General Public License, version {}",
-    "gpl-title": "GNU General Public License",
     "gpl-free": "This program is free software",
-    "gpl-redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version",
+    "gpl-free-library": "This library is free software",
     "gpl-useful": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "gpl-useful-library": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "gpl-implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
-    "gpl-see": "See the GNU General Public License for more details",
-    "lgpl-short": "Licensed under the GNU Lesser General Public License, version {}",
-    "agpl-short": "Licensed under the GNU Affero General Public License, version {}",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "isc-liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    "boost-title": "Boost Software License - Version 1.0",
+    "boost-short": "Distributed under the Boost Software License, Version 1.0",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "epl-short": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "epl-short-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "epl-title": "Eclipse Public License - v 1.0",
+    "epl-title-2": "Eclipse Public License - v 2.0",
+    "cddl-short": "The contents of this file are subject to the terms of the Common Development and Distribution License",
+    "artistic-title": "The Artistic License 2.0",
     "bsd-short": "Licensed under the BSD License",
+    "mpl-title": "Mozilla Public License Version 2.0",
     "mpl-short": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "cc-by-nc": "Licensed under CC BY-NC 4.0",
@@ -80,7 +90,8 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("mit-title",)),
     ("MIT", ("mit-title-2",)),
     ("MIT", ("mit-title-3",)),
-    ("ISC", ("isc-grant", "mit-as-is")),
+    ("ISC", ("isc-grant", "isc-as-is", "isc-liability")),
+    ("ISC", ("isc-grant", "isc-as-is")),
     ("ISC", ("isc-grant",)),
     ("ISC", ("isc-title",)),
     ("Apache-2.0", ("apache-long", "apache-may-not", "apache-copy", "apache-unless", "apache-see")),
@@ -88,15 +99,21 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("apache-long",)),
     ("Apache-2.0", ("apache-short",)),
     ("Apache-2.0", ("apache-title",)),
-    ("GPL", ("gpl-free", "gpl-redistribute", "gpl-useful", "gpl-implied", "gpl-see")),
-    ("GPL", ("gpl-free", "gpl-redistribute")),
-    ("GPL", ("gpl-short",)),
-    ("GPL", ("gpl-short-2",)),
-    ("GPL", ("gpl-title",)),
-    ("LGPL", ("lgpl-short",)),
-    ("AGPL", ("agpl-short",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-liability")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("BSL-1.0", ("boost-title",)),
+    ("BSL-1.0", ("boost-short",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("EPL-1.0", ("epl-short",)),
+    ("EPL-1.0", ("epl-title",)),
+    ("EPL-2.0", ("epl-short-2",)),
+    ("EPL-2.0", ("epl-title-2",)),
+    ("CDDL", ("cddl-short",)),
+    ("Artistic-2.0", ("artistic-title",)),
+    ("MPL-2.0", ("mpl-title",)),
     ("BSD", ("bsd-short",)),
     ("MPL-2.0", ("mpl-short",)),
     ("Unlicense", ("unlicense",)),
@@ -111,6 +128,37 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-SA-4.0", ("cc-this-by-sa",)),
     ("CC-BY-NC-4.0", ("cc-this-by-nc",)),
 ]
+# The GNU licenses say the same with another name, version and word for the work.
+_GNU = (("GPL", "GNU General Public License", ("1", "2", "3")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3")), ("LGPL", "GNU Library General Public License", ("2",)), ("AGPL", "GNU Affero General Public License", ("1", "3")))
+_DATES = {"GPL2": "June 1991", "GPL3": "29 June 2007", "LGPL2.1": "February 1999", "LGPL3": "29 June 2007", "AGPL3": "19 November 2007", "LGPL2": "June 1991", "GPL1": "February 1989", "AGPL1": "March 2002"}
+for _family, _title, _versions in _GNU:
+    _see, _bare = f"{_title}-see", f"{_title}-bare"
+    SENTENCES[_see], SENTENCES[_bare] = f"See the {_title} for more details", _title
+    for _v in _versions:
+        _name = f"{_family}-{_v if '.' in _v else _v + '.0'}"
+        for _k, _written in enumerate(dict.fromkeys((_v, _v if "." in _v else _v + ".0"))):
+            _grant = f"you can redistribute it and/or modify it under the terms of the {_title} as published by the Free Software Foundation"
+            _own = {
+                "later": f"{_grant}, either version {_written} of the License, or (at your option) any later version",
+                "only": f"{_grant}, version {_written} of the License",
+                "work": f"This work is licensed under the {_title}, version {_written}",
+                "short": f"Licensed under the {_title}, version {_written}",
+                "title": f"{_title} Version {_written}, {_DATES[_family + _v]}",
+            }
+            for _what, _text in _own.items():
+                _id = f"{_title}-{_v}-{_k}-{_what}"
+                SENTENCES[_id] = _text
+                _free = _name + ("-or-later" if _what == "later" else "")
+                if _what in ("later", "only"):
+                    for _end in ("", "-library"):
+                        RULES.append((_free, (f"gpl-free{_end}", _id, f"gpl-useful{_end}", "gpl-implied", _see)))
+                        RULES.append((_free, (f"gpl-free{_end}", _id)))
+                RULES.append((_free, (_id,)))
+    RULES.append((_family, (_bare,)))
+# A tag names a license outright.
+for _name in list(dict.fromkeys(name for name, _ in RULES)):
+    SENTENCES[f"spdx-{_name}"] = f"SPDX-License-Identifier: {_name}"
+    RULES.append((_name, (f"spdx-{_name}",)))
 #: Unknown units that may stand between two sentences of a rule (list numbers, URLs, a line of asterisks).
 GAP = 3
 #: Words that "{}" may stand for.
@@ -120,7 +168,7 @@ _WORDS = re.compile(r"[^\W_]+")
 # A unit ends behind a mark that white space follows, or at a line end.
 _UNIT = re.compile(r"[^\n]+?(?:[.:;?!](?=\s)|(?=\n)|\Z)")
 # A text without any of these holds no known sentence (a test checks that each sentence holds one).
-HINTS = ("licens", "permission", "redistribut", "free software", "rights reserved", "without warranty", "without any warranty", "implied warranty", "software is provided", "liable for any claim", "unencumbered", "promote products", "applicable law", "notice")
+HINTS = ("licens", "permission", "redistribut", "free software", "rights reserved", "without warranty", "without any warranty", "implied warranty", "software is provided", "liable for any claim", "unencumbered", "promote products", "applicable law", "notice", "as published by the free software foundation", "this software", "this program")
 
 _ONE_WORD = tuple(h for h in HINTS if " " not in h)
 _STARTS = tuple(h.split()[0] for h in HINTS if " " in h)
