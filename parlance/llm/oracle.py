@@ -17,11 +17,11 @@ def _runs(words: str, least: int) -> str:
 DECONTAMINATION = f"""WITH d AS (SELECT doc_id, {_runs('w', 5)} AS g FROM (SELECT doc_id, {_PLAIN} AS w FROM documents)),
 b AS (SELECT item_id, g, len(g) AS m FROM (SELECT DISTINCT item_id, {_runs('w', 5)} AS g FROM (SELECT item_id, {_PLAIN} AS w FROM benchmark)) WHERE len(g) > 0),
 bs AS (SELECT item_id, m, h, count(*) AS c FROM (SELECT item_id, m, unnest(g) AS h FROM b) GROUP BY ALL),
-hits AS (SELECT doc_id, n, item_id, m, p, h, c FROM (SELECT doc_id, len(g) AS n, unnest(g) AS h, generate_subscripts(g, 1) - 1 AS p FROM d) JOIN bs USING (h) WHERE n >= m),
-starts AS (SELECT DISTINCT doc_id, item_id, least(p, n - m) AS s FROM hits),
-per AS (SELECT doc_id, item_id, s, m, h, least(count(*), any_value(c)) AS k FROM starts JOIN hits USING (doc_id, item_id) WHERE p >= s AND p < s + m GROUP BY ALL),
-shared AS (SELECT doc_id, item_id, s, m, sum(k)::BIGINT AS k FROM per GROUP BY ALL),
-found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items, max(k / (2 * m - k)) AS similarity FROM shared WHERE 9 * k >= 8 * m GROUP BY doc_id)
+hits AS (SELECT doc_id, n, item_id, m, p, h, c FROM (SELECT doc_id, len(g) AS n, unnest(g) AS h, generate_subscripts(g, 1) - 1 AS p FROM d) JOIN bs USING (h)),
+starts AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(p, n - m)) AS s FROM hits),
+per AS (SELECT doc_id, item_id, s, least(n, m) + m AS both, h, least(count(*), any_value(c)) AS k FROM starts JOIN hits USING (doc_id, item_id) WHERE p >= s AND p < s + m GROUP BY ALL),
+shared AS (SELECT doc_id, item_id, s, both, sum(k)::BIGINT AS k FROM per GROUP BY ALL),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items, max(k / (both - k)) AS similarity FROM shared WHERE 9 * k >= 4 * both GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, round(coalesce(similarity, 0), 6) AS similarity FROM documents LEFT JOIN found USING (doc_id)"""
 
 NEAR_DUPLICATES = f"""WITH RECURSIVE d AS (SELECT doc_id, list_distinct({_runs('w', 1)}) AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
