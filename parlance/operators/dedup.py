@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -50,16 +51,28 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(F.min(row).alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in names])
 
 
-def _greedy(lengths):
-    """Indexes (from 0) of a length-ordered list that repeat an earlier kept one: a fold over (kept lengths, flags)."""
-    near = lambda n: lambda m: (F.least(n, m) > 0) & (F.abs(n - m) / F.greatest(n, m) <= SIMILAR_LENGTH)
-    start = F.struct(F.array().cast("array<int>").alias("kept"), F.array().cast("array<boolean>").alias("flags"))
+def letter_bound(a: Column, b: Column) -> Column:
+    """No less than the similarity of two strings: twice the characters that they share, in any order, by all of theirs."""
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    shared = F.aggregate(F.array_distinct(letters(a)), F.lit(0), lambda n, x: n + F.least(F.length(a) - F.length(F.replace(a, x, F.lit(""))), F.length(b) - F.length(F.replace(b, x, F.lit("")))))
+    return 2 * shared / (F.length(a) + F.length(b))
 
-    def step(state, n):
-        hit = F.exists(state["kept"], near(n))
-        return F.struct(F.when(hit, state["kept"]).otherwise(F.array_append(state["kept"], n)).alias("kept"), F.array_append(state["flags"], hit).alias("flags"))
 
-    return F.aggregate(lengths, start, step, lambda state: state["flags"])
+def _first_of_alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows (key, first, n) sorted by key and first: whether n is within SIMILAR_LENGTH of one kept before. Kept
+    lengths lie at least that share apart, so a key has few of them, in a sorted list."""
+    last, kept = None, []
+    for pdf in batches:
+        flags = []
+        for key, n in zip(pdf["key"], pdf["n"]):
+            if key != last:
+                last, kept = key, []
+            at = bisect.bisect_left(kept, n)
+            near = n > 0 and any(m > 0 and abs(n - m) <= SIMILAR_LENGTH * max(n, m) for m in kept[max(0, at - 1) : at + 1])
+            if not near:
+                kept.insert(at, n)
+            flags.append(near)
+        yield pdf.assign(near=flags)
 
 
 def deduplicate(df: DataFrame, order: str = "ord", scope: Sequence[str] = ()) -> DataFrame:
@@ -71,7 +84,7 @@ def deduplicate(df: DataFrame, order: str = "ord", scope: Sequence[str] = ()) ->
     scope: further columns that must agree, for example a batch number.
 
     Rule 2 compares titles, not rows: titles of one group are distinct before they are paired, so copies are not
-    expanded, and only pairs whose lengths allow the ratio reach Python.
+    expanded, and only pairs whose lengths and letters allow the ratio reach Python.
     """
     scope = list(scope)
     d = exact_repeats(df, ["raw_text", *scope], order, "_exact").withColumn("_title", text.title_key(F.col("title")))
@@ -85,6 +98,7 @@ def deduplicate(df: DataFrame, order: str = "ord", scope: Sequence[str] = ()) ->
         same &= F.col(c).eqNullSafe(F.col(f"_a_{c}"))
     na, nb = F.length("_ta"), F.length("_title")
     pairs = titles.join(a, same & (F.col("_ta") != F.col("_title")) & (2 * F.least(na, nb) >= SIMILAR_TITLE * (na + nb)))
+    pairs = pairs.where(letter_bound(F.col("_title"), F.col("_ta")) >= SIMILAR_TITLE)
     similar = pairs.where(title_ratio(F.col("_title"), F.col("_ta"), SIMILAR_TITLE) >= SIMILAR_TITLE)
     # The title's own first row counts, too: equal titles have a ratio of 1.
     seen = titles.select(*group, "_title", "_seen").unionByName(similar.select(*group, "_title", F.col("_sa").alias("_seen")))
@@ -95,13 +109,15 @@ def deduplicate(df: DataFrame, order: str = "ord", scope: Sequence[str] = ()) ->
         on &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
     d = d.join(best, on, "left").withColumn("_similar", F.coalesce((F.col(order) > F.col("_earliest")) & ~F.col("_exact"), F.lit(False))).drop("_earliest", *[f"_b_{c}" for c in names])
 
-    # Rule 3. A fold over the lengths of each group of equal prefixes.
-    d = d.withColumns({"_len": F.length(F.coalesce("clean_text", F.lit(""))), "_prefix": F.md5(text.prefix_key(F.col("clean_text"))), "_open": ~F.col("_exact") & ~F.col("_similar")})
-    group = ["company", "year_quarter", "_prefix", *scope]
-    folded = d.where("_open").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_len").alias("n")))).alias("rows")).where(F.size("rows") > 1)
-    flags = _greedy(F.transform("rows", lambda r: r["n"]))
-    third = folded.select(F.explode(F.arrays_zip(F.transform("rows", lambda r: r["o"]).alias("o"), flags.alias("f"))).alias("z")).where("z.f").select(F.col("z.o").alias("_o"))
-    d = d.join(third, F.col(order) == F.col("_o"), "left").withColumn("_third", F.col("_o").isNotNull())
+    # Rule 3. Of rows of one length and group only the first matters: if it stays, the others are near it, and if it is
+    # near another, so are they. That is found before the shuffle, so a group sends its lengths, not its rows.
+    group = F.md5(F.to_json(F.struct("company", "year_quarter", F.md5(text.prefix_key(F.col("clean_text"))).alias("prefix"), *scope)))
+    d = d.withColumns({"_len": F.length(F.coalesce("clean_text", F.lit(""))), "_group": group, "_open": ~F.col("_exact") & ~F.col("_similar")})
+    lengths = d.where("_open").groupBy(F.col("_group").alias("key"), F.col("_len").alias("n")).agg(F.min(order).alias("first"))
+    judged = lengths.repartition("key").sortWithinPartitions("key", "first").mapInPandas(_first_of_alike, f"key string, n int, first {lengths.schema['first'].dataType.simpleString()}, near boolean")
+    named = judged.select(F.col("key").alias("_k"), F.col("n").alias("_n"), F.col("first").alias("_first"), F.col("near").alias("_near"))
+    d = d.join(named, (F.col("_group") == F.col("_k")) & (F.col("_len") == F.col("_n")), "left")
+    d = d.withColumn("_third", F.coalesce(F.col("_open") & (F.col("_near") | ((F.col(order) > F.col("_first")) & (F.col("_len") > 0))), F.lit(False)))
     reason = F.when(F.col("_exact"), "exact_raw_text").when(F.col("_similar"), "same_company_date_similar_title").when(F.col("_third"), "same_company_quarter_similar_len_prefix").otherwise("")
     out = d.withColumn("duplicate_reason", reason).withColumn("is_duplicate", F.col("duplicate_reason") != "")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "is_duplicate", "duplicate_reason")
@@ -120,5 +136,3 @@ def anti_existing(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> Da
     for c in keys:
         on &= norm(c) == F.col(f"_{c}")
     return df.join(have, on, "left_anti")
-
-

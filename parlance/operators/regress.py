@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_ROWS = 30
+#: A fit needs so many complete rows, a subsample so many rows at all.
+LEAST_ROWS, LEAST_SUBSAMPLE = 30, 50
 
 
 @dataclass
@@ -69,8 +70,6 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | None = None) ->
     used = [*xs, y, *([effect] if effect else [])]
     data = df.select(*[F.col(c).cast("double").alias(c) for c in (*xs, y)], *([F.col(effect).cast("string").alias(effect)] if effect else [])).na.drop(subset=used)
     levels = sorted(r[0] for r in data.select(effect).distinct().collect())[1:] if effect else []
-    if data.count() < LEAST_ROWS:
-        return None
     names = ["const", *xs, *(f"fe_{v}" for v in levels)]
     k = len(names)
 
@@ -93,6 +92,8 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | None = None) ->
 
     g = _sum_over(data, gram, k + 1)
     xx, xy, yy, n = g[:k, :k], g[:k, k], g[k, k], round(g[0, 0])
+    if n < LEAST_ROWS:
+        return None
     inverse = np.linalg.pinv(xx, rcond=1e-12, hermitian=True)
     rank = int(np.linalg.matrix_rank(xx, hermitian=True, tol=1e-10 * np.abs(xx).max()))
     coef = inverse @ xy
@@ -117,16 +118,19 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | None = None) ->
 
 
 #: The specifications: section, regressors.
-SPECIFICATIONS = (("Baseline", ("divergence",)), ("Size interaction", ("divergence", "div_x_small", "is_smallcap")), ("Full", ("divergence", "div_x_small", "is_smallcap", "score_exec", "score_analyst")))
+SPECIFICATIONS = (("Baseline", ("divergence",)), ("Size interaction", ("divergence", "div_x_small", "is_smallcap")), ("Full", ("divergence", "div_x_small", "is_smallcap", "score_exec", "score_analyst", "n_chunks_exec")))
 
 
 def run_all(panel: DataFrame, horizons: Sequence[int] = (1, 3, 5), split_year: int = 2020) -> DataFrame:
-    """All specifications over all horizons and the second one before and from split_year: one row for each coefficient
-    but the dummies'. The panel is read from a checkpoint if the caller has cut it; each fit is two passes."""
+    """All specifications over all horizons and the second one before and from split_year, where that has LEAST_SUBSAMPLE
+    rows: one row for each coefficient but the dummies' (63 where nothing is left out). Callers cut the panel's lineage
+    first, since each fit is two passes over it."""
     spark = panel.sparkSession
     p = panel.withColumn("div_x_small", F.col("divergence") * F.col("is_smallcap"))
     jobs = [(name, p, xs) for name, xs in SPECIFICATIONS]
-    jobs += [(f"Pre-{split_year}", p.where(F.col("year") < split_year), SPECIFICATIONS[1][1]), (f"Post-{split_year}", p.where(F.col("year") >= split_year), SPECIFICATIONS[1][1])]
+    parts = {f"Pre-{split_year}": p.where(F.col("year") < split_year), f"Post-{split_year}": p.where(F.col("year") >= split_year)}
+    sizes = p.agg(F.count_if(F.col("year") < split_year), F.count_if(F.col("year") >= split_year)).first()
+    jobs += [(name, data, SPECIFICATIONS[1][1]) for (name, data), n in zip(parts.items(), sizes) if n >= LEAST_SUBSAMPLE]
     rows = []
     for section, data, xs in jobs:
         for h in horizons:

@@ -23,8 +23,8 @@ def cumulative(now: Column, then: Column) -> Column:
 def forward_returns(events: DataFrame, prices: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Distinct (ticker, event_date) with base_date, the first trading day on or after it, and ret_{k}d.
 
-    Prices and events of a ticker are sorted together; the next price row is found by a window that looks ahead over
-    price rows only, so the cost is one sort by ticker and date and no pair is tried. Later prices are looked up by
+    Prices and events of a ticker are sorted together and the next price is carried along a running window, so the cost
+    is linear after a sort by ticker and date, and no pair is tried. Later prices are looked up by
     trading day, counted in rows that exist. A ticker with very many days is one sort group, of its days only.
     """
     w = Window.partitionBy("ticker").orderBy("date")
@@ -33,9 +33,10 @@ def forward_returns(events: DataFrame, prices: DataFrame, horizons: Sequence[int
     days = p.select("ticker", "date", "adj_close", *ahead)
     days = days.select("ticker", "date", F.struct(F.col("date").alias("base_date"), F.col("adj_close").alias("p0"), *[F.col(f"_p{k}") for k in horizons]).alias("row"), F.lit(1).alias("is_price"))
     wanted = events.select("ticker", F.col("event_date").cast("date").alias("date")).na.drop().distinct().withColumn("row", F.lit(None).cast(days.schema["row"].dataType)).withColumn("is_price", F.lit(0))
-    # An event sorts before the price of its own day, so that day counts.
-    look = Window.partitionBy("ticker").orderBy("date", "is_price").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    met = days.unionByName(wanted).withColumn("next", F.first("row", ignorenulls=True).over(look)).where("is_price = 0")
+    # From the last day backwards the next price is the last one seen, a running value; a price comes before an event of
+    # its own day, so that day counts. (A frame that grows forwards would be computed anew for each row.)
+    look = Window.partitionBy("ticker").orderBy(F.col("date").desc(), F.col("is_price").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = days.unionByName(wanted).withColumn("next", F.last("row", ignorenulls=True).over(look)).where("is_price = 0")
     return met.select("ticker", F.col("date").alias("event_date"), F.col("next.base_date").alias("base_date"), *[cumulative(F.col("next.p0"), F.col(f"next._p{k}")).alias(f"ret_{k}d") for k in horizons])
 
 

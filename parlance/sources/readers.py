@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,14 +56,34 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """A CSV file with a header; None if there is nothing to read."""
-    from pyspark.errors import AnalysisException
+    return read_if_there(lambda: spark.read.csv(path, header=True, schema=schema))
 
+
+def read_if_there(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What read() gives, or None if its path does not exist or holds no file; all other errors are raised."""
     try:
-        return spark.read.csv(path, header=True, schema=schema)
-    except AnalysisException:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # the latter: a folder without files
+            raise
         return None
 
 
+def newest(spark: SparkSession, folder: str, pattern: str = "*") -> str | None:
+    """The path below a folder that was changed last (the first by name of equals), CSV before Parquet; None without one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    ranked = [(not f.getPath().getName().endswith(".csv"), -f.getModificationTime(), f.getPath().toString()) for f in found]
+    ranked = [x for x in ranked if x[2].endswith((".csv", ".parquet", ".jsonl", ".json"))]
+    return min(ranked)[2] if ranked else None
+
+
+def head_of_each_file(df: DataFrame, rows: int) -> DataFrame:
+    """The first rows of each file of a frame from read_parquet; later row groups are never decoded, since the row index
+    is a filter of the scan."""
+    return df.where(F.col("row_index") < rows)
+
+
 def read_folder(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """All files of one kind (csv, json, text, parquet) below a folder; files that cannot be read are skipped."""
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.schemas import conform
+from parlance.sources.readers import read_if_there
 
 
 def write_table(df: DataFrame, path: str, ddl: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
@@ -18,19 +19,17 @@ def write_table(df: DataFrame, path: str, ddl: str, mode: str = "overwrite", par
 
 def write_new(df: DataFrame, path: str, keys: Sequence[str], ddl: str) -> None:
     """Appends the rows whose keys the table does not hold yet."""
-    spark = df.sparkSession
-    from pyspark.errors import AnalysisException
-
-    try:
-        have = spark.read.parquet(path).select(*keys).distinct()
-        df = df.join(have, list(keys), "left_anti")
-    except AnalysisException:  # nothing written yet
-        pass
+    have = read_if_there(lambda: df.sparkSession.read.parquet(path))
+    if have is not None:
+        df = df.join(have.select(*keys).distinct(), list(keys), "left_anti")
     write_table(df, path, ddl, "append")
 
 
-def write_dated_json(df: DataFrame, path: str, day: str) -> None:
-    """JSON by yyyy/mm/dd folders."""
+def write_dated_json(df: DataFrame, path: str, day: str, known_by: Sequence[str] = ()) -> None:
+    """JSON by yyyy/mm/dd folders; rows whose known_by columns (an id, a hash) the folders hold already are skipped."""
+    have = read_if_there(lambda: df.sparkSession.read.schema(df.schema).json(path)) if known_by else None
+    if have is not None:
+        df = df.join(have.select(*known_by).distinct(), list(known_by), "left_anti")
     d = F.col(day).cast("date")
     df.withColumns({"yyyy": F.date_format(d, "yyyy"), "mm": F.date_format(d, "MM"), "dd": F.date_format(d, "dd")}).write.mode("append").partitionBy("yyyy", "mm", "dd").json(path)
 
