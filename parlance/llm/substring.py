@@ -3,23 +3,26 @@
 Every window of `window` consecutive words that also starts earlier (in a smaller doc_id, or earlier in the same
 document) is a repeat; each word that a repeat covers is removed. Windows are judged on the input.
 
-Words become 64-bit symbols. Two rounds of pair compression follow: a round splits the symbols into left and right ones
-by a bit of their hash and replaces each left-right pair by one new symbol, named by a hash of the pair, so that equal
-pairs have equal names in all documents. (A run of one symbol stays as it is: its members fall on the same side, so
-they never pair and a run that is cut off still agrees with a longer one.) What a pair becomes depends on the
-neighbouring symbols only: in a window of 20 words, the symbol borders of words 3 to 17 are the same wherever the window
-stands. The next symbol is a phrase: the fewest symbols from a border on that hold five words. Each window has one phrase
-of its own, the one with the least name among those that start at words 3 to 9, and equal windows have the same one.
-
-Three scans over the texts, with two Spark rounds between them that name what is shared:
-
-1. The places of the windows' phrases are counted over the corpus by name; each block of documents gets back the names
-   that have two places or more.
-2. Only windows whose phrase is shared can be repeats. Their exact 96-bit content hashes are counted, and each block
-   gets back, for each hash that is shared, who has it first.
-3. Each document drops the words that windows with another, earlier owner cover.
-
-Hashes are counted once for each batch of documents (with a mark if there were more), so a passage that a third of the
+Words become symbols, and levels of pair compression follow. A level splits the symbols into left and right ones by a
+bit of a hash and makes one symbol of each left-right pair. A Spark round over the whole corpus names the pairs: it
+counts each one's places and gives a number of its own to each pair that has two or more; this number is the symbol on
+the next level, so equal passages have equal symbols in all documents. A pair with one place gets no name: no repeat can
+hold it, so it pairs no further. What becomes of a symbol depends on its neighbours only: after two levels the symbol
+borders of words 3 to 17 of a window of 20 are the same wherever the window stands. The next symbol is a phrase: the
+fewest symbols from a border on that hold five words, all of them named. A third round names the phrases that have two
+places. Each window has one phrase of its own, the one with the least hash among those that start at words 3 to 9, and
+equal windows have the same one.
+
+(Runs of one symbol are not made one symbol: a window that cuts a run off would see another symbol than the whole run,
+as far into the window as the run reaches, and repeats of 20 words would be lost. The members of a run fall on the same
+side, so they never pair, and a run that is cut off still agrees with a longer one. More levels would make symbols that
+reach further than a window of 20 words surely holds.)
+
+Windows whose phrase is named are verified: their content hashes (64 and 32 bits, from independent hashes of the words)
+are counted in a last round, and each block gets back, for each hash that is shared, who has it first. Then each
+document drops the words that windows with another, earlier owner cover.
+
+Names are counted once for each batch of documents (with a mark if there were more), so a passage that a third of the
 corpus shares costs one entry for each batch. A block is a range of rows of a stored file, so what a round answers is a
 table by block in the shared folder, and texts are never shuffled. Windows of other sizes than 20 change only the range
 of phrase starts; below 18 words no phrase is certain, which is refused.
@@ -27,6 +30,7 @@ of phrase starts; below 18 words no phrase is certain, which is refused.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -43,6 +47,7 @@ _U = np.uint64
 #: Bytes of text that a scan works on at once.
 CHUNK = 2_000_000
 PHRASE = 5
+_NONE = np.iinfo(_U).max
 #: Odd multipliers of the two content hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -59,19 +64,36 @@ class Content:
         return mix((self.sums[b] - self.sums[a]) * powers(self.base, len(self.sums), True)[a] + (b - a).astype(_U))
 
 
-def borders(symbols: np.ndarray, stop: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """Where the symbols start that pair compression leaves; stop marks separators, which pair with nothing."""
-    at = np.arange(len(symbols))
-    for r in range(rounds):
-        side = mix(symbols + _U(r + 1)) >> _U(63)
-        pair = (side[:-1] == 0) & (side[1:] == 1) & ~stop[:-1] & ~stop[1:]
-        first = np.flatnonzero(pair)
-        named = symbols.copy()
-        named[first] = mix(symbols[first] * _U(_BASES[0]) + symbols[first + 1])
+#: Levels of pair compression; each has a naming round.
+LEVELS = 2
+
+
+class Level:
+    """The symbols of a row of words on one level: where each starts, and which pair with nothing (separators, and pairs
+    that the corpus has once)."""
+
+    def __init__(self, symbols: np.ndarray, at: np.ndarray, stop: np.ndarray, number: int = 0):
+        self.symbols, self.at, self.stop, self.number = symbols, at, stop, number
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the left symbol, content of the pair) for each pair that this level makes."""
+        side = mix(self.symbols + _U(self.number + 1)) >> _U(63)
+        first = np.flatnonzero((side[:-1] == 0) & (side[1:] == 1) & ~self.stop[:-1] & ~self.stop[1:])
+        return first, mix(self.symbols[first] * _U(_BASES[0]) + self.symbols[first + 1])
+
+    def next(self, named: list[np.ndarray] | None) -> Level:
+        """The next level, by the names that the corpus has given: sorted contents and the number of each."""
+        first, content = self.pairs()
+        symbols, stop = self.symbols.copy(), self.stop.copy()
+        if named is None:
+            symbols[first], stop[first] = content, True
+        else:
+            at = np.minimum(np.searchsorted(named[0], content), len(named[0]) - 1)
+            has = named[0][at] == content
+            symbols[first], stop[first] = np.where(has, mix(named[1][at] + _U(self.number + 1 << 60)), content), ~has
         keep = np.ones(len(symbols), bool)
         keep[first + 1] = False
-        symbols, at, stop = named[keep], at[keep], stop[keep]
-    return at
+        return Level(symbols[keep], self.at[keep], stop[keep], self.number + 1)
 
 
 class Chunk:
@@ -97,13 +119,25 @@ class Chunk:
         out[self.place] = self.words.hashes(which)
         return out
 
-    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
-        """The name of each window's own phrase, and the names of these phrases, once for each place where one stands."""
+    def level(self, named: list[list[np.ndarray] | None]) -> Level:
+        """The level above those that have been named."""
+        out = Level(self.symbols, np.arange(len(self.symbols)), self.stop)
+        for names in named:
+            out = out.next(names)
+        return out
+
+    def phrases(self, named: list[list[np.ndarray] | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The content of each window's own phrase (the greatest number: it has none), and the contents of these phrases,
+        once for each place where one stands."""
         n = len(self.symbols)
-        at = borders(self.symbols, self.stop)
-        end = np.append(at, n)[np.minimum(np.searchsorted(at, at + PHRASE), len(at))]
-        names = np.full(n + self.window, np.iinfo(_U).max, _U)
-        names[at] = self.content.of(at, end)
+        level = self.level(named)
+        at = level.at
+        last = np.minimum(np.searchsorted(at, at + PHRASE), len(at))
+        alone = np.append(0, np.cumsum(level.stop))
+        whole = alone[last] == alone[:-1]  # all its symbols have names
+        end = np.append(at, n)[last]
+        names = np.full(n + self.window, _NONE, _U)
+        names[at[whole]] = self.content.of(at[whole], end[whole])
         span = self.window - 13  # starts at words 3 to window - 11
         acc = names[3 : 3 + n].copy()
         for k in range(1, span):
@@ -113,6 +147,7 @@ class Chunk:
         for k in range(3, 3 + span):
             at = self.starts + k
             chosen[at[names[at] == own]] = True
+        chosen &= names != _NONE
         return own, names[chosen]
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +157,7 @@ class Chunk:
         return self.content.of(a, a + self.window), (second.of(a, a + self.window) >> _U(32)).astype(np.uint32)
 
 
+_NAMES = ("u8", "u8")  # contents, numbers
 _ENTRY = ("u8", "u4", "i8", "u8", "u4", "u1")  # both hashes, doc_id, row's own number, start, seen more than once
 _OWNER = ("u8", "u4", "i8", "u8", "u4")
 
@@ -151,40 +187,59 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     buckets = 2 * parts_of(spark)
     base = new_folder(spark, "repeats")
 
-    def name_phrases(batches):
+    kind = "bucket int, block long, data binary"
+    levels: list[str] = []  # what the rounds have named so far, pairs by level and then phrases
+
+    def contents(batches, levels: list[str]):
+        """The pairs of the next level, or the phrases above the last one."""
+        known = [Answers(x, _NAMES) for x in levels]
         for batch in batches:
             for block, _, chunk in _chunks(batch, window):
-                names, counts = np.unique(chunk.phrases()[1], return_counts=True)
+                named = [x.of(block) for x in known]
+                found = chunk.level(named).pairs()[1] if len(named) < LEVELS else chunk.phrases(named)[1]
+                names, counts = np.unique(found, return_counts=True)
                 yield sent_rows([(k, block, pack(names[at], (counts[at] > 1).astype("u1"))) for k, at in by_bucket(names, buckets)])
 
-    def share_phrases(t: pa.Table) -> pa.Table:
-        blocks = t["block"].to_numpy()
-        parts = [unpack(x, "u8", "u1") for x in t["data"].to_pylist()]
+    def name(t: pa.Table) -> pa.Table:
+        """Numbers for the contents of a bucket that have two places or more; each block gets those that it has."""
+        parts = [unpack(x.as_py(), "u8", "u1") for x in t["data"]]
         names = np.concatenate([p[0] for p in parts])
-        # A name from one chunk counts once, or twice if the chunk had more of it.
+        # A content from one chunk counts once, or twice if the chunk had more of it.
         weight = np.concatenate([p[1] for p in parts]).astype(np.int64) + 1
-        owner = np.repeat(blocks, [len(p[0]) for p in parts])
+        owner = np.repeat(t["block"].to_numpy(), [len(p[0]) for p in parts])
         uniq, inverse = np.unique(names, return_inverse=True)
         shared = np.bincount(inverse, weight, len(uniq)) > 1
+        number = np.cumsum(shared).astype(_U) * _U(buckets) + _U(t["bucket"][0].as_py())
         keep = shared[inverse]
-        names, owner = names[keep], owner[keep]
-        return pa.table({"block": pa.array(bs := np.unique(owner), pa.int64()), "data": pa.array([pack(np.unique(names[owner == b])) for b in bs], pa.binary())})
+        inverse, owner = inverse[keep], owner[keep]
+        order = np.argsort(owner, kind="stable")
+        bs, cuts = np.unique(owner[order], return_index=True)
+        data = []
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            at = np.unique(inverse[order[a:b]])
+            data.append(pack(uniq[at], number[at]))
+        return pa.table({"block": pa.array(bs, pa.int64()), "data": pa.array(data, pa.binary())})
 
-    kind = "bucket int, block long, data binary"
-    phrases = answer(rows.mapInArrow(name_phrases, kind), share_phrases, f"{base}/phrases")
+    for k in range(LEVELS + 1):
+        sent = rows.mapInArrow(functools.partial(contents, levels=list(levels)), kind)
+        levels.append(answer(sent, name, f"{base}/names-{k}"))
+
+    class Named:
+        """For the block at hand, the windows of a chunk whose phrase has a name."""
+
+        def __init__(self):
+            self.known = [Answers(x, _NAMES) for x in levels]
+
+        def of(self, block: int, chunk: Chunk) -> np.ndarray:
+            *named, phrases = [x.of(block) for x in self.known]
+            return np.flatnonzero(is_in(chunk.phrases(named)[0], phrases[0])) if phrases is not None else np.zeros(0, np.int64)
 
     def name_windows(batches):
-        answers = Answers(phrases, ("u8",))
+        named = Named()
         for batch in batches:
             ids, own = batch.column("doc_id").to_numpy(), _own(batch)
-            blocks = batch.column("block").to_numpy()
-            if all(answers.of(int(b)) is None for b in np.unique(blocks)):
-                continue
             for block, part, chunk in _chunks(batch, window):
-                known = answers.of(block)
-                if known is None:
-                    continue
-                which = np.flatnonzero(is_in(chunk.phrases()[0], known[0]))
+                which = named.of(block, chunk)
                 if not len(which):
                     continue
                 h, g = chunk.windows(which)
@@ -225,15 +280,14 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     windows = answer(rows.mapInArrow(name_windows, kind), share_windows, f"{base}/windows")
 
     def drop(batches):
-        known_phrases, owners = Answers(phrases, ("u8",)), Answers(windows, _OWNER)
+        named, owners = Named(), Answers(windows, _OWNER)
         for batch in batches:
             ids, own = batch.column("doc_id").to_numpy(), _own(batch)
             n_words, n_removed, kept = [], [], []
             for block, part, chunk in _chunks(batch, window):
                 gone = np.zeros(len(chunk.symbols) + 1, np.int64)
-                known, owner = known_phrases.of(block), owners.of(block)
-                if known is not None and owner is not None:
-                    which = np.flatnonzero(is_in(chunk.phrases()[0], known[0]))
+                owner = owners.of(block)
+                if owner is not None and len(which := named.of(block, chunk)):
                     h, g = chunk.windows(which)
                     doc = chunk.doc[which]
                     start = (chunk.starts[which] - chunk.first[doc]).astype(np.uint32)

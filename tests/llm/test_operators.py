@@ -669,21 +669,24 @@ def test_repeated_passages(docs, nothing, rows, window):
 
 
 def test_every_equal_window_shares_its_phrase():
-    rng = random.Random(6)
-    core = [b"c%d" % rng.randrange(4) for _ in range(20)]
-    names = set()
-    for _ in range(200):
-        pre, post = ([b"c%d" % rng.randrange(4) for _ in range(rng.randrange(12))] for _ in range(2))
-        c = substring.Chunk(Words(pa.array(["x", b" ".join(pre + core + post).decode()])), 20)
-        at = np.flatnonzero((c.starts == c.first[1] + len(pre)))[0]
-        names.add(int(c.phrases()[0][at]))
-    assert len(names) == 1
-
-
-def test_frames_without_files_are_stored_first(spark):
-    t = " ".join(map(str, range(30)))
-    df = spark.createDataFrame([(2, t), (1, t), (None, t)], "doc_id long, text string").groupBy("doc_id").agg(F.max("text").alias("text"))
-    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(df).collect()} == {None: 0, 1: 30, 2: 30}
+    """Wherever a window stands, its phrase is the same, when the pairs that occur twice in all texts are named."""
+    for trial in range(30):
+        rng = random.Random(trial)
+        core = [b"c%d" % rng.randrange(2 + trial % 5) for _ in range(20)]
+        texts, places = [], []
+        for _ in range(60):
+            pre, post = ([b"c%d" % rng.randrange(2 + trial % 5) if rng.random() < 0.7 else b"z%d" % rng.randrange(99) for _ in range(rng.randrange(12))] for _ in range(2))
+            texts.append(b" ".join(pre + core + post).decode())
+            places.append(len(pre))
+        c = substring.Chunk(Words(pa.array(texts)), 20)
+        named = []
+        for _ in range(substring.LEVELS):
+            names, counts = np.unique(c.level(named).pairs()[1], return_counts=True)
+            names = names[counts > 1]
+            named.append([names, np.arange(1, len(names) + 1, dtype="u8")] if len(names) else None)
+        own, _ = c.phrases(named)
+        got = {int(own[np.flatnonzero(c.starts == c.first[i] + k)[0]]) for i, k in enumerate(places)}
+        assert len(got) == 1 and substring._NONE not in got
 
 
 # -- 8 ----------------------------------------------------------------------------------------------------------------
