@@ -60,7 +60,8 @@ class Node:
 
 
 _TOKENS = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\')|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[<>+|.()]))')
-_PIECES = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.DOTALL)
+# A minus sign inside a tag takes the white space on that side of it with it.
+_PIECES = re.compile(r"(?:\s*\{\{-|\{\{)(.*?)(?:-\}\}\s*|\}\})|(?:\s*\{%-|\{%)(.*?)(?:-%\}\s*|%\})|\{#.*?#\}", re.DOTALL)
 
 
 class _Expression:

@@ -19,11 +19,15 @@ b AS (SELECT item_id, g, len(g) AS m FROM (SELECT DISTINCT item_id, {_runs('w',
 bs AS (SELECT item_id, m, h, count(*) AS c FROM (SELECT item_id, m, unnest(g) AS h FROM b) GROUP BY ALL),
 hits AS (SELECT doc_id, n, item_id, m, p, h, c FROM (SELECT doc_id, len(g) AS n, unnest(g) AS h, generate_subscripts(g, 1) - 1 AS p FROM d) JOIN bs USING (h)),
 starts AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(p, n - m)) AS s FROM hits),
-per AS (SELECT doc_id, item_id, s, least(n, m) + m AS both, h, least(count(*), any_value(c)) AS k FROM starts JOIN hits USING (doc_id, item_id) WHERE p >= s AND p < s + m GROUP BY ALL),
-shared AS (SELECT doc_id, item_id, s, both, sum(k)::BIGINT AS k FROM per GROUP BY ALL),
-found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items, max(k / (both - k)) AS similarity FROM shared WHERE 9 * k >= 4 * both GROUP BY doc_id)
+per AS (SELECT doc_id, item_id, s, least(n, m) + m AS whole, h, least(count(*), any_value(c)) AS k FROM starts JOIN hits USING (doc_id, item_id) WHERE p >= s AND p < s + m GROUP BY ALL),
+shared AS (SELECT doc_id, item_id, s, whole, sum(k)::BIGINT AS k FROM per GROUP BY ALL),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items, max(k / (whole - k)) AS similarity FROM shared WHERE 9 * k >= 4 * whole GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, round(coalesce(similarity, 0), 6) AS similarity FROM documents LEFT JOIN found USING (doc_id)"""
 
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_found = lambda pattern, group, least: f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), lambda x: length(x) >= {least}))"
+SECRET_COUNTS = f"SELECT doc_id, {_found(_ASSIGN, 1, 12)}::BIGINT AS n_assign, {_found('AKIA[A-Z0-9]+', 0, 18)}::BIGINT AS n_access, {_found('[0-9a-f]+', 0, 16)}::BIGINT AS n_hex FROM documents"
+
 NEAR_DUPLICATES = f"""WITH RECURSIVE d AS (SELECT doc_id, list_distinct({_runs('w', 1)}) AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
 sh AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM d), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM pairs WHERE 5 * c >= 4 * (na + nb - c)), e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),

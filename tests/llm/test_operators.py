@@ -723,6 +723,10 @@ def test_escape_leaves_no_control():
         assert chat.unescape(e) == t and not any(c in e for c in chat.CONTROLS)
 
 
+def test_minus_signs_trim_white_space():
+    assert chat._PIECES.sub("|", "a \n {%- if x -%} \n b {% endif %} c {{- y }} d {{ z -}}  e") == "a|b | c| d |e"
+
+
 # -- 9 ----------------------------------------------------------------------------------------------------------------
 def test_token_files(spark, docs, nothing, rows):
     from tokenizers import Tokenizer
