@@ -73,3 +73,11 @@ def test_keep_first_and_anti(spark):
     assert sorted((r.k, r.o, r.v) for r in dedup.keep_first(df, ["k"], ["o"]).collect()) == [("a", 1, "y"), ("b", 3, None)]
     have = spark.createDataFrame([(" A ",)], "k string")
     assert [r.k for r in dedup.anti_existing(df, have, ["k"]).collect()] == ["b"]
+
+
+def test_letters_bound_the_ratio(spark):
+    rng = random.Random(8)
+    pairs = [("".join(rng.choice("aab\u00e9.*") for _ in range(rng.randrange(1, 12))), "".join(rng.choice("aab\u00e9.*") for _ in range(rng.randrange(1, 12)))) for _ in range(300)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for r in df.select("a", "b", dedup.letter_bound(F.col("a"), F.col("b")).alias("x")).collect():
+        assert abs(r.x - SequenceMatcher(None, r.a, r.b).quick_ratio()) < 1e-9 and r.x >= SequenceMatcher(None, r.a, r.b).ratio() - 1e-9

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from parlance import schemas
@@ -74,3 +76,41 @@ def test_import_needs_no_session():
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=here, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+
+
+def test_write_new_raises_on_a_missing_key(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from parlance.sources import sinks
+
+    df, path = spark.createDataFrame([(1, "a")], "k int, v string"), str(tmp_path / "t")
+    for _ in range(2):
+        sinks.write_new(df, path, ["k"], "k int, v string")
+    assert spark.read.parquet(path).count() == 1
+    with pytest.raises(AnalysisException):
+        sinks.write_new(df, path, ["kk"], "k int, v string")
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_dated_json_skips_what_is_known(spark, tmp_path):
+    from parlance.sources import sinks
+
+    df, path = spark.createDataFrame([("a", "2020-01-02"), ("b", "2021-03-04")], "uid string, day string"), str(tmp_path / "j")
+    sinks.write_dated_json(df.where("uid = 'a'"), path, "day", ["uid"])
+    sinks.write_dated_json(df, path, "day", ["uid"])
+    assert sorted((r.uid, r.yyyy) for r in spark.read.json(path).collect()) == [("a", 2020), ("b", 2021)]
+
+
+def test_newest_and_heads(spark, tmp_path):
+    import os
+
+    from parlance.sources import readers
+
+    assert readers.newest(spark, str(tmp_path)) is None
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "a.parquet"))
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "b.parquet"))
+    os.utime(tmp_path / "a.parquet", (2_000_000_000, 2_000_000_000))
+    assert readers.newest(spark, str(tmp_path)).endswith("a.parquet")
+    (tmp_path / "c.csv").write_text("x")
+    assert readers.newest(spark, str(tmp_path)).endswith("c.csv")
+    assert readers.head_of_each_file(readers.read_parquet(spark, str(tmp_path / "*.parquet")), 7).count() == 14

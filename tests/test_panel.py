@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -100,3 +101,26 @@ def test_profiles(spark):
     assert [r.b for r in got] == ["0-10", "0-10", "10-20", None]
     d = spark.createDataFrame([("a", "2020-01-01"), ("a", "2020-04-01"), ("b", "2020-01-01"), ("a", "2020-07-05"), ("b", "2020-09-01")], "e string, d string")
     assert [r.e for r in profile.in_every_quarter(d, "e", "d").collect()] == ["a"]
+
+
+def test_all_specifications(spark):
+    """63 rows with both subsamples, fewer where one has under 50 rows; the full one has its sixth regressor."""
+    rng = np.random.default_rng(4)
+    n = 240
+    x, z, k = rng.normal(size=n), rng.normal(size=n), rng.integers(1, 30, n)
+    rows = [(int(2019 + i % 2), f"q{i % 5}", float(x[i] - z[i]), float(x[i]), float(z[i]), int(k[i]), int(i % 3 == 0), *[float(0.3 * k[i] + rng.normal()) for _ in range(3)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "year int, year_quarter string, divergence double, score_exec double, score_analyst double, n_chunks_exec long, is_smallcap int, ret_1d double, ret_3d double, ret_5d double")
+    got = regress.run_all(df).collect()
+    assert len(got) == 63
+    full = {r.variable: r.coef for r in got if r.section == "Full" and r.model == "ret_1d"}
+    assert list(full)[-1] == "n_chunks_exec" and abs(full["n_chunks_exec"] - 0.3) < 0.05
+    few = df.where("year = 2019").unionByName(df.where("year = 2020").orderBy("ret_1d").limit(49))
+    assert len(regress.run_all(few).collect()) == 51  # 49 rows would do for a fit, but not for a subsample
+
+
+def test_returns_of_a_long_series_are_linear(spark):
+    """16,000 days of one ticker, with an event on each."""
+    days = spark.range(16_000).select(F.lit("T").alias("ticker"), F.date_add(F.lit("1975-01-01").cast("date"), F.col("id").cast("int")).alias("date"), (F.col("id") + 1).cast("double").alias("adj_close"))
+    began = time.perf_counter()
+    got = returns.forward_returns(days.select("ticker", F.col("date").alias("event_date")), days).agg(F.count("ret_1d").alias("n"), F.sum((F.col("base_date") == F.col("event_date")).cast("int")).alias("same")).first()
+    assert (got.n, got.same) == (15_999, 16_000) and time.perf_counter() - began < 20
