@@ -329,8 +329,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classed = (
         reps.join(joined, F.col("uid") == F.col("node"), "left").join(links, "uid", "left").select("set_key", "uid", "same", "least", F.coalesce("comp", "uid").alias("class_root"), (F.coalesce("links", F.lit(0)) + F.col("same") - 1).alias("n_links"))
     )
-    least = classed.groupBy("class_root").agg(F.min("least").alias("class_id"))
-    classed = cut(classed.join(least, "class_root").select("set_key", "class_root", "class_id", "same", "n_links"))
+    # Only classes of several members are looked up, so a large class is not brought together for its least id.
+    least = cut(classed.groupBy("class_root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    classed = cut(classed.join(_hinted(least), "class_root", "left").select("set_key", "class_root", F.coalesce("class_id", "least").alias("class_id"), "same", "n_links"))
     alone = rows.where("set_key is null").select("doc_id", "digest", F.lit(None).cast("long").alias("class_root"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return worded.join(classed, "set_key").select("doc_id", "digest", "class_root", "class_id", F.col("same").alias("n_copies"), "n_links").unionByName(alone)
 
@@ -348,12 +349,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     found = cut(near_duplicates(docs))
     dup = found.where("class_root is not null")
-    best = dup.groupBy("class_root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("digest"))).alias("best")).where("n > 1")
-    marked = dup.join(best, "class_root")
-    is_best = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("digest") == F.col("best.digest"))
+    # Rows with the class's id stay (one of them, where several documents share it), which each row knows by itself.
+    has_id = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    shared = dup.where(has_id).groupBy("class_root").agg(F.min("digest").alias("least"), F.max("digest").alias("greatest")).where("least < greatest").select("class_root", "least")
+    marked = dup.where(has_id).join(_hinted(cut(shared)), "class_root", "left")
+    is_best = F.col("least").isNull() | (F.col("digest") == F.col("least"))
     i, d, own = fresh(docs, "doc_id", "digest", "own")
     named = (F.col("doc_id").alias(i), F.col("digest").alias(d))
-    gone = cut(marked.where(~is_best).select(*named).distinct())
+    gone = cut(marked.where(~is_best).select(*named).unionByName(dup.where(~has_id).select(*named)).distinct())
     again = cut(marked.where(is_best).groupBy("doc_id", "digest").count().where("count > 1").select(*named))
     keyed = docs.withColumn(own, F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
     on = (F.col(own) == F.col(d)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i))

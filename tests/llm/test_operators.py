@@ -397,6 +397,39 @@ def test_training_lowers_the_loss():
     assert last < 0.7 * first and rng is not None
 
 
+def test_attention_beats_the_bigrams_on_held_out_texts():
+    """Texts of two topics, told by their first id: what follows a common id depends on it, which no bigram can see."""
+    rng = np.random.default_rng(8)
+    n, common = 50, 10
+
+    def text():
+        topic, out = int(rng.integers(2)), []
+        out.append(topic)
+        for c in rng.integers(0, common, 15):
+            out += [2 + int(c), 12 + 2 * int(c) + topic]
+        return np.array(out)
+
+    train, held = [text() for _ in range(1500)], [text() for _ in range(100)]
+    end = n - 1
+    unigrams, own = np.zeros(n), np.arange(40)
+    bigrams = np.zeros((len(own) + 2, len(own) + 1))
+    for t in train:
+        np.add.at(unigrams, np.append(t, end), 1)
+        s = np.append(np.where(t < 40, t, 40), 40)
+        np.add.at(bigrams, (np.concatenate([[41], s[:-1]]), s), 1)
+    m = lm.build(unigrams, own, bigrams)
+    flat, sizes = np.concatenate(held), np.array([len(t) for t in held])
+    m.params["U"][:] = 0  # the bigram factor alone
+    alone = m.score(flat, sizes).sum()
+    m = lm.build(unigrams, own, bigrams)
+    ids, lengths, state = np.concatenate(train), np.array([len(t) for t in train]), {}
+    for _ in range(6):
+        for turn in range(lm.ROUNDS):
+            for w in lm.training_windows(m, ids, lengths, np.arange(len(train)).astype("u8"), turn):
+                m.train(*w, state)
+    assert m.score(flat, sizes).sum() > alone + 0.3 * 15 * len(held) * math.log10(2)  # of one bit at 15 places of each text
+
+
 def test_every_window_is_trained_on_once():
     rng = np.random.default_rng(6)
     m = lm.build(rng.integers(1, 50, 40), np.arange(25), rng.integers(0, 9, (27, 26)).astype(float))
@@ -436,6 +469,17 @@ def test_lm_base_scores(docs, nothing, rows):
     assert lm.score_documents(nothing, word_bpe()).count() == 0
 
 
+def test_lm_rows_of_one_id_and_clashing_columns(spark):
+    """Each row gets what it gets alone, whatever its id or the other columns' names."""
+    texts = ["a few words", "a few words", "", None, "other words here", "a few words"]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in zip([3, 3, 3, None, None, 8], texts)], "doc_id long, text string, block int, data string")
+    got = lm.score_documents(df, word_bpe()).collect()
+    assert len(got) == len(texts) and sorted(str(r.doc_id) for r in got) == ["3", "3", "3", "8", "None", "None"]
+    assert sorted(r.n_tokens for r in got) == [1, 1, 4, 4, 4, 4]
+    same = {(r.n_tokens, round(r.score, 6)) for r in got if r.n_tokens == 1}
+    assert len(same) == 1 and len({round(r.score, 6) for r in got if r.n_tokens == 4}) == 2
+
+
 # -- 4 ----------------------------------------------------------------------------------------------------------------
 def grams(t):
     w = re.findall(r"[^\W_]+", (t or "").lower())
