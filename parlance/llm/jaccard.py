@@ -83,6 +83,11 @@ def signature(shingle: np.ndarray, n: int) -> np.ndarray:
     return low
 
 
+def labels_of(shingle: np.ndarray) -> bytes:
+    """A set's labels in all tries, in a row."""
+    return (mix(signature(shingle, TREES * DEPTH)) >> _U(64 - 8 * _WIDE)).astype(f">u{_WIDE}").tobytes()
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text, n (shingles), set_key (null without words) and labels, those of all tries in a row."""
 
@@ -95,7 +100,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     keys.append(None), labels.append(None)
                     continue
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                labels.append((mix(signature(s, TREES * DEPTH)) >> _U(64 - 8 * _WIDE)).astype(f">u{_WIDE}").tobytes())
+                labels.append(labels_of(s))
             yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(labels, pa.binary())], names=["doc_id", "digest", "n", "set_key", "labels"])
 
     return _slim(docs).mapInArrow(run, "doc_id long, digest long, n long, set_key binary, labels binary")
@@ -278,13 +283,15 @@ def _compared(members: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """uid, same, n, labels and shingles of the representatives wanted, from their texts."""
-    texts = _slim(docs).join(_hinted(wanted), (F.col("digest") == F.col("at_digest")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("uid", "same", "labels", "text")
+    """uid, same, n, labels and shingles of the representatives wanted, from their texts; what is broadcast to find these
+    has no labels, which are longer than all the rest and are made again."""
+    texts = _slim(docs).join(_hinted(wanted), (F.col("digest") == F.col("at_digest")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("uid", "same", "text")
 
     def sets(batches):
         for batch in batches:
             out = shingle_sets(batch.column("text"))
-            yield pa.record_batch([*(batch.column(c) for c in ("uid", "same", "labels")), pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], names=["uid", "same", "labels", "n", "shingles"])
+            labels = pa.array([labels_of(x) for x in out], pa.binary())
+            yield pa.record_batch([*(batch.column(c) for c in ("uid", "same")), labels, pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], names=["uid", "same", "labels", "n", "shingles"])
 
     # Rows repeated as a whole have one representative, whose text may stand in several rows.
     return cut(texts.mapInArrow(sets, "uid long, same long, labels binary, n long, shingles binary"))
@@ -304,7 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = worded.groupBy("set_key").agg(F.count(F.lit(1)).alias("same"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "digest")).alias("at"), F.first("labels").alias("labels"))
     reps = cut(reps.withColumn("uid", F.monotonically_increasing_id()))
     met, ties = forest(reps)
-    wanted = met.select("uid").distinct().join(reps, "uid").select("uid", "same", "labels", F.col("at.doc_id").alias("at_id"), F.col("at.digest").alias("at_digest"))
+    wanted = met.select("uid").distinct().join(reps, "uid").select("uid", "same", F.col("at.doc_id").alias("at_id"), F.col("at.digest").alias("at_digest"))
     sets = _with_sets(docs, cut(wanted))
     # At full depth: connected groups, verified whole.
     tied = cut(components(ties))
