@@ -174,10 +174,23 @@ def source_of_path(path: Column) -> Column:
     return F.when(p.rlike("r2k|russel2k|russell2k"), "r2k").when(p.contains("sp"), "sp").otherwise("r1000")
 
 
+def has_role_mark(c: Column, roles: Sequence[str] = ("Executive", "Analyst", "Operator")) -> Column:
+    """Whether a text can hold a glued mark at all; the patterns of marks take time in proportion to the square of a line."""
+    found = c.contains(roles[0])
+    for role in roles[1:]:
+        found = found | c.contains(role)
+    return found
+
+
 def inline_markers(c: Column, roles: Sequence[str] = ("Executive", "Analyst", "Operator")) -> Column:
     """Speaker marks that are glued to a name or to the text get lines of their own."""
+    return F.transform(F.array(c), lambda t: _marked(t, roles))[0]
+
+
+def _marked(c: Column, roles: Sequence[str]) -> Column:
     name = r"[A-Z][A-Za-z.'\-]+(?:\s[A-Z][A-Za-z.'\-]+){0,4}"
-    t = F.replace(c, F.lit("OperatorOperator"), F.lit("\nOperator\n"))
+    marked = F.replace(c, F.lit("OperatorOperator"), F.lit("\nOperator\n"))
     for end in ("(?=[A-Z])", r"(?U)\b"):
-        t = F.regexp_replace(t, rf"(?<!\n)({name})({'|'.join(roles)}){end}", "\n$1$2\n")
+        marked = F.regexp_replace(marked, rf"(?<!\n)({name})({'|'.join(roles)}){end}", "\n$1$2\n")
+    t = F.when(has_role_mark(c, roles), marked).otherwise(c)
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
