@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
@@ -11,9 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text
+from parlance.session import shared_folder
 
 SIMILAR_TITLE = 0.96
 SIMILAR_LENGTH = 0.01
+#: Characters of the grams by which similar titles meet.
+GRAM = 3
+#: Titles of a group and a range of lengths that are paired directly; more meet by grams, with the same result.
+FEW = 64
 
 
 def _ratio(a: str, b: str, least: float) -> float:
@@ -75,6 +81,59 @@ def _first_of_alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(near=flags)
 
 
+def _allowed(n: Column) -> Column:
+    """How many insertions and deletions may lie between a title of n characters and any title similar to it."""
+    longest = F.floor(n * ((2 - SIMILAR_TITLE) / SIMILAR_TITLE) + 1e-6)
+    return F.floor((n + longest) * (1 - SIMILAR_TITLE) + 1e-6).cast("int")
+
+
+def candidate_titles(titles: DataFrame) -> DataFrame:
+    """Of distinct rows (group, title, seen): group, title, other and the other's seen, each once, for all ordered pairs
+    of a group that may be similar to SIMILAR_TITLE.
+
+    Titles of a group are laid into cells by length, so that similar ones are in one cell or in cells side by side; a
+    title without neighbours goes no further. Pairs of cells of FEW titles at most are made directly, so a title has no
+    more than 3 * FEW of them. Where one of both cells has more, pairs meet by grams, see _by_grams.
+    """
+    n = F.length("title")
+    width = math.log((2 - SIMILAR_TITLE) / SIMILAR_TITLE) * 1.001
+    t = titles.withColumn("k", _allowed(n) * GRAM).where("k > 0").withColumn("cell", F.floor(F.log(n) / width))  # shorter titles are similar to none but themselves
+    sides = lambda df: df.withColumn("side", F.explode(F.array(*[F.lit(x).cast("long") for x in (-1, 0, 1)])))
+    cells = sides(t.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n"))).groupBy("group", (F.col("cell") + F.col("side")).alias("cell"))
+    t = t.join(cells.agg(F.sum("n").alias("around"), F.max("n").alias("most"), F.max(F.when(F.col("side") == 0, F.col("n"))).alias("n")), ["group", "cell"]).where("around > 1")
+    small = t.where(F.col("n") <= FEW).select("group", "cell", "title", "seen")
+    other = sides(small).select("group", (F.col("cell") + F.col("side")).alias("cell"), F.col("title").alias("other"), F.col("seen").alias("other_seen"))
+    direct = small.join(other, ["group", "cell"]).where(_lengths_allow())
+    return direct.select("group", "title", "other", "other_seen").unionByName(_by_grams(t.where(F.col("most") > FEW)))
+
+
+def _lengths_allow() -> Column:
+    na, nb = F.length("title"), F.length("other")
+    return (F.col("title") != F.col("other")) & (2 * F.least(na, nb) >= SIMILAR_TITLE * (na + nb))
+
+
+def _by_grams(t: DataFrame) -> DataFrame:
+    """The pairs of candidate_titles in which one title at least is of a cell of more than FEW.
+
+    Similar titles are k edits apart at most, and an edit destroys no more than GRAM distinct grams. So if each title
+    lists its grams in one order, the first GRAM * k + 1 of both have one in common; titles that have no more grams than
+    edits may destroy share one more key. Rare grams of a group come first, so what all its titles say is hardly a key.
+    A pair is made once, at the least key that it shares.
+    """
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("title") - GRAM + 1), lambda i: F.xxhash64(F.col("title").substr(i, F.lit(GRAM)))))
+    t = t.withColumn("big", F.col("n") > FEW)
+    each = t.select("group", "title", "seen", "big", "k", F.explode(grams).alias("gram"))
+    common = each.groupBy("group", "gram").agg(F.count(F.lit(1)).alias("n"))
+    listed = each.join(common, ["group", "gram"]).groupBy("group", "title", "seen", "big", "k").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    first = F.filter(F.slice("grams", F.lit(1), F.col("k") + 1), lambda x: x.n > 1)
+    few = F.when(F.size("grams") <= F.col("k"), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>"))
+    keyed = listed.select("group", "title", "seen", "big", F.array_distinct(F.concat(F.transform(first, lambda x: x.gram), few)).alias("keys"))
+    laid = keyed.select("*", F.explode("keys").alias("key"))
+    others = laid.select("group", "key", F.col("title").alias("other"), F.col("seen").alias("other_seen"), F.col("keys").alias("other_keys"), F.col("big").alias("other_big"))
+    pairs = laid.join(others, ["group", "key"]).where(_lengths_allow() & (F.col("big") | F.col("other_big")))
+    return pairs.where(F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")).select("group", "title", "other", "other_seen")
+
+
 def deduplicate(df: DataFrame, order: str = "ord", scope: Sequence[str] = ()) -> DataFrame:
     """df with is_duplicate and duplicate_reason by three rules, each over rows that no earlier rule has flagged.
 
@@ -83,44 +142,52 @@ def deduplicate(df: DataFrame, order: str = "ord", scope: Sequence[str] = ()) ->
     an earlier kept row and a length within 1 %. order: a column without ties or nulls that says what is earlier;
     scope: further columns that must agree, for example a batch number.
 
-    Rule 2 compares titles, not rows: titles of one group are distinct before they are paired, so copies are not
-    expanded, and only pairs whose lengths and letters allow the ratio reach Python.
+    The rules work on a narrow table of digests, titles and lengths, written once to the shared folder; texts are read
+    once for it and once for the result, to which only flagged rows are joined. Rule 2 compares titles, not rows, and
+    only those of candidate_titles whose letters allow the ratio reach Python.
     """
     scope = list(scope)
-    d = exact_repeats(df, ["raw_text", *scope], order, "_exact").withColumn("_title", text.title_key(F.col("title")))
-
-    # Rule 2. Earliest row of each distinct title of a group; a later row is flagged if an earlier title is similar.
-    group = ["company", "event_date", *scope]
-    titles = d.where("_title <> ''").groupBy(*group, "_title").agg(F.min(order).alias("_seen"))
-    a = titles.select(*[F.col(c).alias(f"_a_{c}") for c in group], F.col("_title").alias("_ta"), F.col("_seen").alias("_sa"))
-    same = F.lit(True)
-    for c in group:
-        same &= F.col(c).eqNullSafe(F.col(f"_a_{c}"))
-    na, nb = F.length("_ta"), F.length("_title")
-    pairs = titles.join(a, same & (F.col("_ta") != F.col("_title")) & (2 * F.least(na, nb) >= SIMILAR_TITLE * (na + nb)))
-    pairs = pairs.where(letter_bound(F.col("_title"), F.col("_ta")) >= SIMILAR_TITLE)
-    similar = pairs.where(title_ratio(F.col("_title"), F.col("_ta"), SIMILAR_TITLE) >= SIMILAR_TITLE)
-    # The title's own first row counts, too: equal titles have a ratio of 1.
-    seen = titles.select(*group, "_title", "_seen").unionByName(similar.select(*group, "_title", F.col("_sa").alias("_seen")))
-    names = [*group, "_title"]
-    best = seen.groupBy(*names).agg(F.min("_seen").alias("_earliest")).select(*[F.col(c).alias(f"_b_{c}") for c in names], "_earliest")
-    on = F.lit(True)
-    for c in names:
-        on &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    d = d.join(best, on, "left").withColumn("_similar", F.coalesce((F.col(order) > F.col("_earliest")) & ~F.col("_exact"), F.lit(False))).drop("_earliest", *[f"_b_{c}" for c in names])
+    spark = df.sparkSession
+    digest = lambda *columns: F.md5(F.to_json(F.struct(*columns, *scope)))
+    narrow = df.select(
+        F.col(order).alias("ord"),
+        digest("raw_text").alias("same_text"),
+        digest("company", "event_date").alias("group"),
+        text.title_key(F.col("title")).alias("title"),
+        digest("company", "year_quarter", F.md5(text.prefix_key(F.col("clean_text"))).alias("prefix")).alias("same_start"),
+        F.length(F.coalesce("clean_text", F.lit(""))).alias("n"),
+    )
+    folder = shared_folder(spark, "duplicates")
+    narrow.write.parquet(folder)
+    d = spark.read.parquet(folder)
+
+    d = d.join(d.groupBy("same_text").agg(F.min("ord").alias("first_text")), "same_text").withColumn("exact", F.col("ord") > F.col("first_text"))
+
+    # Rule 2. Earliest row of each distinct title of a group; a later row is flagged if an earlier title is similar, or
+    # the same: equal titles have a ratio of 1.
+    titles = d.where("title <> ''").groupBy("group", "title").agg(F.min("ord").alias("seen"))
+    pairs = candidate_titles(titles).where(letter_bound(F.col("title"), F.col("other")) >= SIMILAR_TITLE)
+    similar = pairs.where(title_ratio(F.col("title"), F.col("other"), SIMILAR_TITLE) >= SIMILAR_TITLE)
+    seen = titles.unionByName(similar.select("group", "title", F.col("other_seen").alias("seen")))
+    d = d.join(seen.groupBy("group", "title").agg(F.min("seen").alias("first_title")), ["group", "title"], "left")
+    d = d.withColumn("similar", F.coalesce(~F.col("exact") & (F.col("ord") > F.col("first_title")), F.lit(False)))
 
     # Rule 3. Of rows of one length and group only the first matters: if it stays, the others are near it, and if it is
     # near another, so are they. That is found before the shuffle, so a group sends its lengths, not its rows.
-    group = F.md5(F.to_json(F.struct("company", "year_quarter", F.md5(text.prefix_key(F.col("clean_text"))).alias("prefix"), *scope)))
-    d = d.withColumns({"_len": F.length(F.coalesce("clean_text", F.lit(""))), "_group": group, "_open": ~F.col("_exact") & ~F.col("_similar")})
-    lengths = d.where("_open").groupBy(F.col("_group").alias("key"), F.col("_len").alias("n")).agg(F.min(order).alias("first"))
+    still = ~F.col("exact") & ~F.col("similar")
+    lengths = d.where(still).groupBy(F.col("same_start").alias("key"), "n").agg(F.min("ord").alias("first"))
     judged = lengths.repartition("key").sortWithinPartitions("key", "first").mapInPandas(_first_of_alike, f"key string, n int, first {lengths.schema['first'].dataType.simpleString()}, near boolean")
-    named = judged.select(F.col("key").alias("_k"), F.col("n").alias("_n"), F.col("first").alias("_first"), F.col("near").alias("_near"))
-    d = d.join(named, (F.col("_group") == F.col("_k")) & (F.col("_len") == F.col("_n")), "left")
-    d = d.withColumn("_third", F.coalesce(F.col("_open") & (F.col("_near") | ((F.col(order) > F.col("_first")) & (F.col("_len") > 0))), F.lit(False)))
-    reason = F.when(F.col("_exact"), "exact_raw_text").when(F.col("_similar"), "same_company_date_similar_title").when(F.col("_third"), "same_company_quarter_similar_len_prefix").otherwise("")
-    out = d.withColumn("duplicate_reason", reason).withColumn("is_duplicate", F.col("duplicate_reason") != "")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], "is_duplicate", "duplicate_reason")
+    d = d.join(judged.withColumnRenamed("key", "same_start"), ["same_start", "n"], "left")
+    third = F.coalesce(still & (F.col("near") | ((F.col("ord") > F.col("first")) & (F.col("n") > 0))), F.lit(False))
+
+    reason = F.when(F.col("exact"), "exact_raw_text").when(F.col("similar"), "same_company_date_similar_title").when(third, "same_company_quarter_similar_len_prefix")
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    at, why = mark + "ord", mark + "reason"
+    flagged = d.select(F.col("ord").alias(at), reason.alias(why)).where(F.col(why).isNotNull())
+    out = df.join(flagged, F.col(f"`{order}`") == F.col(at), "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col(why).isNotNull().alias("is_duplicate"), F.coalesce(why, F.lit("")).alias("duplicate_reason"))
 
 
 def split_audit(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -81,3 +81,31 @@ def test_letters_bound_the_ratio(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
     for r in df.select("a", "b", dedup.letter_bound(F.col("a"), F.col("b")).alias("x")).collect():
         assert abs(r.x - SequenceMatcher(None, r.a, r.b).quick_ratio()) < 1e-9 and r.x >= SequenceMatcher(None, r.a, r.b).ratio() - 1e-9
+
+
+def test_candidates_hold_all_similar_titles(spark, monkeypatch):
+    rng = random.Random(11)
+    titles = {"x" * n for n in range(1, 60)} | {"ab" * n for n in range(1, 40)}
+    for _ in range(12):
+        base = "q1earningscall" + "".join(rng.choice("abcde") for _ in range(rng.randrange(0, 60)))
+        for _ in range(25):
+            t = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randrange(2)] = rng.choice(["", "z", "\u00e9"])
+            titles.add("".join(t))
+    titles = sorted(titles)
+    df = spark.createDataFrame([("g", t, i) for i, t in enumerate(titles)], "group string, title string, seen int")
+    want = {(a, b) for a in titles for b in titles if a != b and SequenceMatcher(None, a, b).ratio() >= 0.96}
+    for few in (0, 9, 64):  # by grams alone, by both ways, mostly directly
+        monkeypatch.setattr(dedup, "FEW", few)
+        rows = [(r.title, r.other) for r in dedup.candidate_titles(df).collect()]
+        assert len(rows) == len(set(rows)) and want and want <= set(rows)
+        assert few or len(rows) < len(titles) ** 2 / 4
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(0, "x", 7, 8), (1, "x", 7, 9)], "ord int, raw_text string, _ord int, `__reason` int")
+    for c in ("company", "event_date", "year_quarter", "title", "clean_text"):
+        df = df.withColumn(c, F.lit(None).cast("string"))
+    assert sorted((r.ord, r._ord, r["__reason"], r.is_duplicate) for r in dedup.deduplicate(df).collect()) == [(0, 7, 8, False), (1, 7, 9, True)]
