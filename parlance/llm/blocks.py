@@ -22,6 +22,8 @@ from parlance.llm.common import Words, new_folder, parts_of, uri_fs
 
 _U = np.uint64
 BLOCK_ROWS = 8_192
+#: Bytes of stored documents whose numbers one bucket takes.
+BUCKET_BYTES = 4 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -110,10 +112,9 @@ def by_bucket(names: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray
     """(bucket, places of its names) in rising order of places."""
     b = ((names >> _U(32)) % _U(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
-    cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        if cuts[k + 1] > cuts[k]:
-            yield k, order[cuts[k] : cuts[k + 1]]
+    there, cuts = np.unique(b[order], return_index=True)
+    for k, a, e in zip(there.tolist(), cuts, [*cuts[1:], len(order)]):
+        yield k, order[a:e]
 
 
 SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
@@ -146,6 +147,13 @@ def stored(docs: DataFrame, **extra: Column) -> DataFrame:
         return placed(docs.sparkSession.read.parquet(folder))
 
 
+def buckets_of(rows: DataFrame) -> int:
+    """Buckets for a frame of stored(): as many as keep each in one task's memory, however large the files below are."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return min(max(2 * parts_of(rows.sparkSession), -(-size // BUCKET_BYTES)), np.iinfo(np.int32).max)
+
+
 def answer(sent: DataFrame, share: Callable[[pa.Table], pa.Table], folder: str, more: str = "") -> str:
     """Lets each bucket answer (rows block, data and what `more` adds) and writes the answers, sorted by block, in as many
     folders as there are shuffle partitions: few files, however many blocks, each read in ranges."""

@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.blocks import Answers, answer, by_bucket, is_in, pack, sent_rows, stored, stretches, unpack
-from parlance.llm.common import Words, cut, new_folder, parts_of, release
+from parlance.llm.blocks import Answers, answer, buckets_of, by_bucket, is_in, pack, sent_rows, stored, stretches, unpack
+from parlance.llm.common import Words, cut, new_folder, release
 from parlance.llm.tokens import Encoder
 
 #: Documents with this remainder of crc32(doc_id) are held out.
@@ -373,7 +373,7 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     rows = stored(docs, held_out=fold == HELD_OUT)
-    buckets, base = 2 * parts_of(spark), new_folder(spark, "lm")
+    buckets, base = buckets_of(rows), new_folder(spark, "lm")
     end_hash = _U(xxhash.xxh3_64_intdigest(b""))
 
     def count(batches):

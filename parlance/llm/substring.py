@@ -40,8 +40,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.blocks import Answers, answer, by_bucket, is_in, pack, sent_rows, stored, stretches, unpack
-from parlance.llm.common import Words, mix, new_folder, parts_of, powers
+from parlance.llm.blocks import Answers, answer, buckets_of, by_bucket, is_in, pack, sent_rows, stored, stretches, unpack
+from parlance.llm.common import Words, mix, new_folder, powers
 
 _U = np.uint64
 #: Bytes of text that a scan works on at once.
@@ -184,7 +184,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         raise ValueError("a window needs 18 words or more")
     spark = docs.sparkSession
     rows = stored(docs)
-    buckets = 2 * parts_of(spark)
+    buckets = buckets_of(rows)
     base = new_folder(spark, "repeats")
 
     kind = "bucket int, block long, data binary"

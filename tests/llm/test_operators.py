@@ -18,7 +18,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, decontam, jaccard, licenses, lm, mixture, quality, secrets, substring, tokens
+from parlance.llm import blocks, chat, decontam, jaccard, licenses, lm, mixture, quality, secrets, substring, tokens
 from parlance.llm.common import Words
 from parlance.llm.queries import word_bpe
 
@@ -856,3 +856,17 @@ def test_license_frame(docs, nothing, rows):
         assert (got[i].n_sentences, got[i].n_matches) == (len(xs), len(hits))
         assert got[i].spans == ",".join(f"{n}:{a}:{b}" for n, a, b, _ in hits) and got[i].licenses == ",".join(sorted({n for n, *_ in hits}))
     assert out.count() == len(rows) and licenses.digest(nothing).count() == 0
+
+
+def test_buckets_grow_with_the_files(spark, tmp_path, monkeypatch):
+    spark.range(20_000).selectExpr("id as doc_id", "sha2(string(id), 256) as text").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    rows = blocks.stored(docs)
+    assert blocks.buckets_of(rows) == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = substring.remove_repeats(docs, 20).agg(F.sum("n_words"), F.sum("n_removed")).first()
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 10_000)
+    assert blocks.buckets_of(rows) > 100
+    assert substring.remove_repeats(docs, 20).agg(F.sum("n_words"), F.sum("n_removed")).first() == few
+    names = np.arange(50, dtype=np.uint64) << np.uint64(32)
+    cut = dict(blocks.by_bucket(names, 7))
+    assert sorted(cut) == list(range(7)) and all((names[at] >> np.uint64(32)) % 7 == k for k, at in cut.items() for at in at)
