@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import chat, decontam, jaccard, licenses, lm, mixture, oracle, quality, secrets, substring, tokens
+from parlance.llm import audit, chat, decontam, jaccard, licenses, lm, mixture, oracle, quality, secrets, shards, substring, tokens, trie
 from parlance.llm.common import small_batches
 
 
@@ -62,10 +62,22 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(table(spark, sf_dir, "documents"))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1_secret_layers that SQL can express: how many base spans of each kind a text has."""
     return secrets.digest(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_layers, op2_source_mixing, op3_attention_lm, op4_benchmark_simhash, op5_jaccard_forest, op6_line_quality, op7_repeated_passages, op8_chat_template, op9_token_frames, op10_license_sentences, secret_counts)}
-ORACLE: dict[str, str] = {"op4_benchmark_simhash": oracle.DECONTAMINATION, "op5_jaccard_forest": oracle.NEAR_DUPLICATES, "op6_line_quality": oracle.QUALITY, "op7_repeated_passages": oracle.REPEATED_PASSAGES, "op8_chat_template": oracle.CHAT, "secret_counts": oracle.SECRET_COUNTS}
+QUERIES = {f.__name__: f for f in (op1_secret_layers, op2_source_mixing, op3_attention_lm, op4_benchmark_simhash, op5_jaccard_forest, op6_line_quality, op7_repeated_passages, op8_chat_template, op9_token_frames, op10_license_sentences, op11_conversation_trie, op12_filter_audit, op13_exact_shards, secret_counts)}
+ORACLE: dict[str, str] = {"op4_benchmark_simhash": oracle.DECONTAMINATION, "op5_jaccard_forest": oracle.NEAR_DUPLICATES, "op6_line_quality": oracle.QUALITY, "op7_repeated_passages": oracle.REPEATED_PASSAGES, "op8_chat_template": oracle.CHAT, "op11_conversation_trie": oracle.TRIE, "op12_filter_audit": oracle.FILTER_AUDIT, "secret_counts": oracle.SECRET_COUNTS}
