@@ -251,16 +251,6 @@ def qa_ratio(spark, sf_dir):
     return g.select("*", F.round(F.try_divide("n_q", "n_a"), 6).alias("qa_ratio"), ((F.col("n_q") > 0) & (F.col("n_a") > 0)).alias("has_both"))
 
 
-@query()
-def segment_and_chunk(spark, sf_dir):
-    """Turns and chunks of all documents; held against plain loops in tests/test_segment.py."""
-    from parlance.operators.chunk import chunk
-
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("transcript_id"), text.clean_text(F.col("text")).alias("clean_text"))
-    c = chunk(segment.label_sections(segment.segment(d)))
-    return c.groupBy("transcript_id").agg(F.count_distinct("segment_id").alias("n_segments"), F.count("chunk_id").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("longest"))
-
-
 @query("SELECT role, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share_pct FROM conversations GROUP BY role")
 def role_mix(spark, sf_dir):
     return profile.value_counts(table(spark, sf_dir, "conversations"), "role")

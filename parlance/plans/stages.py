@@ -13,7 +13,12 @@ _quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)  #
 _pattern = lambda x: x.replace("'", "''")
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
-TURN_ROWS = rf"""{CLEANED}, framed AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Operator' || chr(10) || clean_text || chr(10) || 'Bob Ray:' || chr(10) || 'thanks to all of you.' WHEN 1 THEN replace(clean_text, '. ', '.' || chr(10) || 'Ann Lee - CFO' || chr(10)) ELSE clean_text END AS clean_text FROM cleaned), rl AS (SELECT doc_id, clean_text, string_split(clean_text, chr(10)) AS ls, list_position([regexp_matches(x, '{_pattern(segment.ROSTER_END)}') FOR x IN string_split(clean_text, chr(10))], true) AS since FROM framed),
+_FRAME = r"""CASE doc_id % 3 WHEN 0 THEN 'Operator' || chr(10) || clean_text || chr(10) || 'Bob Ray:' || chr(10) || 'thanks to all of you.' WHEN 1 THEN replace(clean_text, '. ', '.' || chr(10) || 'Ann Lee - CFO' || chr(10)) ELSE clean_text END"""
+
+
+def turn_sql(framed: str) -> str:
+    """CTEs up to turn_rows, over documents whose cleaned text is put into an expression of clean_text."""
+    return rf"""{CLEANED}, framed AS (SELECT doc_id, {framed} AS clean_text FROM cleaned), rl AS (SELECT doc_id, clean_text, string_split(clean_text, chr(10)) AS ls, list_position([regexp_matches(x, '{_pattern(segment.ROSTER_END)}') FOR x IN string_split(clean_text, chr(10))], true) AS since FROM framed),
 cut AS (SELECT doc_id, clean_text, [{_STRIP.format('x')} FOR x IN CASE WHEN since > 0 THEN ls[since:] ELSE ls END] AS ls FROM rl), ln AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM cut),
 wd AS (SELECT *, list_filter(regexp_split_to_array(replace(x, ':', ' '), '\s+'), lambda y: y <> '') AS ws FROM ln),
 fl AS (SELECT doc_id, i, x, x <> '' AND length(x) <= {segment.LONGEST_LINE} AND NOT regexp_matches(x, '[.!?]$') AND (lower(x) IN ({_quoted(segment.SPEAKER_LINES)}) OR regexp_matches(x, '{_pattern(segment.LABEL)}')
@@ -24,6 +29,9 @@ spoken AS (SELECT * FROM sd WHERE said <> '' UNION ALL SELECT doc_id, 0, 'Unknow
 turn_rows AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t)::INT AS segment_order, speaker_raw, said AS segment_text FROM spoken)"""
 
 
+TURN_ROWS = turn_sql(_FRAME)
+
+
 def _turns(spark, sf_dir) -> DataFrame:
     """Turns of all documents, into two thirds of which lines that name speakers are put, so that there are some."""
     d = table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("t"))
