@@ -73,10 +73,9 @@ def _first_of_alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, n in zip(pdf["key"], pdf["n"]):
             if key != last:
                 last, kept = key, []
-            at = bisect.bisect_left(kept, n)
-            near = n > 0 and any(m > 0 and abs(n - m) <= SIMILAR_LENGTH * max(n, m) for m in kept[max(0, at - 1) : at + 1])
+            near = near_length(n, kept)
             if not near:
-                kept.insert(at, n)
+                bisect.insort(kept, n)
             flags.append(near)
         yield pdf.assign(near=flags)
 
@@ -134,6 +133,25 @@ def _by_grams(t: DataFrame) -> DataFrame:
     return pairs.where(F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")).select("group", "title", "other", "other_seen")
 
 
+def narrow(df: DataFrame, order: str = "ord", scope: Sequence[str] = ()) -> DataFrame:
+    """What the rules look at: ord, same_text, group, title, same_start and n (the length), digests in place of texts."""
+    digest = lambda *columns: F.md5(F.to_json(F.struct(*columns, *scope)))
+    return df.select(
+        F.col(order).alias("ord"),
+        digest("raw_text").alias("same_text"),
+        digest("company", "event_date").alias("group"),
+        text.title_key(F.col("title")).alias("title"),
+        digest("company", "year_quarter", F.md5(text.prefix_key(F.col("clean_text"))).alias("prefix")).alias("same_start"),
+        F.length(F.coalesce("clean_text", F.lit(""))).alias("n"),
+    )
+
+
+def near_length(n: int, kept: list[int]) -> bool:
+    """Whether n is within SIMILAR_LENGTH of a length in the sorted list; 0 is near nothing."""
+    at = bisect.bisect_left(kept, n)
+    return n > 0 and any(m > 0 and abs(n - m) <= SIMILAR_LENGTH * max(n, m) for m in kept[max(0, at - 1) : at + 1])
+
+
 def deduplicate(df: DataFrame, order: str = "ord", scope: Sequence[str] = ()) -> DataFrame:
     """df with is_duplicate and duplicate_reason by three rules, each over rows that no earlier rule has flagged.
 
@@ -146,19 +164,9 @@ def deduplicate(df: DataFrame, order: str = "ord", scope: Sequence[str] = ()) ->
     once for it and once for the result, to which only flagged rows are joined. Rule 2 compares titles, not rows, and
     only those of candidate_titles whose letters allow the ratio reach Python.
     """
-    scope = list(scope)
     spark = df.sparkSession
-    digest = lambda *columns: F.md5(F.to_json(F.struct(*columns, *scope)))
-    narrow = df.select(
-        F.col(order).alias("ord"),
-        digest("raw_text").alias("same_text"),
-        digest("company", "event_date").alias("group"),
-        text.title_key(F.col("title")).alias("title"),
-        digest("company", "year_quarter", F.md5(text.prefix_key(F.col("clean_text"))).alias("prefix")).alias("same_start"),
-        F.length(F.coalesce("clean_text", F.lit(""))).alias("n"),
-    )
     folder = shared_folder(spark, "duplicates")
-    narrow.write.parquet(folder)
+    narrow(df, order, scope).write.parquet(folder)
     d = spark.read.parquet(folder)
 
     d = d.join(d.groupBy("same_text").agg(F.min("ord").alias("first_text")), "same_text").withColumn("exact", F.col("ord") > F.col("first_text"))

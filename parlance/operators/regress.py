@@ -11,8 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.designs import Design, fit_all
+from parlance.schemas import REGRESSION
+
 #: A fit needs so many complete rows, a subsample so many rows at all.
 LEAST_ROWS, LEAST_SUBSAMPLE = 30, 50
+#: Levels that ols lays out as columns of dummies; designs.fit_all has no such bound.
+MOST_LEVELS = 1_000
 
 
 @dataclass
@@ -69,7 +74,9 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | None = None) ->
     """
     used = [*xs, y, *([effect] if effect else [])]
     data = df.select(*[F.col(c).cast("double").alias(c) for c in (*xs, y)], *([F.col(effect).cast("string").alias(effect)] if effect else [])).na.drop(subset=used)
-    levels = sorted(r[0] for r in data.select(effect).distinct().collect())[1:] if effect else []
+    levels = sorted(r[0] for r in data.select(effect).distinct().limit(MOST_LEVELS + 1).collect())[1:] if effect else []
+    if len(levels) >= MOST_LEVELS:
+        raise ValueError(f"{effect} has over {MOST_LEVELS} levels; use designs.fit_all, which needs no columns for them")
     names = ["const", *xs, *(f"fe_{v}" for v in levels)]
     k = len(names)
 
@@ -79,10 +86,9 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | None = None) ->
         for i, c in enumerate(xs, 1):
             x[:, i] = b.column(c).to_numpy(zero_copy_only=False)
         if levels:
-            at = {v: i for i, v in enumerate(levels, 1 + len(xs))}
-            for row, v in enumerate(b.column(effect).to_pylist()):
-                if v in at:
-                    x[row, at[v]] = 1
+            coded = b.column(effect).dictionary_encode()
+            at = np.array([{v: i for i, v in enumerate(levels, 1 + len(xs))}.get(v, 0) for v in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+            x[np.flatnonzero(at), at[at > 0]] = 1
         return x, b.column(y).to_numpy(zero_copy_only=False)
 
     def gram(b) -> np.ndarray:
@@ -123,26 +129,18 @@ SPECIFICATIONS = (("Baseline", ("divergence",)), ("Size interaction", ("divergen
 
 def run_all(panel: DataFrame, horizons: Sequence[int] = (1, 3, 5), split_year: int = 2020) -> DataFrame:
     """All specifications over all horizons and the second one before and from split_year, where that has LEAST_SUBSAMPLE
-    rows: one row for each coefficient but the dummies' (63 where nothing is left out). Callers cut the panel's lineage
-    first, since each fit is two passes over it."""
-    spark = panel.sparkSession
+    rows: one row for each coefficient but the dummies' (63 where nothing is left out). The panel is read twice, so
+    callers cut its lineage first."""
     p = panel.withColumn("div_x_small", F.col("divergence") * F.col("is_smallcap"))
-    jobs = [(name, p, xs) for name, xs in SPECIFICATIONS]
-    parts = {f"Pre-{split_year}": p.where(F.col("year") < split_year), f"Post-{split_year}": p.where(F.col("year") >= split_year)}
-    sizes = p.agg(F.count_if(F.col("year") < split_year), F.count_if(F.col("year") >= split_year)).first()
-    jobs += [(name, data, SPECIFICATIONS[1][1]) for (name, data), n in zip(parts.items(), sizes) if n >= LEAST_SUBSAMPLE]
+    jobs = [(name, xs, None) for name, xs in SPECIFICATIONS]
+    jobs += [(name, SPECIFICATIONS[1][1], where) for name, where in ((f"Pre-{split_year}", F.col("year") < split_year), (f"Post-{split_year}", F.col("year") >= split_year))]
+    wanted = [Design(name, f"ret_{h}d", tuple(xs), where) for name, xs, where in jobs for h in horizons]
     rows = []
-    for section, data, xs in jobs:
-        for h in horizons:
-            fit = ols(data, f"ret_{h}d", xs, "year_quarter")
-            if fit is None:
-                continue
-            for i, name in enumerate(fit.names):
-                if not name.startswith("fe_"):
-                    rows.append((section, f"ret_{h}d", name, float(fit.coef[i]), float(fit.std_err[i]), float(fit.t_stat[i]), float(fit.p_value[i]), _stars(fit.p_value[i]), fit.n, float(fit.r2), float(fit.adj_r2)))
-    from parlance.schemas import REGRESSION
-
-    return spark.createDataFrame(rows, REGRESSION)
+    for f in fit_all(p, wanted, "year_quarter"):
+        if f.n >= LEAST_ROWS and (f.design.where is None or f.members >= LEAST_SUBSAMPLE):
+            for i, name in enumerate(f.names):
+                rows.append((f.design.section, f.design.y, name, float(f.coef[i]), float(f.std_err[i]), float(f.t_stat[i]), float(f.p_value[i]), _stars(f.p_value[i]), f.n, float(f.r2), float(f.adj_r2)))
+    return panel.sparkSession.createDataFrame(rows, REGRESSION)
 
 
 def report(results: DataFrame) -> str:

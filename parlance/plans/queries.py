@@ -354,6 +354,45 @@ def regression_dummies(spark, sf_dir):
     return spark.createDataFrame(rows, "variable string, coef double, std_err double, t_stat double, nobs int")
 
 
+def _fit_sql(name: str, y: str, xs: tuple[str, ...], where: str) -> tuple[str, str]:
+    """(CTEs, rows) of one fit: all columns within their level, then each regressor in turn freed from all others, one
+    after the other; its slope, residuals and HC1 error follow (a regressor of one fit is the last of its own chain)."""
+    k, ctes = len(xs), [f"{name} AS (SELECT {y} AS y, {', '.join(xs)}, year_quarter AS g FROM sp WHERE {where} AND year_quarter IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in (y, *xs))})"]
+    within = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY g) AS {c}" for c in ("y", *xs))
+    ctes.append(f"{name}_0 AS (SELECT y AS raw, g, {within} FROM {name})")
+    rows = []
+    for i, last in enumerate(xs):
+        order, at = [*[x for x in xs if x != last], last], f"{name}_0"
+        for j, x in enumerate(order):
+            rest = ["y", *order[j + 1 :]]
+            free = ", ".join(f"{c} - {x} * (SELECT sum({x} * {c}) / sum({x} * {x}) FROM {at}) AS {c}" for c in rest)
+            ctes.append(f"{name}_{i}_{j + 1} AS (SELECT raw, g, {free}{', ' + x + ', y AS before' if j == k - 1 else ''} FROM {at})")
+            at = f"{name}_{i}_{j + 1}"
+        sxx = f"sum({last} * {last})"
+        rows.append(f"SELECT '{last}' AS variable, sum({last} * before) / {sxx} AS coef, sqrt(sum(({last} * y) ** 2)) / {sxx} * sqrt(count(*) / (count(*) - count(DISTINCT g) - {k})) AS std_err, count(*) AS nobs, 1 - sum(y * y) / (sum(raw * raw) - sum(raw) ** 2 / count(*)) AS r2 FROM {at}")
+    return ", ".join(ctes), " UNION ALL ".join(rows)
+
+
+def _suite_sql() -> str:
+    ctes, rows = [], []
+    for i, (section, xs) in enumerate((*regress.SPECIFICATIONS[:2], ("Pre-2020", regress.SPECIFICATIONS[1][1]), ("Post-2020", regress.SPECIFICATIONS[1][1]))):
+        for h in (1, 3, 5):
+            c, r = _fit_sql(f"f{i}{h}", f"ret_{h}d", xs, {"Pre-2020": "year < 2020", "Post-2020": "year >= 2020"}.get(section, "true"))
+            ctes.append(c)
+            rows.append(f"SELECT '{section}' AS section, 'ret_{h}d' AS model, * FROM ({r})")
+    return f"WITH {PANEL}, sp AS (SELECT *, divergence * is_smallcap AS div_x_small, 2019 + CAST(ticker AS INT) // 2 % 2 AS year FROM pan), {', '.join(ctes)} SELECT section, model, variable, round(coef, 6) AS coef, round(std_err, 6) AS std_err, round(coef / std_err, 4) AS t_stat, nobs::INT AS nobs, round(r2, 6) AS r2 FROM ({' UNION ALL '.join(rows)})"
+
+
+@query(_suite_sql())
+def regression_identified(spark, sf_dir):
+    """The coefficients of all specifications whose regressors are not collinear, with both subsamples (by every second
+    pair of tickers); the others' least-norm solutions are held against numpy in tests/test_designs.py."""
+    half = F.floor(F.col("ticker").cast("int") / 2) % 2
+    out = regress.run_all(stored(_panel(spark, sf_dir).withColumn("year", (F.lit(2019) + half).cast("int"))))
+    out = out.where("section <> 'Full' and variable <> 'const'")
+    return out.select("section", "model", "variable", R6("coef"), R6("std_err"), F.round("t_stat", 4).alias("t_stat"), "nobs", R6("r2"))
+
+
 @query()
 def regression_suite(spark, sf_dir):
     """All specifications, with both subsamples (every other ticker counts as a year later); the solver is held against
