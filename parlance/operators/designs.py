@@ -158,7 +158,7 @@ class _Layout:
             names = pa.array([*coded.dictionary.to_pylist(), None], pa.string())
             for j, member, rows, x, y in self._used(batch):
                 m = np.column_stack([np.ones(len(rows)), y, y * y, x, x * y[:, None], x[:, left] * x[:, right]])
-                total = np.column_stack([np.bincount(codes[rows], weights=c, minlength=len(names)) for c in m.T])
+                total = np.column_stack([np.bincount(codes[rows], weights=c, minlength=len(names)) for c in m.T]).astype(float)  # without rows they are whole numbers
                 count = np.bincount(codes[member], minlength=len(names))
                 here = np.flatnonzero(count)
                 if not len(here):
