@@ -171,12 +171,20 @@ _UNIT = re.compile(r"[^\n]+?(?:[.:;?!](?=\s)|(?=\n)|\Z)")
 HINTS = ("licens", "permission", "redistribut", "free software", "rights reserved", "without warranty", "without any warranty", "implied warranty", "software is provided", "liable for any claim", "unencumbered", "promote products", "applicable law", "notice", "as published by the free software foundation", "this software", "this program")
 
 _ONE_WORD = tuple(h for h in HINTS if " " not in h)
-_STARTS = tuple(h.split()[0] for h in HINTS if " " in h)
+_PHRASES = tuple(h for h in HINTS if " " in h)
+#: A word of each phrase that other texts seldom have; few texts need their words put in a row.
+_RARE = ("free", "reserved", "warranty", "software", "liable", "promote", "applicable", "foundation", "program")
 
 
 def may_match(text: str) -> bool:
+    """False only if the text holds no known sentence, whatever signs and line ends stand between its words."""
     low = text.lower()
-    return any(h in low for h in _ONE_WORD) or any(h in low for h in _STARTS) and any(h in " ".join(low.split()) for h in HINTS)
+    if any(h in low for h in _ONE_WORD):
+        return True
+    if not any(h in low for h in _RARE):
+        return False
+    row = " ".join(_WORDS.findall(low))
+    return any(h in row for h in _PHRASES)
 
 
 def normal(text: str) -> tuple[str, ...]:

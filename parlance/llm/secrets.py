@@ -10,7 +10,8 @@ The whole text is scanned first. Then every layer is searched for encodings, eac
 * gzip, zlib, bzip2 and xz streams, with all their members, among decoded bytes or written in URL or \\x escapes.
 
 A stream is unpacked piece by piece, whatever it unpacks to, and each piece is a layer that overlaps the one before, so
-memory is bounded and nothing is left packed; a stream inside a stream is unpacked on the way.
+memory is bounded and nothing is left packed. Streams inside streams go on a worklist of their own, which knows the
+content of all that it has taken up. Of a damaged stream all counts that comes out of it before the damage.
 
 Each layer keeps, for each of its characters, the part of the original text that it came from, so a secret found at any
 depth is reported as a span of the original. A layer that was seen before (same characters from the same place) is not
@@ -145,108 +146,225 @@ class Bytes:
         return Layer(text, starts, ends)
 
 
-def _packer(raw: bytes):
-    return bz2.BZ2Decompressor() if raw.startswith(b"BZh") else lzma.LZMADecompressor() if raw.startswith(b"\xfd7z") else zlib.decompressobj(wbits=47)
+#: Bytes given to an unpacker at once. A zlib stream is copied before each, so that what it gives up to a damaged byte is
+#: kept; the others have no copy and get few bytes at once, so that little is lost with them.
+FEED, FEED_OTHER = 4096, 64
+#: The longest file name or comment in the head of a gzip stream.
+LONGEST_NAME = 4096
 
 
-def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """What a stream and the members behind it hold, in pieces, up to the first that is damaged."""
-    d, data = None, b""
-    for chunk in chunks:
-        data += chunk
-        while data or d is not None:
-            if d is None:
-                if not data.startswith(_MAGIC):
-                    if len(data) < 6:
-                        break  # more of it may be to come
-                    return
-                d = _packer(data)
+def _headed(data: bytes, at: int) -> bool:
+    """Whether the head of a gzip stream that starts here can end; without this, a mark among bytes that has no zero
+    behind it would be read to their end."""
+    flags, i = data[at + 3], at + 10
+    if flags & 0xE0 or data[at + 2] != 8:
+        return False
+    if flags & 4:
+        i += 2 + int.from_bytes(data[i : i + 2], "little")
+    for flag in (8, 16):
+        if flags & flag and i < len(data):
+            end = data.find(b"\0", i, i + LONGEST_NAME)
+            if end < 0:
+                return len(data) < i + LONGEST_NAME  # more may be to come
+            i = end + 1
+    return True
+
+
+class _Stage:
+    """Unpacks a stream and the members behind it, out of bytes that are fed to it, less the first `skip`."""
+
+    def __init__(self, skip: int):
+        self.skip, self.data, self.at, self.before = skip, b"", 0, 0
+        self.d, self.tail, self.kept = None, b"", None
+        self.closed = self.finished = False
+        #: Bytes that whole members took up; whether the input ended within a member.
+        self.used, self.starved = 0, False
+
+    def feed(self, chunk: bytes) -> None:
+        cut = min(self.skip, len(chunk))
+        self.skip -= cut
+        self.before += self.at
+        self.data, self.at = self.data[self.at :] + chunk[cut:], 0
+
+    def take(self) -> bytes | None:
+        """Some unpacked bytes; nothing where the stream has ended or is damaged; None where more input is needed."""
+        while not self.finished:
+            if self.d is None:
+                ahead = self.data[self.at : self.at + 12]
+                if len(ahead) < 12 and not self.closed:
+                    return None
+                if not ahead.startswith(_MAGIC) or ahead.startswith(b"\x1f\x8b") and (len(ahead) < 12 or not _headed(self.data, self.at)):
+                    self.finished = True
+                    break
+                self.d = bz2.BZ2Decompressor() if ahead.startswith(b"BZh") else lzma.LZMADecompressor() if ahead.startswith(b"\xfd7z") else zlib.decompressobj(wbits=47)
+                self.zlib = not ahead.startswith((b"BZh", b"\xfd7z"))
+            part, fresh = self.tail, False
+            if not part and (self.zlib or self.d.needs_input):
+                part, fresh = self.data[self.at : self.at + (FEED if self.zlib else FEED_OTHER)], True
+                if not part:
+                    if not self.closed:
+                        return None
+                    self.finished = self.starved = True
+                    break
+                self.at += len(part)
+            self.kept = self.d.copy() if self.zlib else None
             try:
-                out = d.decompress(data, PIECE)
+                out = self.d.decompress(part, PIECE)
             except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
-                return
-            data = getattr(d, "unconsumed_tail", b"")
+                self.finished = True
+                return self._up_to_the_damage(part)
+            self.tail = self.d.unconsumed_tail if self.zlib else b""
+            if self.d.eof:
+                self.at -= len(self.d.unused_data)
+                self.used = self.before + self.at
+                self.d, self.tail = None, b""
             if out:
-                yield out
-            if d.eof:
-                d, data = None, d.unused_data
-            elif not out or not data and getattr(d, "needs_input", True):
-                break
+                return out
+        return b""
+
+    def _up_to_the_damage(self, part: bytes) -> bytes:
+        out = []
+        if self.kept is not None:
+            try:
+                for i in range(len(part)):
+                    out.append(self.kept.decompress(part[i : i + 1]))
+            except (zlib.error, ValueError):
+                pass
+        return b"".join(out)
+
+
+class Stream:
+    """What the stream holds that starts at byte `skip` of its source: bytes, or what another stream holds."""
+
+    def __init__(self, source: bytes | Stream, skip: int):
+        self.source, self.skip = source, skip
+        self.used, self.starved = 0, False
+
+    def chunks(self) -> Iterator[bytes]:
+        """In order; no call goes deeper for a stream within streams, and none holds more than a piece of each.
+
+        Afterwards `used` is the number of bytes of the source that whole members took up, and `starved` says whether the
+        source ended within a member.
+        """
+        path = [self]
+        while isinstance(path[0].source, Stream):
+            path.insert(0, path[0].source)
+        raw, at = path[0].source, path[0].skip
+        stages = [_Stage(0), *[_Stage(s.skip) for s in path[1:]]]
+        top = i = len(stages) - 1
+        while True:
+            got = stages[i].take()
+            if got is None and i == 0:
+                chunk = raw[at : at + (1 << 16)]
+                at += len(chunk)
+                stages[0].feed(chunk)
+                stages[0].closed = not chunk
+            elif got is None:
+                i -= 1
+            elif i < top:
+                i += 1
+                stages[i].feed(got)
+                stages[i].closed = not got
+            elif got:
+                yield got
+            else:
+                self.used, self.starved = stages[top].used, stages[top].starved
+                return
+
+    def pieces(self) -> Iterator[tuple[int, bytes]]:
+        """Where each piece begins and its bytes; each begins with the end of the one before."""
+        held, at = b"", 0
+        for chunk in self.chunks():
+            held += chunk
+            if len(held) >= PIECE:
+                yield at, held
+                at, held = at + len(held) - OVERLAP, held[-OVERLAP:]
+        if held:
+            yield at, held
+
+    def digest(self) -> bytes | None:
+        """Of all that it holds; None if it holds nothing, that is, is no stream."""
+        h, any_of_it = hashlib.blake2b(digest_size=16), False
+        for chunk in self.chunks():
+            h.update(chunk)
+            any_of_it = True
+        return h.digest() if any_of_it else None
+
+
+def _marks(raw: bytes) -> Iterator[int]:
+    """Where streams may start: anywhere by their longer marks, at the very beginning by the shorter ones, too."""
+    if raw.startswith(_MAGIC):
+        yield 0
+    yield from (m.start() for m in _SURE.finditer(raw) if m.start())
+
+
+def _held(stream: Stream, seen: set[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """The pieces of a stream and of all streams in it, and whether a piece is itself the inside of nothing but a stream.
+
+    A worklist of streams, each with the pieces that are still to come. A stream whose content has been taken up before,
+    however deep, is not taken up again, which ends streams that unpack to themselves or to many copies. A stream that
+    begins in one piece and goes on in the next is read out of its own source from the start.
+    """
+    work = [(stream, stream.pieces(), [0])]
+    while work:
+        outer, pieces, upto = work[-1]
+        at, piece = next(pieces, (0, b""))
+        if not piece:
+            work.pop()
+            continue
+        inner, packed = [], False
+        for m in _marks(piece):
+            if at + m < upto[0]:
+                continue
+            new = Stream(piece, m)
+            content = new.digest()
+            if content is not None and new.starved and len(piece) >= PIECE:
+                new = Stream(outer, at + m)
+                content = new.digest()
+            if content is not None and not new.starved and new.used:
+                upto[0] = at + m + new.used
+            packed |= content is not None and at + m == 0 and new.used > 0  # a whole member with its checksum; text may look like a stream
+            if content is not None and content not in seen:
+                seen.add(content)
+                inner.append((new, new.pieces(), [0]))
+        yield piece, packed
+        work += reversed(inner)
+
+
+def _unpacked(raw: bytes, start: int, whole: tuple[int, int]) -> tuple[int, Iterator[Layer]] | None:
+    """(bytes taken up by whole members, the layers of all that a stream holds), or None if there is no stream here."""
+    stream = Stream(raw, start)
+    content = stream.digest()
+    if content is None:
+        return None
+
+    def layers() -> Iterator[Layer]:
+        for piece, packed in _held(stream, {content}):
+            if not packed:
+                zeros = piece.count(0)
+                kind = "utf-8" if 10 * zeros < 3 * len(piece) else "utf-16-le" if piece[1::2].count(0) * 2 >= zeros else "utf-16-be"
+                yield Layer(piece.decode(kind, "replace"), whole=whole)
+
+    return (stream.used if not stream.starved else 0), layers()
 
 
 def _used(raw: bytes) -> int:
     """How many of the bytes the first stream and the members behind it take up; all where one is damaged."""
-    data = raw
-    while data.startswith(_MAGIC):
-        d, more = _packer(data), data
-        try:
-            while not d.eof:
-                out = d.decompress(more, PIECE)
-                more = getattr(d, "unconsumed_tail", b"")
-                if not d.eof and not out and not more and getattr(d, "needs_input", True):
-                    return len(raw)
-        except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
-            return len(raw)
-        data = d.unused_data
-    return len(raw) - len(data)
-
-
-def _pieces(raw: bytes) -> Iterator[bytes]:
-    """The pieces of a stream, unpacked from any nesting of streams; each begins with the end of the one before."""
-    chunks, seen = iter([raw]), set()
-    while True:
-        first = next(chunks, b"")
-        mark = hashlib.blake2b(first, digest_size=16).digest()
-        if not first or mark in seen:  # nothing, or a stream that unpacks to itself
-            return
-        seen.add(mark)
-        chunks = itertools.chain([first], chunks)
-        if not first.startswith(_MAGIC):
-            break
-        inner = _inflated(chunks)
-        head = next(inner, None)
-        if head is None:  # it only looked like a stream
-            if len(seen) == 1:
-                return
-            chunks = iter([first])
-            break
-        chunks = itertools.chain([head], inner)
-    if len(seen) == 1:
-        return
-    held = b""
-    for chunk in chunks:
-        held += chunk
-        if len(held) >= PIECE:
-            yield held
-            held = held[-OVERLAP:]
-    if held:
-        yield held
-
-
-def _unpacked(raw: bytes, whole: tuple[int, int]) -> Iterator[Layer]:
-    """The layers of a stream's pieces."""
-    for piece in _pieces(raw):
-        zeros = piece.count(0)
-        kind = "utf-8" if 10 * zeros < 3 * len(piece) else "utf-16-le" if piece[1::2].count(0) * 2 >= zeros else "utf-16-be"
-        yield Layer(piece.decode(kind, "replace"), whole=whole)
-        for m in _SURE.finditer(piece):
-            if m.start():  # a stream among other bytes, as in an archive
-                yield from _unpacked(piece[m.start() :], whole)
+    stream = Stream(raw, 0)
+    for _ in stream.chunks():
+        pass
+    return stream.used or len(raw)
 
 
 def _opened(b: Bytes, text: bool = True) -> Iterator[Layer]:
     """The layers that decoded bytes give: what streams hold, the whole as text or its readable stretches."""
-    raw = b.raw
-    if raw.startswith(_MAGIC):
-        found = False
-        for layer in _unpacked(raw, (b.at(0)[0], b.at(len(raw) - 1)[1])):
-            found = True
-            yield layer
-        if found:
-            return
-    for m in _SURE.finditer(raw):
-        if m.start():
-            yield from _unpacked(raw[m.start() :], (b.at(m.start())[0], b.at(len(raw) - 1)[1]))
+    raw, upto = b.raw, 0
+    for m in _marks(raw):
+        if m >= upto and (got := _unpacked(raw, m, (b.at(m)[0], b.at(len(raw) - 1)[1]))) is not None:
+            yield from got[1]
+            upto = m + got[0]
+            if m == 0 and got[0]:
+                text = False
     if not text:
         return
     try:

@@ -9,6 +9,7 @@ import lzma
 import math
 import random
 import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
@@ -870,3 +871,96 @@ def test_buckets_grow_with_the_files(spark, tmp_path, monkeypatch):
     names = np.arange(50, dtype=np.uint64) << np.uint64(32)
     cut = dict(blocks.by_bucket(names, 7))
     assert sorted(cut) == list(range(7)) and all((names[at] >> np.uint64(32)) % 7 == k for k, at in cut.items() for at in at)
+
+
+# -- streams of 1, the gate of 10 ---------------------------------------------------------------------------------------
+def packed(raw):
+    return "see " + base64.b64encode(raw).decode() + " end"
+
+
+def has_secret(raw):
+    return any(kind == "assign" for *_, kind in secrets.spans_of(packed(raw))[1])
+
+
+def some_text(n, seed=3):
+    return "".join(random.Random(seed).choices("abcdefghij klmn op\n", k=n))
+
+
+def test_streams_lose_nothing_by_size_or_by_what_they_begin_with():
+    for n in (1_000, 5_000_000):
+        for head in ("x^2 + y ", "BZh", "plain "):
+            if n < 2_000 or head == "x^2 + y ":
+                assert has_secret(gzip.compress((head + some_text(n) + INNER).encode(), 1)), (n, head)
+    inner = gzip.compress(random.Random(1).randbytes(secrets.PIECE + 1000) + b" " + INNER.encode(), 1)
+    assert has_secret(gzip.compress(b"junk!" + inner, 1))  # a stream that begins in one piece and ends in the next
+
+
+@pytest.mark.parametrize("pack", (gzip.compress, zlib.compress, bz2.compress, lzma.compress))
+def test_streams_within_streams_end(pack):
+    for between in (b"", b"J") if pack is not zlib.compress else (b"",):  # two bytes of a zlib head count only where bytes begin
+        x = INNER.encode()
+        for _ in range(600 if pack is gzip.compress else 8):
+            x = between + pack(x)
+        assert has_secret(x)
+    x = gzip.compress(INNER.encode())
+    for _ in range(30):  # two copies on each level would be 2**30 streams
+        x = gzip.compress(b"J" + x + b"K" + x)
+    assert has_secret(x)
+
+
+def test_damaged_and_cut_streams_keep_what_comes_out():
+    text = (INNER + some_text(200_000)).encode()
+    for pack in (gzip.compress, zlib.compress):
+        whole = pack(text)
+        for at in (400, len(whole) // 2, len(whole) - 2_000, len(whole) - 1):
+            bad = bytearray(whole)
+            bad[at] ^= 0x55
+            assert has_secret(bytes(bad)) and has_secret(whole[:at]), (pack, at)
+    behind = gzip.compress(b"first") + b"junk" + gzip.compress(INNER.encode())
+    assert has_secret(behind) and has_secret(b"zz" + behind)
+
+
+def test_many_marks_take_linear_time():
+    for mark in (b"\x1f\x8b\x08", b"\x1f\x8b\x08" + bytes(7), b"BZh91AY&SY", b"\xfd7zXZ\x00"):
+        began = time.perf_counter()
+        assert has_secret(mark * 20_000 + INNER.encode())
+        assert time.perf_counter() - began < 8, mark
+    began = time.perf_counter()
+    assert has_secret(b"zz" + b"".join(gzip.compress(b"member %d" % i) for i in range(10_000)) + gzip.compress(INNER.encode()))
+    assert time.perf_counter() - began < 8
+
+
+LAYERS = {
+    "url": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+    "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "hex": lambda t: "".join(f"\\x{b:02x}" for b in t.encode()),
+    "html": lambda t: "".join(f"&#{ord(c)};" for c in t),
+    "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "gzip": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+    "bz2": lambda t: base64.urlsafe_b64encode(bz2.compress(t.encode())).decode(),
+}
+
+
+def test_all_layers_of_one_two_and_three_kinds():
+    for n in (1, 2, 3):
+        for kinds in itertools.product(LAYERS, repeat=n) if n < 3 else random.Random(2).sample(list(itertools.product(LAYERS, repeat=3)), 60):
+            t = f"note: {INNER}"
+            for k in kinds:
+                t = LAYERS[k](t)
+            text = f"before {t} behind"
+            spans = [(a, b) for a, b, kind in secrets.spans_of(text)[1] if kind == "assign"]
+            assert any(7 <= a and b <= 7 + len(t) for a, b in spans), kinds
+
+
+def test_the_license_gate_lets_every_known_sentence_pass():
+    import textwrap
+
+    for key, sentence in licenses.SENTENCES.items():
+        filled = sentence.replace("{}", "Some Holder")
+        texts = ["\n".join(f" * {w}" for w in filled.split()), filled.replace(" ", " ... "), filled.upper()]
+        texts += ["\n".join(f"# {line}" for line in textwrap.wrap(filled, w)) for w in range(20, 80, 3)]
+        for t in texts:
+            if any(x[4] == key for x in licenses.sentences(t)):
+                assert licenses.may_match(t), (key, t)
+    wrapped = {k: "\n".join(f" * {w}" for w in v.replace("{}", "Some Holder").split()) for k, v in licenses.SENTENCES.items()}
+    assert sum(bool(licenses.sentences(t)) for t in wrapped.values()) == len(wrapped)
