@@ -98,15 +98,15 @@ def matrix(sizes: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     levels, last = 1, whole.last or 0
     while last >> (FAN_BITS * levels):
         levels += 1
-    spark = sizes.sparkSession
-    room = [whole.n // shards + (k < whole.n % shards) for k in range(shards)]
-    out = spark.range(1).select(F.lit(0).cast("long").alias("node"), F.array(*[F.lit(x).cast("long") for x in room]).alias("room"))
+    at_root = F.array(*[F.lit(whole.n // shards + (k < whole.n % shards)).cast("long") for k in range(shards)])
+    out = None
     for level in range(1, levels + 1):
         at = F.shiftright(F.col("part").cast("long"), FAN_BITS * (levels - level))
         kids = sizes.groupBy(at.alias("k")).agg(F.sum("n").cast("long").alias("n"))
         kids = kids.groupBy(F.shiftright("k", FAN_BITS).alias("node")).agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("kids"))  # 2**FAN_BITS at most
         dealt = F.explode(_dealt(F.col("node"), F.col("room"), F.col("kids"), shards, seed))
-        out = cut(out.join(kids, "node").select(dealt.alias("d")).select(F.col("d.k").alias("node"), F.col("d.row").alias("room")))
+        rooms = kids.withColumn("room", at_root) if out is None else out.join(kids, "node")
+        out = cut(rooms.select(dealt.alias("d")).select(F.col("d.k").alias("node"), F.col("d.row").alias("room")))
     return out.select(F.col("node").alias("part"), F.col("room").alias("row"))
 
 
