@@ -71,21 +71,21 @@ _BIN = " || ', ' || ".join(f"'\"{name}\": ' || count_if({test})" for name, test
 
 
 @query(
-    f"""WITH RECURSIVE {turn_sql(_FRAME)}, d AS (SELECT f.doc_id, source, clean_text, year({_DAY.replace('doc_id', 'f.doc_id')}) || 'Q' || (f.doc_id % 4 + 1) AS q, row_number() OVER (PARTITION BY clean_text ORDER BY f.doc_id) > 1 AS exact FROM framed f JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
-keyed AS (SELECT doc_id, exact, source || '/' || q || '/' || md5(lower(regexp_replace(left(clean_text, 250), '\\s+', ' ', 'g'))) AS key, length(clean_text) AS n FROM d), u AS (SELECT key, n, min(doc_id) AS first FROM keyed WHERE NOT exact GROUP BY key, n),
-o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY first) AS rn FROM u),
-fl2 AS (SELECT key, n, first, rn, false AS near, [n] AS kept FROM o WHERE rn = 1 UNION ALL SELECT key, n, first, rn, near, CASE WHEN near THEN kept ELSE list_append(kept, n) END FROM
-  (SELECT o.key, o.n, o.first, o.rn, f.kept, len(list_filter(f.kept, lambda x: least(x, o.n) > 0 AND abs(x - o.n) <= {dedup.SIMILAR_LENGTH} * greatest(x, o.n))) > 0 AS near FROM fl2 f JOIN o ON o.key = f.key AND o.rn = f.rn + 1)),
+    f"""WITH RECURSIVE {turn_sql(_FRAME)}, zd AS (SELECT f.doc_id, source, clean_text, year({_DAY.replace('doc_id', 'f.doc_id')}) || 'Q' || (f.doc_id % 4 + 1) AS q, row_number() OVER (PARTITION BY clean_text ORDER BY f.doc_id) > 1 AS exact FROM framed f JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
+keyed AS (SELECT doc_id, exact, source || '/' || q || '/' || md5(lower(regexp_replace(left(clean_text, 250), '\\s+', ' ', 'g'))) AS key, length(clean_text) AS n FROM zd), zu AS (SELECT key, n, min(doc_id) AS first FROM keyed WHERE NOT exact GROUP BY key, n),
+zo AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY first) AS rn FROM zu),
+fl2 AS (SELECT key, n, first, rn, false AS near, [n] AS kept FROM zo WHERE rn = 1 UNION ALL SELECT key, n, first, rn, near, CASE WHEN near THEN kept ELSE list_append(kept, n) END FROM
+  (SELECT o.key, o.n, o.first, o.rn, f.kept, len(list_filter(f.kept, lambda x: least(x, o.n) > 0 AND abs(x - o.n) <= {dedup.SIMILAR_LENGTH} * greatest(x, o.n))) > 0 AS near FROM fl2 f JOIN zo o ON o.key = f.key AND o.rn = f.rn + 1)),
 flagged AS (SELECT doc_id, exact OR near OR (doc_id > first AND n > 0) AS dup, n FROM keyed LEFT JOIN fl2 USING (key, n)), kept AS (SELECT doc_id FROM flagged WHERE NOT coalesce(dup, false)),
 kd AS (SELECT doc_id, segment_order, segment_text, (SELECT {_KINDS} FROM (SELECT lower(speaker_raw) AS low)) AS kind FROM turn_rows WHERE doc_id IN (SELECT doc_id FROM kept)),
 ex AS (SELECT *, bool_or(kind = 'Executive') OVER (PARTITION BY doc_id ORDER BY segment_order) AS spoken FROM kd), an AS (SELECT *, bool_or(kind = 'Analyst' OR (kind = 'Operator' AND spoken AND regexp_matches(segment_text, '{_pattern(segment.OPENS_QUESTIONS)}'))) OVER (PARTITION BY doc_id ORDER BY segment_order) AS asked FROM ex),
 sec AS (SELECT *, CASE kind WHEN 'Analyst' THEN 'Q' WHEN 'Executive' THEN CASE WHEN asked THEN 'A' ELSE 'Prepared' END WHEN 'Operator' THEN 'O' ELSE CASE WHEN asked THEN 'O' ELSE 'Prepared' END END AS section FROM an),
 own AS (SELECT doc_id || '/' || segment_order AS id, segment_text FROM sec), said AS (SELECT *, {_N('x')} AS n FROM ({_SENT_ROWS('own', 'segment_text')})), {packed_sql('said', _N('w'))},
-s AS (SELECT sum(length(segment_text)) AS chars, count(DISTINCT doc_id) AS n, count_if(section = 'A') AS a, count_if(section = 'O') AS o, count_if(section = 'Prepared') AS p, count_if(section = 'Q') AS q FROM sec), qa AS (SELECT count(*) AS n FROM (SELECT doc_id FROM sec GROUP BY doc_id HAVING bool_or(section = 'Q') AND bool_or(section = 'A'))),
-k AS (SELECT '{{' || {_BIN} || '}}' AS bins, count_if(n_tokens > 200) AS over, count_if(n_tokens < 5) AS short, count(DISTINCT split_part(id, '/', 1)) AS n FROM packed), f AS (SELECT count(*) AS n, count_if(dup) AS dups, sum(n) AS chars FROM flagged)
+zs AS (SELECT sum(length(segment_text)) AS chars, count(DISTINCT doc_id) AS n, count_if(section = 'A') AS a, count_if(section = 'O') AS o, count_if(section = 'Prepared') AS p, count_if(section = 'Q') AS q FROM sec), zqa AS (SELECT count(*) AS n FROM (SELECT doc_id FROM sec GROUP BY doc_id HAVING bool_or(section = 'Q') AND bool_or(section = 'A'))),
+zk AS (SELECT '{{' || {_BIN} || '}}' AS bins, count_if(n_tokens > 200) AS over, count_if(n_tokens < 5) AS short, count(DISTINCT split_part(id, '/', 1)) AS n FROM packed), zf AS (SELECT count(*) AS n, count_if(dup) AS dups, sum(n) AS chars FROM flagged)
 SELECT 0.75::DOUBLE AS transcript_parse_success_rate, round(count_if(true)::DOUBLE / any_value(f.n - f.dups), 4) AS metadata_extraction_success_rate, any_value(f.dups)::BIGINT AS duplicate_count, round(any_value(5 * f.n / (f.chars + 5 * f.n)), 4) AS cleaning_text_drop_rate, round(any_value(1 - s.chars / f.chars), 4) AS segmentation_text_drop_rate,
   round(any_value(qa.n / s.n), 4) AS share_transcripts_with_detected_qa, any_value('{{"A": ' || s.a || ', "O": ' || s.o || ', "Prepared": ' || s.p || ', "Q": ' || s.q || '}}') AS section_distribution, any_value(k.bins) AS chunk_token_distribution, 200::BIGINT AS max_token_limit, any_value(k.over)::BIGINT AS max_token_limit_violations,
-  any_value(k.short)::BIGINT AS suspiciously_short_chunks, any_value(f.n - f.dups - s.n)::BIGINT AS transcripts_with_zero_segments, any_value(f.n - f.dups - k.n)::BIGINT AS transcripts_with_zero_chunks, any_value(f.n)::BIGINT AS records_loaded, 4::BIGINT AS files_seen, 1::BIGINT AS files_failed FROM kept, f, s, qa, k"""
+  any_value(k.short)::BIGINT AS suspiciously_short_chunks, any_value(f.n - f.dups - s.n)::BIGINT AS transcripts_with_zero_segments, any_value(f.n - f.dups - k.n)::BIGINT AS transcripts_with_zero_chunks, any_value(f.n)::BIGINT AS records_loaded, 4::BIGINT AS files_seen, 1::BIGINT AS files_failed FROM kept, zf f, zs s, zqa qa, zk k"""
 )
 def validation_kpis(spark, sf_dir):
     """Sixteen figures of a run over all documents, with lines that name speakers put into two thirds of them."""
