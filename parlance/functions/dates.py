@@ -25,7 +25,9 @@ def date_in(c: Column) -> Column:
 
 def event_date(derived: Column, stamp: Column, date: Column, header: Column, scraped: Column) -> Column:
     """The fields as dates, then dates inside them, then in the header, then the time of scraping."""
-    return F.coalesce(*[parse_date(c) for c in (derived, stamp, date)], *[date_in(c) for c in (date, stamp, derived, header)], parse_date(scraped))
+    # As functions over short arrays: written out, these are some 200 date parsers, too many for one compiled method.
+    first = lambda columns, read: F.get(F.filter(F.transform(F.array(*columns), read), lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(first((derived, stamp, date), parse_date), first((date, stamp, derived, header), date_in), parse_date(scraped))
 
 
 def quarter_in(c: Column) -> Column:
