@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parlance.functions import porter
+
 # Common English words without content.
 STOPWORDS = tuple("a about after all also an and any are as at be because been but by can could did do does for from had has have he her him his how i if in into is it its just me more most my no not of on one or our out over she so some such than that the their them then there these they this those to up us was we were what when which who will with would you your".split())
 
@@ -38,6 +40,11 @@ def normalised(c: Column, reduce: Callable[[str], str] | None = None) -> Column:
     return F.pandas_udf(run, "string")(joined)
 
 
+def stemmed(c: Column) -> Column:
+    """The stems of the content words as one text, without leaving the JVM."""
+    return F.array_join(F.transform(content_words(c), porter.stem), " ")
+
+
 def from_json(c: Column, schema: str, default: Column | None = None) -> Column:
     """The value of a JSON text; null or default where it is none."""
     parsed = F.from_json(c, schema, {"mode": "PERMISSIVE"})

@@ -1,10 +1,11 @@
-"""Registered queries over words: stems of all words of all documents."""
+"""Registered queries of statistics and models: stems of all words, exact quantiles, a learnt scorer."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from parlance.functions import porter
+from parlance.operators import classify, profile, quantiles, sentiment
 from parlance.plans.queries import query, table
 
 
@@ -14,3 +15,39 @@ def stem_counts(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), 1)).alias("word"))
     n = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return n.select(porter.stem(F.col("word")).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_words"))
+
+
+@query("SELECT l_returnflag, l_linestatus, unnest([0.0, 0.25, 0.5, 0.9, 1.0])::DOUBLE AS share, round(unnest(q), 4) AS quantile, n FROM (SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, [0.0, 0.25, 0.5, 0.9, 1.0]) AS q, count(*) AS n FROM lineitem GROUP BY ALL)")
+def exact_quantiles(spark, sf_dir):
+    """Quantiles of prices by flag and status, in memory that does not grow with a group."""
+    q = quantiles.exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", (0.0, 0.25, 0.5, 0.9, 1.0))
+    return q.select("l_returnflag", "l_linestatus", "share", F.round("quantile", 4).alias("quantile"), "n")
+
+
+# -- a learnt scorer --------------------------------------------------------------------------------------------------
+def _rated(spark, sf_dir):
+    """Rated documents with their label: those to learn from and the fifth that is held out, by digest."""
+    rated = table(spark, sf_dir, "labels").select("doc_id", classify.sentiment_of(F.col("quality"), F.col("toxic")).alias("label"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chunk_text")).join(rated, "doc_id")
+    d = profile.split_by_hash(d, "doc_id", 80)
+    return d.where("is_train").drop("is_train"), d.where("not is_train").drop("is_train")
+
+
+@query()
+def learnt_quality(spark, sf_dir):
+    """Accuracy and macro F1 of the learnt scorer on rated documents that it has not seen, and the share of the most
+    frequent label; tests/test_models.py wants it to beat that."""
+    train, held = _rated(spark, sf_dir)
+    scored = classify.score_learnt(held, classify.fit_scorer(train))
+    top = held.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("majority"), F.sum("count").alias("n"))
+    return sentiment.quality(scored, "label", "sentiment_label").join(F.broadcast(top))
+
+
+@query()
+def learnt_roles(spark, sf_dir):
+    """From chunk to role: all turns of all conversations, scored by what is learnt from all rated documents, and the
+    means of each role."""
+    train, held = _rated(spark, sf_dir)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", F.col("text").alias("chunk_text"))
+    scored = classify.score_learnt(turns, classify.fit_scorer(train.unionByName(held)))
+    return scored.groupBy("role").agg(F.count(F.lit(1)).alias("n_chunks"), *[F.avg(c).alias(f"mean_{c}") for c in ("sentiment_score", "prob_positive", "prob_neutral", "prob_negative")])
