@@ -42,6 +42,13 @@ def year_quarter(year: Column, quarter: Column) -> Column:
     return F.concat(year.cast("string"), F.lit("Q"), quarter.cast("string"))
 
 
+def quarter_number(label: Column) -> Column:
+    """Quarters since the year 0 of a label such as 2021Q3; null for anything else, so that an ascending sort with nulls
+    last puts bad labels behind all quarters."""
+    year, quarter = F.regexp_extract(label, r"^(\d{4})Q([1-4])$", 1), F.regexp_extract(label, r"^(\d{4})Q([1-4])$", 2)
+    return year.try_cast("int") * 4 + quarter.try_cast("int") - 1
+
+
 def date_windows(spark: SparkSession, start: str, end: str, days: int) -> DataFrame:
     """Windows (start, end) of so many days, the last one cut at the end."""
     if days < 1:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.functions import porter
-from parlance.operators import classify, profile, quantiles, sentiment
-from parlance.plans.queries import query, table
+from parlance.functions import dates, porter
+from parlance.operators import classify, profile, quantiles, returns, sentiment
+from parlance.plans.queries import R6, RETS, daily_prices, query, table
 
 
 @query(rf"WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+')) AS word FROM documents), dw AS (SELECT word, count(*) AS n FROM w GROUP BY word), {porter.stems_sql('dw')} SELECT stem, sum(n)::BIGINT AS n, count(*) AS n_words FROM stemmed JOIN dw USING (word) GROUP BY stem")
@@ -24,6 +25,37 @@ def exact_quantiles(spark, sf_dir):
     return q.select("l_returnflag", "l_linestatus", "share", F.round("quantile", 4).alias("quantile"), "n")
 
 
+# -- prices and quarters ----------------------------------------------------------------------------------------------
+_HOT = RETS.replace("CAST(user_id AS VARCHAR) AS ticker", "'T' AS ticker").replace("PARTITION BY user_id ", "").replace("GROUP BY user_id, ", "GROUP BY ")
+
+
+@query(f"WITH {_HOT} SELECT ticker, event_date, base_date, round(ret_1d, 6) AS ret_1d, round(ret_3d, 6) AS ret_3d, round(ret_5d, 6) AS ret_5d, round(ret_10d, 6) AS ret_10d FROM rets")
+def asof_hot_ticker(spark, sf_dir):
+    """All prices and events as those of one ticker, in buckets of four days."""
+    e = table(spark, sf_dir, "events")
+    prices = e.groupBy(F.lit("T").alias("ticker"), F.to_date("ts").alias("date")).agg(F.avg("value").alias("adj_close"))
+    asked = e.where("event_type <> 'view'").select(F.lit("T").alias("ticker"), F.date_add(F.to_date("ts"), 1).alias("event_date"))
+    return returns.forward_returns(asked, prices, bucket_days=4).select("ticker", "event_date", "base_date", *[R6(f"ret_{k}d") for k in returns.HORIZONS])
+
+
+@query(f"WITH {RETS} SELECT CAST(event_id AS VARCHAR) AS transcript_id, e.ticker, e.event_date, round(ret_1d, 6) AS ret_1d, round(ret_5d, 6) AS ret_5d FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) + 1 AS event_date FROM events WHERE event_type <> 'view') e LEFT JOIN rets USING (ticker, event_date)")
+def returns_of_events(spark, sf_dir):
+    """Every event with the returns that follow it; prices are looked up once for each ticker and day."""
+    t = table(spark, sf_dir, "events").where("event_type <> 'view'").select(F.col("event_id").cast("string").alias("transcript_id"), F.col("user_id").cast("string").alias("ticker"), F.date_add(F.to_date("ts"), 1).alias("event_date"))
+    return returns.event_returns(t, daily_prices(spark, sf_dir)).select("transcript_id", "ticker", "event_date", R6("ret_1d"), R6("ret_5d"))
+
+
+@query(
+    "WITH q AS (SELECT CASE o_custkey % 50 WHEN 0 THEN 'unknown' WHEN 1 THEN '20xxQ1' WHEN 2 THEN year(o_orderdate) || 'Q5' ELSE year(o_orderdate) || 'Q' || quarter(o_orderdate) END AS label, count(*) AS n FROM orders GROUP BY 1) SELECT label, n, row_number() OVER (ORDER BY CASE WHEN regexp_full_match(label, '\d{4}Q[1-4]') THEN 0 ELSE 1 END, CASE WHEN regexp_full_match(label, '\d{4}Q[1-4]') THEN label END, label)::INT AS place FROM q"
+)
+def quarter_order(spark, sf_dir):
+    """Orders by quarter in the order of quarters, labels that are none behind them; one row a label is sorted."""
+    k, q = F.col("o_custkey") % 50, F.col("o_orderdate")
+    label = F.when(k == 0, "unknown").when(k == 1, "20xxQ1").when(k == 2, F.concat(F.year(q).cast("string"), F.lit("Q5"))).otherwise(dates.year_quarter(F.year(q), F.quarter(q)))
+    counts = table(spark, sf_dir, "orders").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(dates.quarter_number(F.col("label")).asc_nulls_last(), "label")))
+
+
 # -- a learnt scorer --------------------------------------------------------------------------------------------------
 def _rated(spark, sf_dir):
     """Rated documents with their label: those to learn from and the fifth that is held out, by digest."""

@@ -124,3 +124,17 @@ def test_returns_of_a_long_series_are_linear(spark):
     began = time.perf_counter()
     got = returns.forward_returns(days.select("ticker", F.col("date").alias("event_date")), days).agg(F.count("ret_1d").alias("n"), F.sum((F.col("base_date") == F.col("event_date")).cast("int")).alias("same")).first()
     assert (got.n, got.same) == (15_999, 16_000) and time.perf_counter() - began < 20
+
+
+def test_returns_in_buckets_equal_those_of_whole_tickers(spark):
+    """Gaps longer than a bucket, buckets with events alone, tickers without prices, several bucket lengths."""
+    rng = np.random.default_rng(6)
+    day = lambda i: F.date_add(F.lit("2019-12-20").cast("date"), F.col(i).cast("int"))
+    held = [int(x) for x in np.unique(np.concatenate([rng.integers(0, 60, 40), rng.integers(150, 170, 12), [400, 401]]))]
+    prices = [(t, i, float(rng.normal())) for t in "AB" for i in held if t == "A" or i % 2] + [("A", 7, None), ("B", 11, 0.0)]
+    prices = list({(t, i): (t, i, v) for t, i, v in prices}.values())
+    p = spark.createDataFrame(prices, "ticker string, i int, adj_close double").select("ticker", day("i").alias("date"), "adj_close")
+    events = spark.createDataFrame([(t, i) for t in "ABC" for i in range(-5, 410, 3)], "ticker string, i int").select("ticker", day("i").alias("event_date"))
+    rows = lambda n: sorted(map(str, returns.forward_returns(events, p, bucket_days=n).collect()))
+    whole = rows(None)
+    assert len(whole) == 3 * 139 and all(rows(n) == whole for n in (1, 7, 64, 5000))
