@@ -46,7 +46,7 @@ def returns_of_events(spark, sf_dir):
 
 
 @query(
-    "WITH q AS (SELECT CASE o_custkey % 50 WHEN 0 THEN 'unknown' WHEN 1 THEN '20xxQ1' WHEN 2 THEN year(o_orderdate) || 'Q5' ELSE year(o_orderdate) || 'Q' || quarter(o_orderdate) END AS label, count(*) AS n FROM orders GROUP BY 1) SELECT label, n, row_number() OVER (ORDER BY CASE WHEN regexp_full_match(label, '\d{4}Q[1-4]') THEN 0 ELSE 1 END, CASE WHEN regexp_full_match(label, '\d{4}Q[1-4]') THEN label END, label)::INT AS place FROM q"
+    r"WITH q AS (SELECT CASE o_custkey % 50 WHEN 0 THEN 'unknown' WHEN 1 THEN '20xxQ1' WHEN 2 THEN year(o_orderdate) || 'Q5' ELSE year(o_orderdate) || 'Q' || quarter(o_orderdate) END AS label, count(*) AS n FROM orders GROUP BY 1) SELECT label, n, row_number() OVER (ORDER BY CASE WHEN regexp_full_match(label, '\d{4}Q[1-4]') THEN 0 ELSE 1 END, CASE WHEN regexp_full_match(label, '\d{4}Q[1-4]') THEN label END, label)::INT AS place FROM q"
 )
 def quarter_order(spark, sf_dir):
     """Orders by quarter in the order of quarters, labels that are none behind them; one row a label is sorted."""
