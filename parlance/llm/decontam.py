@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import cut, fresh
@@ -29,7 +29,9 @@ RADIUS = 23
 BLOCKS, BITS, FLIPS = 8, 8, 2
 #: Item shingles up to which the scan holds them as a literal set (about 60 bytes each); beyond, they are joined.
 MOST_LITERALS = 60_000
-#: Rows of the item index or of found documents up to which they are broadcast (below 100 bytes each).
+#: Shingles (8 bytes each) up to which their set, or all items, are broadcast; beyond, adaptive joins split hot shingles.
+MOST_SHINGLES = 2_000_000
+#: Rows of the item index, of windows, of pairs or of found documents up to which they are broadcast (below 100 bytes each).
 MOST_BROADCAST = 200_000
 
 
@@ -52,9 +54,17 @@ def simhash(hashes: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda fp, b: F.when(2 * ones(b) > F.size(hashes), fp.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(fp))
 
 
-def weighted(hashes: Column) -> Column:
-    """The shingles with their occurrence numbers, so that intersections count weights."""
-    return F.transform(hashes, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(hashes, 1, i), lambda y: y == x))))
+def shared_weight(a: Column, b: Column) -> Column:
+    """The sum of the lesser counts of two multisets: half of what their sizes together exceed the sum of differences.
+
+    One walk over both, sorted together, adds up the differences; no shingle is looked for among the others.
+    """
+    signed = lambda x, s: F.struct(x.alias("h"), F.lit(s).alias("net"))
+    both = F.sort_array(F.concat(F.transform(a, lambda x: signed(x, 1)), F.transform(b, lambda x: signed(x, -1))))
+    state = lambda h, net, apart: F.struct(h.alias("h"), net.alias("net"), apart.alias("apart"))
+    step = lambda z, x: F.when(z["h"] == x["h"], state(z["h"], z["net"] + x["net"], z["apart"])).otherwise(state(x["h"], x["net"], z["apart"] + F.abs(z["net"])))
+    apart = F.aggregate(both, state(F.lit(0).cast("long"), F.lit(0), F.lit(0)), step, lambda z: z["apart"] + F.abs(z["net"]))
+    return ((F.size(a) + F.size(b) - apart) / 2).cast("int")
 
 
 def block(fp: Column, b: int) -> Column:
@@ -78,7 +88,7 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 
 
 def _meeting(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """doc_id, digest, shingles and hits (places in them) of the documents that share a shingle with an item."""
+    """n (a number of the row), doc_id, digest, shingles and hits (places in them) of the documents that share a shingle with an item."""
     text = F.col("text").cast("string")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("digest"), text.alias("text"))
     known = bench.select(F.explode("item").alias("h")).distinct()
@@ -90,33 +100,52 @@ def _meeting(docs: DataFrame, bench: DataFrame) -> DataFrame:
         # The row number keeps the optimiser from working the struct out again for each use.
         seen = slim.select("doc_id", "digest", F.monotonically_increasing_id().alias("n"), found.alias("f"))
         return cut(seen.where(F.size("f.hits") > 0).select("n", "doc_id", "digest", "f.shingles", "f.hits"))
-    places = slim.select("doc_id", "digest", F.posexplode(shingle_hashes(F.col("text"))).alias("at", "h")).join(known, "h")
+    places = slim.select("doc_id", "digest", F.posexplode(shingle_hashes(F.col("text"))).alias("at", "h")).join(_small(known, MOST_SHINGLES), "h")
     hits = places.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.array_sort(F.collect_set("at")).alias("hits"))
-    return cut(slim.join(hits, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "digest", shingle_hashes(F.col("text")).alias("shingles"), "hits"))
+    met = slim.join(hits, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return cut(met.select(F.monotonically_increasing_id().alias("n"), "doc_id", "digest", shingle_hashes(F.col("text")).alias("shingles"), "hits"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pairs found: doc_id, digest (of the document's text), start (of the window, in words), item_id, similarity."""
-    bench = cut(items(benchmark))
-    met = _meeting(docs, bench).select("doc_id", "digest", "shingles", "hits", F.explode("hits").alias("at"))
+def _windows(met: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id, digest, m, start and win (its shingles) of the item-sized windows that hold enough shared shingles.
+
+    Only places are exploded. How many shared shingles a window holds is the difference of a running count of them at its
+    end and at its start; one sort of a document's places gives both for all its windows. Shingles are sliced for the
+    windows that are left.
+    """
+    spots = met.select("n", F.size("shingles").alias("size"), F.explode(F.transform("hits", lambda i: F.struct(i.alias("at"), F.col("shingles")[i].alias("h")))).alias("s")).select("n", "size", "s.at", "s.h")
     lengths = bench.select("m", F.explode("item").alias("h")).distinct()
-    laid = met.withColumn("h", F.col("shingles")[F.col("at")]).join(_small(lengths, MOST_BROADCAST), "h")
-    laid = laid.withColumn("start", F.greatest(F.lit(0), F.least(F.col("at"), F.size("shingles") - F.col("m"))))
+    laid = spots.join(_small(lengths, MOST_BROADCAST), "h").select("n", "size", "m", F.greatest(F.lit(0), F.least("at", F.col("size") - F.col("m"))).alias("start"))
+    ends = laid.select("*", F.explode(F.array("start", F.col("start") + F.col("m"))).alias("at"), F.lit(0).alias("hit"))
+    marks = ends.unionByName(spots.select("n", "at", F.lit(1).alias("hit")), allowMissingColumns=True)
+    # An end comes before a shared shingle at its place, so it counts those in front of it.
+    before = F.sum("hit").over(Window.partitionBy("n").orderBy("at", "hit").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = marks.withColumn("before", before).where("hit = 0").groupBy("n", "size", "m", "start").agg((F.max("before") - F.min("before")).alias("held"))
     # Similar windows share NUM / DEN of the union, which is NUM / (NUM + DEN) of both sizes together, or more.
-    held = F.size(F.filter("hits", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("m"))))
-    laid = laid.where((NUM + DEN) * held >= NUM * (F.least("m", F.size("shingles")) + F.col("m")))
-    windows = laid.select("doc_id", "digest", "m", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("win")).dropDuplicates(["doc_id", "digest", "m", "start"])
-    printed = cut(windows.withColumn("win_fp", simhash(F.col("win"))))
-    blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)]))
-    index = bench.withColumn("k", blocks).withColumn("flip", F.explode(F.array(*[F.lit(x) for x in _near()])))
-    index = index.select("item_id", "item", F.col("m"), "fp", F.col("k.b").alias("b"), F.col("k.v").bitwiseXOR(F.col("flip")).alias("v"))
-    asked = printed.withColumn("k", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("win_fp"), b).alias("v")) for b in range(BLOCKS)]))).select("*", F.col("k.b").alias("b"), F.col("k.v").alias("v")).drop("k")
+    enough = cut(held.where((NUM + DEN) * F.col("held") >= NUM * (F.least("m", "size") + F.col("m"))).select("n", "m", "start"))
+    return met.join(_small(enough, MOST_BROADCAST), "n").select("doc_id", "digest", "m", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("win"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Pairs found: doc_id, digest (of the document's text), start (of the window, in words), item_id, similarity; rows of
+    docs that are repeated have theirs each."""
+    bench = cut(items(benchmark).withColumn("item_no", F.monotonically_increasing_id()))
+    windows = _windows(_meeting(docs, bench), bench)
+    printed = cut(windows.select("*", simhash(F.col("win")).alias("win_fp"), F.monotonically_increasing_id().alias("win_no")))
+    # What is looked up by blocks are fingerprints with numbers; shingles join the pairs that are left.
+    keyed = lambda fp: F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col(fp), b).alias("v")) for b in range(BLOCKS)])).alias("k")
+    index = bench.select("item_no", "m", "fp", keyed("fp")).withColumn("flip", F.explode(F.array(*[F.lit(x) for x in _near()])))
+    index = index.select("item_no", "m", "fp", F.col("k.b").alias("b"), F.col("k.v").bitwiseXOR(F.col("flip")).alias("v"))
+    asked = printed.select("win_no", "m", "win_fp", keyed("win_fp")).select("win_no", "m", "win_fp", "k.b", "k.v")
     # Of the blocks in which a pair meets only the first counts, so no pair comes twice.
     close = lambda b: F.bit_count(block(F.col("fp"), b).bitwiseXOR(block(F.col("win_fp"), b))) <= FLIPS
     first = F.coalesce(*[F.when(close(b), F.lit(b)) for b in range(BLOCKS)])
     near = asked.join(_small(index, MOST_BROADCAST), ["m", "b", "v"]).where((F.bit_count(F.col("fp").bitwiseXOR(F.col("win_fp"))) <= RADIUS) & (F.col("b") == first))
-    shared = F.size(F.array_intersect(weighted(F.col("win")), weighted(F.col("item"))))
-    scored = near.select("doc_id", "digest", "start", "item_id", (F.size("win") + F.col("m")).alias("both"), shared.alias("shared"))
+    pairs = _small(cut(near.select("win_no", "item_no")), MOST_BROADCAST)
+    held = bench.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    texts = bench.select("item_no", "item_id", "item")
+    both = printed.join(pairs, "win_no").join(F.broadcast(texts) if held <= MOST_SHINGLES else texts, "item_no")
+    scored = both.select("doc_id", "digest", "start", "item_id", (F.size("win") + F.size("item")).alias("both"), shared_weight(F.col("win"), F.col("item")).alias("shared"))
     union = F.col("both") - F.col("shared")
     return scored.where(DEN * F.col("shared") >= NUM * union).select("doc_id", "digest", "start", "item_id", (F.col("shared") / union).alias("similarity"))
 

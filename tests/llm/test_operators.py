@@ -541,6 +541,57 @@ def test_documents_shorter_than_an_item(spark, literals, monkeypatch):
     assert sorted(r.doc_id for r in decontam.clean_rows(df, b).collect()) == [3, 5, 6, 7]
 
 
+def test_shared_weight_is_that_of_multisets(spark):
+    rng = random.Random(12)
+    pairs = [([rng.randrange(-3, 4) for _ in range(rng.randrange(0, 30))], [rng.randrange(-3, 4) for _ in range(rng.randrange(0, 30))]) for _ in range(200)]
+    got = spark.createDataFrame(pairs, "a array<long>, b array<long>").select("a", "b", decontam.shared_weight(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in got] == [sum((Counter(a) & Counter(b)).values()) for a, b in pairs]
+
+
+@pytest.mark.parametrize("literals", [decontam.MOST_LITERALS, 0])
+def test_long_text_of_many_items(spark, literals, monkeypatch):
+    """A text of over 20,000 words that holds 200 items, all of one length, between other words; every third altered."""
+    monkeypatch.setattr(decontam, "MOST_LITERALS", literals)
+    rng = random.Random(14)
+    bench = [(i, words(rng, 60, 9999)) for i in range(200)]
+    text, want = [], []
+    for i, t in bench:
+        own = t.split()
+        if i % 3 == 0:
+            own[30] = "altered"
+        if i % 3 == 1:
+            own[7] = own[25] = own[44] = "altered"
+        own = own + words(rng, 45, 9999).split()
+        text += own
+        want += [i] if leaks(" ".join(own), grams(t)) else []  # the rest of the text shares no shingle with this item
+    data = [(1, " ".join(text)), (2, words(rng, 300, 9999)), (1, " ".join(text))]
+    df, b = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert 60 < len(want) < 200 and len(text) > 20_000
+    got = decontam.judge(df, b).collect()
+    assert sorted((r.doc_id, r.items) for r in got) == [(1, ",".join(map(str, want)))] * 2 + [(2, "")]
+
+
+def test_radius_finds_what_exact_search_finds(spark):
+    """Recall of fingerprints within the radius among windows at just 0.8 and more: items of 14 to 60 words, each altered
+    in as many places as the similarity allows. Whatever the exact search finds is found."""
+    rng = random.Random(15)
+    bench = [(i, words(rng, rng.randrange(14, 60), 9999)) for i in range(300)]
+    data = []
+    for i, t in bench:
+        own, best = t.split(), None
+        for n in rng.sample(range(len(own)), len(own)):
+            kept, own[n] = own[n], f"other{n}"
+            if leaks(" ".join(own), grams(t)):
+                best = list(own)
+            else:
+                own[n] = kept
+        if best:
+            data.append((i, f"{words(rng, 20, 9999)} {' '.join(best)} {words(rng, 20, 9999)}"))
+    df, b = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {r.doc_id for r in decontam.judge(df, b).where("contaminated").collect()}
+    want = {d for d, t in data if leaks(t, grams(bench[d][1]))}
+    assert len(want) > 250 and got == want
+
 # -- 5 ----------------------------------------------------------------------------------------------------------------
 def near(rows):
     """(class, links) of each row id by brute force."""
