@@ -8,9 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Phrases that scraping leaves behind, marks of pages that are no transcript, what breaks lines.
+# Phrases that scraping leaves behind, marks of pages that are no transcript, control characters, tags, names
+# in front of a role, what breaks lines.
 ARTEFACTS = ("View Summary", "Click here for webcast")
 PAGE_JUNK = ("upgrade now", "trial access", "help center", "log in", "sign in")
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+TAG = r"<[^>]+>"
+NAME = r"[A-Z][A-Za-z.'\-]+(?:\s[A-Z][A-Za-z.'\-]+){0,4}"
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 #: Consecutive repeats of lines below this length go.
 REPEAT_BELOW = 140
@@ -35,8 +39,8 @@ def squeeze(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Removes control characters, tags, artefacts and repeated lines, and normalises white space; null becomes ""."""
     t = F.coalesce(c.cast("string"), F.lit(""))
-    t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
-    t = F.regexp_replace(t, r"<[^>]+>", " ")
+    t = F.regexp_replace(t, CONTROL, " ")
+    t = F.regexp_replace(t, TAG, " ")
     for phrase in ARTEFACTS:
         t = F.regexp_replace(t, rf"(?iU)\b{phrase}\b", " ")
     t = F.regexp_replace(t, r"\r\n?", "\n")
@@ -60,7 +64,7 @@ def html_to_text(c: Column) -> Column:
     """The text of a page: scripts, styles and tags become blanks, white space is squeezed."""
     t = F.regexp_replace(c, r"(?i)<script[\s\S]*?</script>", " ")
     t = F.regexp_replace(t, r"(?i)<style[\s\S]*?</style>", " ")
-    return normalize_text(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"(?U)\s+", " "))
+    return normalize_text(F.regexp_replace(F.regexp_replace(t, TAG, " "), r"(?U)\s+", " "))
 
 
 def payload_text(kind: Column, body: Column) -> Column:
@@ -192,9 +196,8 @@ def inline_markers(c: Column, roles: Sequence[str] = ("Executive", "Analyst", "O
 
 
 def _marked(c: Column, roles: Sequence[str]) -> Column:
-    name = r"[A-Z][A-Za-z.'\-]+(?:\s[A-Z][A-Za-z.'\-]+){0,4}"
     marked = F.replace(c, F.lit("OperatorOperator"), F.lit("\nOperator\n"))
     for end in ("(?=[A-Z])", r"(?U)\b"):
-        marked = F.regexp_replace(marked, rf"(?<!\n)({name})({'|'.join(roles)}){end}", "\n$1$2\n")
+        marked = F.regexp_replace(marked, rf"(?<!\n)({NAME})({'|'.join(roles)}){end}", "\n$1$2\n")
     t = F.when(has_role_mark(c, roles), marked).otherwise(c)
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
