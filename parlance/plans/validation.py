@@ -41,14 +41,15 @@ def _written(df: DataFrame, folder: str, *metrics: Column) -> tuple[DataFrame, d
     return df.sparkSession.read.parquet(folder), seen.get
 
 
-def run_and_validate(raw: DataFrame, folder: str, company_map: DataFrame | None = None, most_tokens: int = 200, counts=token_counts, files_seen: int = 1, files_failed: int = 0) -> tuple[dict[str, DataFrame], DataFrame]:
+def run_and_validate(raw: DataFrame, folder: str, company_map: DataFrame | None = None, most_tokens: int = 200, counts=token_counts, files_seen: int = 1, files_failed: int = 0, clean=text.clean_text) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, report): transcripts, duplicates, segments and chunks below `folder`, and one row of sixteen figures.
 
-    raw: transcript_id, ord, raw_text and any raw fields; counts of files come from readers.folder_report. Rates are
-    rounded to four digits and 0 where there is nothing to divide by; the two distributions are JSON texts.
+    raw: transcript_id, ord, raw_text and any raw fields; counts of files come from readers.folder_report.
+    clean: what makes clean_text of the column raw_text. Rates are rounded to four digits and 0 where there is nothing to
+    divide by; the two distributions are JSON texts.
     """
     length = lambda c: F.sum(F.length(F.coalesce(c, F.lit(""))).cast("long"))
-    d = extract_metadata(raw.withColumn("clean_text", text.clean_text(F.col("raw_text"))), company_map)
+    d = extract_metadata(raw.withColumn("clean_text", clean(F.col("raw_text"))), company_map)
     known = F.col("company").isNotNull() & F.col("event_date").isNotNull() & F.col("year_quarter").isNotNull()
     stays = ~F.col("is_duplicate")
     flagged, one = _written(
