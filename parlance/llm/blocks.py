@@ -108,6 +108,18 @@ def is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What np.unique returns with return_index and return_inverse, by a hash table: only what is distinct is sorted."""
+    found = pa.array(x).dictionary_encode()
+    names, at = found.dictionary.to_numpy(), found.indices.to_numpy()
+    order = np.argsort(names)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    first = np.empty(len(order), np.int64)
+    first[at[::-1]] = np.arange(len(x) - 1, -1, -1)  # the last one written stays
+    return names[order], first[order], rank[at]
+
+
 def by_bucket(names: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its names) in rising order of places."""
     b = ((names >> _U(32)) % _U(buckets)).astype(np.int64)

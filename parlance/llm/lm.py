@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.blocks import Answers, answer, buckets_of, by_bucket, is_in, pack, sent_rows, stored, stretches, unpack
+from parlance.llm.blocks import Answers, answer, buckets_of, by_bucket, distinct, is_in, pack, sent_rows, stored, stretches, unpack
 from parlance.llm.common import Words, cut, new_folder, release
 from parlance.llm.tokens import Encoder
 
@@ -69,15 +69,16 @@ class Model:
         self.slot, self.klass, self.inside, self.within, self.bigram, self.params = slot, klass, inside, within, bigram, params
         self._ready = None
 
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """For scoring, products of parameters: queries, keys and values of slots and of places, what slots, places and
-        values add to the classes."""
+    def tables(self) -> tuple:
+        """For scoring, products of parameters: queries, keys and values of slots and of places (each by itself, so that what
+        is taken of them lies in a row), what slots, places and values add to the classes."""
         if self._ready is None:
             p = self.params
             d = p["E"].shape[1]
             scale = np.ones(3 * d, np.float32)
             scale[:d] = d**-0.5
-            self._ready = (p["E"] @ p["A"] * scale, p["P"] @ p["A"] * scale, p["E"] @ p["U"] + self.bigram, p["P"] @ p["U"], p["O"] @ p["U"])
+            each = lambda x: [np.ascontiguousarray(t) for t in np.split(x @ p["A"] * scale, 3, axis=1)]
+            self._ready = (each(p["E"]), each(p["P"]), p["E"] @ p["U"] + self.bigram, p["P"] @ p["U"], p["O"] @ p["U"])
         return self._ready
 
     def logits(self, slots: np.ndarray, clip: bool = False) -> np.ndarray:
@@ -86,18 +87,18 @@ class Model:
         of_slot, of_place, by_slot, by_place, by_value = self.tables()
         b, w = slots.shape
         flat = slots.reshape(-1)
-        qkv = of_slot[flat].reshape(b, w, -1)
-        qkv += of_place[:w]
-        d = qkv.shape[2] // 3
-        s = np.matmul(qkv[:, :, :d], qkv[:, :, d : 2 * d].transpose(0, 2, 1))
+        q, k, v = (np.take(t, flat, axis=0).reshape(b, w, -1) for t in of_slot)
+        for x, place in zip((q, k, v), of_place):
+            x += place[:w]
+        s = np.matmul(q, k.transpose(0, 2, 1))
         s += _mask(w)
         if clip:
             s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        o = np.matmul(s, qkv[:, :, 2 * d :])
+        o = np.matmul(s, v)
         o /= s @ np.ones((w, 1), s.dtype)
-        z = o.reshape(-1, d) @ by_value
-        z += by_slot[flat]
+        z = o.reshape(b * w, -1) @ by_value
+        z += np.take(by_slot, flat, axis=0)
         z = z.reshape(b, w, -1)
         z += by_place[:w]
         return z - z.max(axis=2, keepdims=True) if clip else z
@@ -108,11 +109,11 @@ class Model:
         b, w = slots.shape
         n, d = b * w, p["E"].shape[1]
         flat = slots.reshape(-1)
-        x = p["E"][flat].reshape(b, w, d)
+        x = np.take(p["E"], flat, axis=0).reshape(b, w, d)
         x += p["P"][:w]
         x = x.reshape(n, d)
         qkv = (x @ p["A"]).reshape(b, w, 3, d)
-        q, k, v = qkv[:, :, 0] * np.float32(d**-0.5), qkv[:, :, 1], qkv[:, :, 2]
+        q, k, v = qkv[:, :, 0] * np.float32(d**-0.5), qkv[:, :, 1].copy(), qkv[:, :, 2].copy()  # each in a row
         s = np.matmul(q, k.transpose(0, 2, 1))
         s += _mask(w)
         if clip:
@@ -122,7 +123,7 @@ class Model:
         o = np.matmul(s, v).reshape(n, d)
         h = x + o @ p["O"]
         z = h @ p["U"]
-        z += self.bigram[flat]
+        z += np.take(self.bigram, flat, axis=0)
         if clip:
             z -= z.max(axis=1, keepdims=True)
         at, want, weight = np.arange(n), wanted.reshape(-1), weight.reshape(-1).astype(z.dtype)
@@ -381,7 +382,7 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for block, part, words in stretches(batch, CHUNK):
                 trains = ~held[part]
-                names, at = np.unique(words.hashes(lower=True), return_inverse=True)
+                names, _, at = distinct(words.hashes(lower=True))
                 n = np.bincount(at[np.repeat(trains, words.sizes)], minlength=len(names)).astype("u4")
                 names, n = np.append(names, end_hash), np.append(n, np.uint32(trains.sum()))
                 yield sent_rows([(k, block, pack(names[at], n[at])) for k, at in by_bucket(names, buckets)])
@@ -416,7 +417,7 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             ids, null, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "no_id", "row"))
             for block, part, words in stretches(batch, CHUNK):
                 names, counts = answers.of(block)
-                h, some, at = np.unique(words.hashes(lower=True), return_index=True, return_inverse=True)
+                h, some, at = distinct(words.hashes(lower=True))
                 c = counts[np.searchsorted(names, h)][at]
                 of_end = counts[np.searchsorted(names, end_hash)]
                 logs = np.append(0, np.cumsum(np.log10(c + 1.0) + low))

@@ -107,12 +107,29 @@ class Encoder:
                 pieces[p] = raw[start:end]
                 start = end
 
+    def _one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        packed = list(self.encode([w.decode("utf-8", "replace") for w in words]))
+        return np.frombuffer(b"".join(packed), self.kind), np.array([len(x) // self.width for x in packed], np.int64)
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, how many each has), for words without white space; all are cut in one call."""
+        if not words:
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
         low = b"\n".join(words).decode("utf-8", "replace").lower()
-        if not self.by_piece or not low.isascii() and _FAR.search(low) or any(t in low for t in self.special):
-            packed = list(self.encode([w.decode("utf-8", "replace") for w in words]))
-            return np.frombuffer(b"".join(packed), self.kind), np.array([len(x) // self.width for x in packed], np.int64)
+        odd = lambda text: not text.isascii() and _FAR.search(text) is not None or any(t in text for t in self.special)
+        if not self.by_piece:
+            return self._one_by_one(words)
+        if odd(low):  # the others are cut in one call all the same
+            apart = np.fromiter((odd(w) for w in low.split("\n")), bool, len(words))
+            if apart.all():
+                return self._one_by_one(words)
+            sizes = np.empty(len(words), np.int64)
+            plain, sizes[~apart] = self.encode_words([w for w, a in zip(words, apart.tolist()) if not a])
+            others, sizes[apart] = self._one_by_one([w for w, a in zip(words, apart.tolist()) if a])
+            of_others = np.repeat(apart, sizes)
+            ids = np.empty(len(of_others), self.kind)
+            ids[~of_others], ids[of_others] = plain, others
+            return ids, sizes
         found = self.cut_lines(low)
         self._learn([found])
         mark = b"\xff" * self.width  # no id

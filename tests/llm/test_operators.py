@@ -1015,3 +1015,27 @@ def test_the_license_gate_lets_every_known_sentence_pass():
                 assert licenses.may_match(t), (key, t)
     wrapped = {k: "\n".join(f" * {w}" for w in v.replace("{}", "Some Holder").split()) for k, v in licenses.SENTENCES.items()}
     assert sum(bool(licenses.sentences(t)) for t in wrapped.values()) == len(wrapped)
+
+
+def test_words_outside_the_short_form_do_not_hold_up_the_others():
+    """op3: a word with a far character among new words sent all of them one by one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from parlance.llm.blocks import distinct
+    from parlance.llm.tokens import Encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = ["plain", "don't", "Straße", "日本語", "x—y", "word42", "Ω", "end."] + [f"new{i}word" for i in range(500)]
+    encoder, went = Encoder(path), []
+    encode = encoder.encode
+    encoder.encode = lambda texts: (went.extend(texts), encode(texts))[1]
+    ids, sizes = encoder.encode_words([w.encode() for w in words])
+    assert went == ["日本語", "x—y", "Ω"]
+    full = Tokenizer.from_file(path)
+    want = [full.encode(w, add_special_tokens=False).ids for w in words]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert [len(x) for x in encoder.encode_words([])] == [0, 0]
+    for x in (np.zeros(0, "u8"), np.random.default_rng(3).integers(0, 90, 500).astype("u8")):
+        for got, exact in zip(distinct(x), np.unique(x, return_index=True, return_inverse=True)):
+            assert np.array_equal(got, exact)
