@@ -41,6 +41,8 @@ WINDOW, OVERLAP, WIDTH, CLASSES, OWN_IDS = 32, 4, 16, 64, 2047
 ROUNDS, STEP, RATE = 2, 128, 0.01
 #: Windows that are scored at once, and training windows that are laid out at once.
 SCORED, TRAINED = 128, 64 * STEP
+#: Windows of a step that go through the layers at once.
+PART = 64
 #: Bytes of text that a scan works on at once.
 CHUNK = 2_000_000
 #: Words that the scan's lexicon holds (about 50 bytes each), and pieces of words that its encoder remembers.
@@ -61,6 +63,15 @@ def _in_range(sums: np.ndarray) -> bool:
     return bool(np.isfinite(sums).all() and (sums > 1e-30).all())
 
 
+def sums_by(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows, which have an even number of columns, by their number in `at`, which lies below n."""
+    pairs = np.complex64 if rows.dtype == np.float32 else np.complex128  # two columns are added at once
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    half = rows.shape[1] // 2
+    np.add.at(out.view(pairs).reshape(-1), np.take(np.arange(n * half).reshape(n, half), at, axis=0).reshape(-1), rows.view(pairs).reshape(-1))
+    return out
+
+
 # -- the model --------------------------------------------------------------------------------------------------------
 class Model:
     """Tables (slot and class of each id, log p(id | slot), log p(slot | class, slot before), T) and trained parameters."""
@@ -70,109 +81,137 @@ class Model:
         self._ready = None
 
     def tables(self) -> tuple:
-        """For scoring, products of parameters: queries, keys and values of slots and of places (each by itself, so that what
-        is taken of them lies in a row), what slots, places and values add to the classes."""
+        """For scoring, products of parameters: queries of slots and of places, keys and values of both side by side (one row is
+        taken for a place), what slots, places and values add to the classes."""
         if self._ready is None:
             p = self.params
             d = p["E"].shape[1]
-            scale = np.ones(3 * d, np.float32)
-            scale[:d] = d**-0.5
-            each = lambda x: [np.ascontiguousarray(t) for t in np.split(x @ p["A"] * scale, 3, axis=1)]
+            each = lambda x: [np.ascontiguousarray(t) for t in np.split(x @ self.scaled(), [d], axis=1)]
             self._ready = (each(p["E"]), each(p["P"]), p["E"] @ p["U"] + self.bigram, p["P"] @ p["U"], p["O"] @ p["U"])
         return self._ready
 
-    def logits(self, slots: np.ndarray, clip: bool = False) -> np.ndarray:
-        """(windows, places, classes): of the class that follows each place's id, the log probability up to a constant.
-        clip: takes off the greatest first; callers ask for it where sums of exp leave the range of single precision."""
+    def scaled(self) -> np.ndarray:
+        """A, with the scale of the products of queries and keys in its queries."""
+        a = self.params["A"].copy()
+        a[:, : len(a)] *= a.dtype.type(len(a) ** -0.5)
+        return a
+
+    def logits(self, slots: np.ndarray, clip: bool = False, skip: int = 0) -> np.ndarray:
+        """(windows, places from `skip` on, classes): of the class that follows each place's id, the log probability up to a
+        constant. clip: takes off the greatest first; callers ask for it where sums of exp leave single precision."""
         of_slot, of_place, by_slot, by_place, by_value = self.tables()
         b, w = slots.shape
-        flat = slots.reshape(-1)
-        q, k, v = (np.take(t, flat, axis=0).reshape(b, w, -1) for t in of_slot)
-        for x, place in zip((q, k, v), of_place):
-            x += place[:w]
+        flat, asked = slots.reshape(-1), slots[:, skip:].reshape(-1)
+        q, kv = (np.take(t, at, axis=0).reshape(b, -1, t.shape[1]) for t, at in zip(of_slot, (asked, flat)))
+        q += of_place[0][skip:w]
+        kv += of_place[1][:w]
+        k, v = kv[:, :, : q.shape[2]], kv[:, :, q.shape[2] :]
         s = np.matmul(q, k.transpose(0, 2, 1))
-        s += _mask(w)
+        s += _mask(w)[skip:]
         if clip:
             s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
         o = np.matmul(s, v)
-        o /= s @ np.ones((w, 1), s.dtype)
-        z = o.reshape(b * w, -1) @ by_value
-        z += np.take(by_slot, flat, axis=0)
-        z = z.reshape(b, w, -1)
-        z += by_place[:w]
+        o = o.reshape(len(asked), -1)
+        o *= (1 / (s.reshape(-1, w) @ np.ones(w, s.dtype)))[:, None]
+        z = o @ by_value
+        z += np.take(by_slot, asked, axis=0)
+        z = z.reshape(b, w - skip, -1)
+        z += by_place[skip:w]
         return z - z.max(axis=2, keepdims=True) if clip else z
 
     def gradients(self, slots: np.ndarray, wanted: np.ndarray, weight: np.ndarray, clip: bool = False) -> tuple[float, dict]:
-        """Loss and gradients; wanted: the class that follows each place, weight: 0 where nothing follows."""
-        p = self.params
-        b, w = slots.shape
-        n, d = b * w, p["E"].shape[1]
-        flat = slots.reshape(-1)
-        x = np.take(p["E"], flat, axis=0).reshape(b, w, d)
-        x += p["P"][:w]
-        x = x.reshape(n, d)
-        qkv = (x @ p["A"]).reshape(b, w, 3, d)
-        q, k, v = qkv[:, :, 0] * np.float32(d**-0.5), qkv[:, :, 1].copy(), qkv[:, :, 2].copy()  # each in a row
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s += _mask(w)
-        if clip:
-            s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s *= 1 / (s @ np.ones((w, 1), s.dtype))
-        o = np.matmul(s, v).reshape(n, d)
-        h = x + o @ p["O"]
-        z = h @ p["U"]
-        z += np.take(self.bigram, flat, axis=0)
-        if clip:
-            z -= z.max(axis=1, keepdims=True)
-        at, want, weight = np.arange(n), wanted.reshape(-1), weight.reshape(-1).astype(z.dtype)
-        got = z[at, want]
-        np.exp(z, out=z)
-        sums = z @ np.ones(z.shape[1], z.dtype)
-        if not clip and not _in_range(sums):
-            return self.gradients(slots, wanted, weight.reshape(b, w), clip=True)
+        """Loss and gradients; wanted: the class that follows each place, weight: 0 where nothing follows. Windows go through
+        by `PART`, which the caches hold. Scales of rows are put on arrays of the model's width, not on those of windows or classes."""
+        p, a = self.params, self.scaled()
+        (b, w), (d, n_classes) = slots.shape, p["U"].shape
+        kind = p["E"].dtype
         total = max(1.0, float(weight.sum()))
-        loss = -float(((got - np.log(sums)) * weight).sum()) / total
-        weight /= z.dtype.type(total)
-        z *= (weight / sums)[:, None]
-        z[at, want] -= weight
-        g = {"U": h.T @ z}
-        dh = z @ p["U"].T
-        g["O"] = o.T @ dh
-        do = dh @ p["O"].T
-        rest = (do * o).sum(axis=1).reshape(b, w, 1)  # what softmax's gradient takes off each row
-        do = do.reshape(b, w, d)
-        dqkv = np.empty((b, w, 3, d), z.dtype)
-        dqkv[:, :, 2] = np.matmul(s.transpose(0, 2, 1), do)
-        ds = np.matmul(do, v.transpose(0, 2, 1))
-        ds -= rest
-        ds *= s
-        dqkv[:, :, 0] = np.matmul(ds, k) * np.float32(d**-0.5)
-        dqkv[:, :, 1] = np.matmul(ds.transpose(0, 2, 1), q)
-        dqkv = dqkv.reshape(n, 3 * d)
-        g["A"] = x.T @ dqkv
-        dx = dh + dqkv @ p["A"].T
-        g["P"] = np.zeros_like(p["P"])
-        g["P"][:w] = dx.reshape(b, w, d).sum(axis=0)
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"].reshape(-1), (flat[:, None] * d + np.arange(d)).reshape(-1), dx.reshape(-1))
+        g = {k: np.zeros_like(p[k]) for k in "AOPU"}
+        dx, loss = np.empty((b, w, d), kind), 0.0
+        for start in range(0, b, PART):
+            part = slice(start, min(b, start + PART))
+            flat, want, r = slots[part].reshape(-1), wanted[part].reshape(-1), weight[part].reshape(-1).astype(kind)
+            n = len(flat)
+            x = np.take(p["E"], flat, axis=0).reshape(-1, w, d)
+            x += p["P"][:w]
+            x = x.reshape(n, d)
+            qkv = (x @ a).reshape(-1, w, 3 * d)
+            q, k, v = (qkv[:, :, i * d : (i + 1) * d] for i in range(3))
+            s = np.matmul(q, k.transpose(0, 2, 1))
+            s += _mask(w)
+            if clip:
+                s -= s.max(axis=2, keepdims=True)
+            np.exp(s, out=s)
+            by_row = (1 / (s.reshape(n, w) @ np.ones(w, kind)))[:, None]
+            o = np.matmul(s, v).reshape(n, d)
+            o *= by_row
+            h = o @ p["O"]
+            h += x
+            z = h @ p["U"]
+            z += np.take(self.bigram, flat, axis=0)
+            if clip:
+                z -= z.max(axis=1, keepdims=True)
+            at = np.arange(0, n * n_classes, n_classes) + want
+            got = z.reshape(-1)[at]
+            np.exp(z, out=z)
+            sums = z @ np.ones(n_classes, kind)
+            if not clip and not _in_range(sums):
+                return self.gradients(slots, wanted, weight, clip=True)
+            got -= np.log(sums)
+            loss -= float(got @ r) / total
+            r /= kind.type(total) * sums
+            z.reshape(-1)[at] -= sums
+            dh = np.matmul(z, p["U"].T, out=dx[part].reshape(n, d))
+            dh *= r[:, None]
+            h *= r[:, None]
+            g["U"] += h.T @ z
+            g["O"] += o.T @ dh
+            do = dh @ p["O"].T
+            do *= by_row
+            rest = np.einsum("ij,ij->i", do, o).reshape(-1, w, 1)  # what softmax's gradient takes off each row
+            do = do.reshape(-1, w, d)
+            dqkv = np.empty((len(s), w, 3 * d), kind)
+            np.matmul(s.transpose(0, 2, 1), do, out=dqkv[:, :, 2 * d :])
+            ds = np.matmul(do, v.transpose(0, 2, 1))
+            ds -= rest
+            ds *= s
+            np.matmul(ds, k, out=dqkv[:, :, :d])
+            np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, d : 2 * d])
+            dqkv = dqkv.reshape(n, 3 * d)
+            g["A"] += x.T @ dqkv
+            dh += dqkv @ a.T
+        g["A"][:, :d] *= kind.type(d**-0.5)
+        g["P"][:w] = dx.sum(axis=0)
+        g["E"] = sums_by(slots.reshape(-1), dx.reshape(-1, d), len(p["E"]))
         return loss, g
 
     def train(self, slots: np.ndarray, wanted: np.ndarray, weight: np.ndarray, state: dict | None = None) -> float:
         """One pass of Adam over windows; returns the mean loss. state: Adam's moments, which later calls go on with."""
         state = {} if state is None else state
-        m, u = (state.setdefault(x, {k: np.zeros_like(v) for k, v in self.params.items()}) for x in ("m", "u"))
+        n = sum(x.size for x in self.params.values())
+        m, u = (state.setdefault(x, np.zeros(n, np.float32)) for x in ("m", "u"))
         losses = []
         for a in range(0, len(slots), STEP):
             t = state["t"] = state.get("t", 0) + 1
-            loss, g = self.gradients(slots[a : a + STEP], wanted[a : a + STEP], weight[a : a + STEP])
+            loss, by_name = self.gradients(slots[a : a + STEP], wanted[a : a + STEP], weight[a : a + STEP])
             losses.append(loss)
             rate, often = np.float32(RATE / (1 - 0.9**t)), np.float32(1 / (1 - 0.99**t))
-            for k, x in g.items():
-                m[k] += np.float32(0.1) * (x - m[k])
-                u[k] += np.float32(0.01) * (x * x - u[k])
-                self.params[k] -= rate * m[k] / (np.sqrt(u[k] * often) + np.float32(1e-6))
+            g = np.concatenate([by_name[k].reshape(-1) for k in self.params])  # all parameters in a row
+            m += np.float32(0.1) * (g - m)
+            np.square(g, out=g)
+            g -= u
+            g *= np.float32(0.01)
+            u += g
+            np.multiply(u, often, out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= rate
+            at = 0
+            for x in self.params.values():
+                x -= g[at : at + x.size].reshape(x.shape)
+                at += x.size
         self._ready = None
         return float(np.mean(losses)) if losses else 0.0
 
@@ -193,30 +232,36 @@ class Model:
         before = self.before(flat, first[:-1])
         step = WINDOW - OVERLAP
         out = self.inside[flat] + self.within[before, self.slot[flat]]
-        # Windows of full length, then those that the document's end cuts short.
+        # Windows behind the first of their document, of which only what lies behind the overlap is asked for, and first ones;
+        # of each those of full length, then those that the document's end cuts short.
         count = np.maximum(0, -(-(lengths - WINDOW) // step)) + 1
         doc = np.repeat(np.arange(len(sizes)), count)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         start = first[doc] + nth * step
         size = np.minimum(WINDOW, first[doc + 1] - start)
-        order = np.argsort(-size, kind="stable")
-        skip = np.where(nth > 0, OVERLAP, 0)
         at = np.arange(WINDOW)
-        for a in range(0, len(order), SCORED):
-            pick = order[a : a + SCORED]
-            w = int(size[pick[0]])
-            places = start[pick, None] + at[:w]
-            real = (at[:w] < size[pick, None]) & (at[:w] >= skip[pick, None])
-            places = np.minimum(places, len(flat) - 1)
-            for clip in (False, True):
-                z = self.logits(before[places], clip).reshape(places.size, -1)
-                got = z[np.arange(len(z)), wanted[places].reshape(-1)]
-                np.exp(z, out=z)
-                sums = z @ np.ones(z.shape[1], z.dtype)
-                if _in_range(sums):
-                    break
-            got -= np.log(sums)
-            out[places[real]] += got.reshape(places.shape)[real]
+        for skip, some in ((OVERLAP, np.flatnonzero(nth > 0)), (0, np.flatnonzero(nth == 0))):
+            order = some[np.argsort(-size[some], kind="stable")]
+            for a in range(0, len(order), SCORED):
+                pick = order[a : a + SCORED]
+                w = int(size[pick[0]])
+                places = start[pick, None] + at[:w]
+                cut_short = size[pick[-1]] < w
+                if cut_short:
+                    places = np.minimum(places, len(flat) - 1)
+                slots, asked = np.take(before, places), places[:, skip:].reshape(-1)
+                for clip in (False, True):
+                    z = self.logits(slots, clip, skip).reshape(len(asked), -1)
+                    got = z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + np.take(wanted, asked)]
+                    np.exp(z, out=z)
+                    sums = z @ np.ones(z.shape[1], z.dtype)
+                    if _in_range(sums):
+                        break
+                got -= np.log(sums)
+                if cut_short:
+                    real = (at[skip:w] < size[pick, None]).reshape(-1)
+                    asked, got = asked[real], got[real]
+                out[asked] += got
         return np.add.reduceat(out.astype(np.float64), first[:-1]) / np.log(10)
 
     @property
@@ -418,10 +463,10 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             for block, part, words in stretches(batch, CHUNK):
                 names, counts = answers.of(block)
                 h, some, at = distinct(words.hashes(lower=True))
-                c = counts[np.searchsorted(names, h)][at]
+                c = counts[np.searchsorted(names, h)]
                 of_end = counts[np.searchsorted(names, end_hash)]
-                logs = np.append(0, np.cumsum(np.log10(c + 1.0) + low))
-                known = np.append(0, np.cumsum(c > 0))
+                logs = np.append(0, np.cumsum((np.log10(c + 1.0) + low)[at]))
+                known = np.append(0, np.cumsum((c > 0)[at]))
                 sums = [np.diff(x[words.first]) for x in (logs, known)]
                 flat, sizes = lex.encode(batch.column("text").slice(part.start, part.stop - part.start), words, h, some, at)
                 head = (ids[part], null[part], held[part], words.sizes + 1, sums[1] + int(of_end > 0), sums[0] + np.log10(of_end + 1.0) + low, sizes, row[part])

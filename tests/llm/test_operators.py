@@ -349,6 +349,31 @@ def test_each_id_is_scored_once():
     assert len(m.score(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
 
 
+def test_no_place_is_laid_out_twice(monkeypatch):
+    """What windows overlap by is context only: the layers are asked for as many places as there are ids and ends."""
+    rng = np.random.default_rng(4)
+    m = lm.build(rng.integers(1, 50, 40), np.arange(25), rng.integers(0, 9, (27, 26)).astype(float))
+    asked, logits = [], lm.Model.logits
+    monkeypatch.setattr(lm.Model, "logits", lambda self, *a, **k: asked.append(z := logits(self, *a, **k)) or z)
+    sizes = lm.WINDOW - 1 + (lm.WINDOW - lm.OVERLAP) * np.array([0, 3, 1, 12])  # no window is cut short
+    m.score(rng.integers(0, 39, sizes.sum()), sizes)
+    assert sum(z.shape[0] * z.shape[1] for z in asked) == (sizes + 1).sum()
+
+
+def test_gradients_do_not_depend_on_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    m = lm.build(rng.integers(1, 50, 40), np.arange(25), rng.integers(0, 9, (27, 26)).astype(float))
+    m.params = {k: v.astype(np.float64) for k, v in m.params.items()}
+    w = rng.integers(0, 27, (10, 32)), rng.integers(0, m.bigram.shape[1], (10, 32)), rng.integers(0, 2, (10, 32)).astype(float)
+    loss, g = m.gradients(*w)
+    for size in (1, 3, 10):
+        monkeypatch.setattr(lm, "PART", size)
+        again, h = m.gradients(*w)
+        assert math.isclose(loss, again) and all(np.allclose(g[k], h[k], atol=1e-12) for k in g)
+    at, rows = rng.integers(0, 7, 50), rng.integers(0, 9, (50, 6)).astype(np.float32)
+    assert np.array_equal(lm.sums_by(at, rows, 8), [rows[at == i].sum(axis=0) for i in range(8)])
+
+
 def test_pieces_are_the_tokenizers_own():
     assert lm.OWN_IDS >= 2047 and lm.CLASSES >= 64
     enc = tokens.Encoder(word_bpe(), 500)
